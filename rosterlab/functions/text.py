@@ -209,8 +209,11 @@ def is_suspicious_text(c: Column) -> Column:
 
 def contains_any(hay: Column, needles: Sequence[str], profile: str = "words") -> Column:
     h = fold(hay, profile)
-    wanted = F.array(*[fold(F.lit(n), profile) for n in needles])
-    return F.exists(wanted, lambda n: (n != "") & (F.instr(h, n) > 0))
+    hit = F.lit(False)
+    for n in needles:
+        folded = fold(F.lit(n), profile)
+        hit = hit | ((folded != "") & F.contains(h, folded))
+    return hit
 
 
 def normalize_external_id(c: Column, pattern: str = "Q[0-9]+") -> Column:

@@ -96,9 +96,8 @@ matches AS (
     "doc_lines": (
         [],
         """doc_lines AS (
-  SELECT doc_id, lang, source, u.i - 1 AS pos, u.v AS value FROM (
-    SELECT doc_id, lang, source, unnest(list_zip(range(1, len(l) + 1), l), max_depth := 1) AS z FROM (
-      SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)), LATERAL (SELECT z[1] AS i, z[2] AS v) u)""",
+  SELECT doc_id, lang, source, unnest(range(len(l)))::INT AS pos, unnest(l) AS value FROM (
+    SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents))""",
     ),
 }
 
