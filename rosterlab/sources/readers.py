@@ -30,7 +30,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         df = spark.read.json(path, multiLine=True, primitivesAsString=True)
     else:
         df = spark.read.format(fmt).load(path)
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
 def read_json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -38,22 +38,25 @@ def read_json_table(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_text_csv_any(spark: SparkSession, path: str, columns: Sequence[str], fallback: str = "ISO-8859-1") -> DataFrame:
-    """CSV in UTF-8 or, per file, in the fallback encoding; ``source_encoding`` says which.
+def decode_lines(lines: DataFrame, file: str = "file", raw: str = "raw", fallback: str = "ISO-8859-1") -> DataFrame:
+    """Adds ``line`` and ``source_encoding``: UTF-8, or the fallback for every line of a file that has
+    one line which is not valid UTF-8. The verdict is one small aggregate per file."""
+    per_file = lines.groupBy(file).agg(F.min(F.is_valid_utf8(F.col(raw).cast("string"))).alias("_utf8"))
+    text = F.when(F.col("_utf8"), F.col(raw).cast("string")).otherwise(F.decode(raw, fallback))
+    encoding = F.when(F.col("_utf8"), "utf-8").otherwise(fallback)
+    return lines.join(per_file, file).withColumn("line", F.regexp_replace(text, "^\ufeff", "")).withColumn(
+        "source_encoding", encoding
+    ).drop("_utf8", raw)
 
-    Files are read line by line, so a large file splits over many tasks; one bad line makes its
-    whole file fall back, which is one small aggregate per file.
-    """
+
+def read_text_csv_any(spark: SparkSession, path: str, columns: Sequence[str], fallback: str = "ISO-8859-1") -> DataFrame:
+    """CSV in UTF-8 or, per file, in the fallback encoding. Files are read line by line, so a large
+    file splits over many tasks."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
-    per_file = lines.groupBy("file").agg(F.min(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
-    text = F.when(F.col("utf8"), F.col("raw").cast("string")).otherwise(F.decode("raw", fallback))
-    clean = F.regexp_replace(text, "^﻿", "")
     ddl = ", ".join(f"`{c}` string" for c in columns)
-    header = ",".join(columns)
     return (
-        lines.join(per_file, "file")
-        .select("file", clean.alias("line"), F.when(F.col("utf8"), "utf-8").otherwise(fallback).alias("source_encoding"))
-        .filter((F.col("line") != header) & (F.trim("line") != ""))
+        decode_lines(lines, fallback=fallback)
+        .filter((F.col("line") != ",".join(columns)) & (F.trim("line") != ""))
         .select("file", F.from_csv("line", F.lit(ddl), {"escape": '"'}).alias("r"), "source_encoding")
         .select("r.*", "source_encoding", "file")
     )
