@@ -113,7 +113,7 @@ def with_shapes(sql: str) -> str:
             wanted.append(name)
 
     for name in SHAPES:
-        if re.search(rf"\b{name}\b", sql):
+        if re.search(rf"(?i)\b(from|join)\s+{name}\b", sql):
             add(name)
     if not wanted:
         return sql

@@ -121,7 +121,7 @@ def _(t):
 @query("assemble_roster_rows", """
 SELECT r_name AS "group", n_name AS team, CASE WHEN c_acctbal < 2000 THEN 'goalkeepers' ELSE 'forwards' END AS section, 'Boss ' || n_name AS manager,
   c_name AS player, c_mktsegment AS club,
-  left(sha1(n_name || '||' || CASE WHEN c_acctbal < 2000 THEN 'Goalkeepers' ELSE 'Forwards' END || '||' || c_name || '||' || c_mktsegment), 16) AS row_hash
+  left(sha1(n_name || '||' || CASE WHEN c_acctbal < 2000 THEN 'goalkeepers' ELSE 'forwards' END || '||' || c_name || '||' || c_mktsegment), 16) AS row_hash
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def _(t):
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -226,7 +226,7 @@ FROM customer LEFT JOIN region ON r_regionkey = 1""")
 def _(t):
     r = t.region.filter("r_regionkey <= 1")
     members = r.select(F.col("r_name").alias("member"), F.col("r_name").alias("category")).union(
-        t.region.limit(1).select(F.lit("BUILDING"), F.lit("own"))
+        t.region.filter("r_regionkey = 0").select(F.lit("BUILDING"), F.lit("own"))
     )
     aliases = t.region.select(F.lit("MACHINERY").alias("name"), F.col("r_name").alias("alias"), (-F.col("r_regionkey")).alias("alias_no"))
     return joins.category_of(t.customer.select("c_custkey", F.col("c_mktsegment").alias("name")), "name", members, aliases)
@@ -236,9 +236,8 @@ def _(t):
 SELECT club_id, club_name, country, league, city AS city_key, true AS baseline_found FROM clubs WHERE city IS NOT NULL""")
 def _(t):
     clubs = t.clubs.filter("city is not null")
-    city = clubs.groupBy("city").agg(F.concat_ws("|", F.collect_list(F.col("club_id").cast("string"))).alias("club_ids"))
-    exploded = joins.explode_pipe_ids(city.withColumnRenamed("city", "city_key"), "club_ids", "club_id")
-    arrays = exploded.select("city_key", F.array(F.col("club_id").cast("long")).alias("club_ids"))
+    city = clubs.select(F.col("city").alias("city_key"), F.concat_ws("|", F.col("club_id").cast("string"), F.lit("")).alias("club_ids"))
+    arrays = joins.explode_pipe_ids(city, "club_ids", "club_id").select("city_key", F.array(F.col("club_id").cast("long")).alias("club_ids"))
     return joins.geo_backfill(clubs.select("club_id", "club_name"), clubs.select("club_id", "country", "league"), arrays)
 
 
