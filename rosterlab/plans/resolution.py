@@ -42,7 +42,7 @@ RULES = [
     ("label = name", 45, "exact_label_match"),
     ("label <> name AND brand_or_name = name", 35, "exact_search_match"),
     ("label <> name AND brand_or_name <> name AND (contains(label, name) OR contains(name, label))", 25, "partial_label_match"),
-    ("contains(descr, 'footballer')", 25, "football_description"),
+    ("contains(lower(descr), 'footballer')", 25, "football_description"),
     ("brand IN ('Brand#1', 'Brand#2', 'Brand#3')", 35, "football_occupation"),
     ("size < 10", 15, "association_football_sport"),
     ("ptype = 'ECONOMY'", 20, "citizenship_matches_team_context"),
@@ -256,7 +256,7 @@ def _(t):
 
 GEOC = CANDS + f""",
 gc AS (SELECT entity, candidate, rank, name, label, brand, CASE ptype WHEN 'ECONOMY' THEN 'PPLC' WHEN 'SMALL' THEN 'PPLA' WHEN 'LARGE' THEN 'PPL' ELSE 'X' END AS fc,
-  (price * size)::BIGINT AS pop, entity % 120 - 60.0::DOUBLE AS clat, entity * 7 % 300 - 150.0::DOUBLE AS clon, entity % 120 - 60.0::DOUBLE + (size - 25) * 0.06::DOUBLE AS la, entity * 7 % 300 - 150.0::DOUBLE AS lo FROM cands),
+  floor(price * size)::BIGINT AS pop, entity % 120 - 60.0::DOUBLE AS clat, entity * 7 % 300 - 150.0::DOUBLE AS clon, entity % 120 - 60.0::DOUBLE + (size - 25) * 0.06::DOUBLE AS la, entity * 7 % 300 - 150.0::DOUBLE AS lo FROM cands),
 gk AS (SELECT *, {hav_sql('clat', 'clon', 'la', 'lo')} AS km, name = label OR name = lower(replace(brand, '#', ' ')) AS ex, contains(label, name) OR contains(name, label) AS pa FROM gc),
 gs AS (SELECT *, CASE WHEN ex THEN 120.0 WHEN pa THEN 35.0 ELSE 0 END + CASE fc WHEN 'PPLC' THEN 12 WHEN 'PPLA' THEN 10 WHEN 'PPL' THEN 6 ELSE 0 END
   + CASE WHEN pop > 0 THEN least(18.0, log10(pop + 1) * 3) ELSE 0 END
@@ -268,7 +268,7 @@ def geo_scored(t):
     e = F.col("entity")
     clat, clon = (e % 120 - 60).cast("double"), (e * 7 % 300 - 150).cast("double")
     c = cands(t).withColumns({
-        "fc": codes, "population": F.round(F.col("price") * F.col("size")).cast("long"), "clat": clat, "clon": clon,
+        "fc": codes, "population": F.floor(F.col("price") * F.col("size")).cast("long"), "clat": clat, "clon": clon,
         "la": clat + (F.col("size") - 25) * F.lit(0.06), "lo": clon, "query_mode": F.when(F.col("rank") == 1, "name_equals").otherwise("name"),
     })
     return resolve.score_geo_candidate(c, "name", ["label", "brand"], "fc", "population", "la", "lo", "clat", "clon")
@@ -280,7 +280,8 @@ def _(t):
 
 
 @query("choose_geo_candidate", f"""
-WITH {GEOC}, gr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(geo_score, 6) DESC, round(km, 6), pop DESC, candidate) AS rn FROM gs)
+WITH {GEOC}, g6 AS (SELECT * REPLACE (round(geo_score, 6) AS geo_score, round(km, 6) AS km) FROM gs),
+gr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY geo_score DESC, km, pop DESC, candidate) AS rn FROM g6)
 SELECT a.entity, a.candidate, round(a.geo_score - coalesce(b.geo_score, a.geo_score - 999), 4) AS margin,
   CASE WHEN NOT a.ex OR a.km > 200 THEN 'low' WHEN a.rank <> 1 OR round(a.geo_score - coalesce(b.geo_score, a.geo_score - 999), 6) < 15 THEN 'medium' WHEN a.km <= 75 THEN 'high' ELSE 'medium' END AS confidence
 FROM (SELECT * FROM gr WHERE rn = 1) a LEFT JOIN (SELECT * FROM gr WHERE rn = 2) b ON a.entity = b.entity""")
@@ -599,13 +600,15 @@ def _(t):
 
 
 @query("remap_keys_dedupe", """
-WITH m AS (SELECT p_name AS old_key, 'new ' || split_part(p_name, ' ', 2) AS new_key FROM part WHERE p_name < 'h' GROUP BY 1),
-d AS (SELECT p_partkey, coalesce(new_key, p_name) AS k, CASE WHEN new_key IS NULL THEN p_type ELSE 'moved' END AS ty, CASE WHEN new_key IS NULL THEN p_brand ELSE p_brand || ' Key updated.' END AS note FROM part LEFT JOIN m ON old_key = p_name)
-SELECT k AS p_name, min(p_partkey) AS p_partkey, arg_min(ty, p_partkey) AS p_type, CASE WHEN k = 'new ring' THEN 'checked' ELSE arg_min(note, p_partkey) END AS note FROM d GROUP BY 1""")
+WITH m AS (SELECT p_name AS old_key, CASE WHEN split_part(p_name, ' ', 2) < 'p' THEN 'new ' ELSE 'moved ' END || split_part(p_name, ' ', 2) AS new_key FROM part WHERE p_name < 'h' GROUP BY 1),
+d AS (SELECT p_partkey, coalesce(new_key, p_name) AS k, CASE WHEN new_key IS NULL THEN p_type ELSE 'moved' END AS ty, CASE WHEN new_key IS NULL THEN p_brand ELSE p_brand || ' Key updated.' END AS note FROM part LEFT JOIN m ON old_key = p_name
+  WHERE new_key IS NULL OR new_key NOT IN (SELECT p_name FROM part))
+SELECT k AS p_name, min(p_partkey) AS p_partkey, arg_min(ty, p_partkey) AS p_type, CASE WHEN k = 'moved ring' THEN 'checked' ELSE arg_min(note, p_partkey) END AS note FROM d GROUP BY 1""")
 def _(t):
     names = t.part.filter("p_name < 'h'").select("p_name").distinct()
-    mapping = names.select(F.col("p_name").alias("old_key"), F.concat(F.lit("new "), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("new_key"), F.lit("moved").alias("p_type"))
-    over = t.region.filter("r_regionkey = 0").select(F.lit("new ring").alias("key"), F.lit("checked").alias("note"))
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    mapping = names.select(F.col("p_name").alias("old_key"), F.concat(F.when(noun < "p", "new ").otherwise("moved "), noun).alias("new_key"), F.lit("moved").alias("p_type"))
+    over = t.region.filter("r_regionkey = 0").select(F.lit("moved ring").alias("key"), F.lit("checked").alias("note"))
     df = t.part.select("p_partkey", "p_name", "p_type", F.col("p_brand").alias("note"))
     return consolidate.remap_keys_dedupe(df, mapping, "p_name", "p_partkey", ["p_type"], "note", over)
 

@@ -41,6 +41,7 @@ def compare(spark, con, name, fn, sql, folder):
     t0 = time.time()
     got = rows_of(got_cols, [tuple(r) for r in df.collect()])
     took = time.time() - t0
+    print(f"     {name} spark {took:.1f}s", flush=True) if os.environ.get("TRACE") else None
     if sql is None:
         return True, f"{len(got)} rows (no SQL) {took:.1f}s"
     cur = con.execute(sql)
@@ -50,8 +51,9 @@ def compare(spark, con, name, fn, sql, folder):
         return False, f"columns {sorted(set(got_cols) ^ set(want_cols))}"
     if got == want:
         return bool(got), f"{len(got)} rows {took:.1f}s" + ("" if got else " EMPTY")
-    only_got = [r for r in got if r not in set(want)][:2]
-    only_want = [r for r in want if r not in set(got)][:2]
+    got_set, want_set = set(got), set(want)
+    only_got = [r for r in got if r not in want_set][:2]
+    only_want = [r for r in want if r not in got_set][:2]
     return False, f"{len(got)} vs {len(want)}\n   {sorted(got_cols)}\n   spark {only_got}\n   sql   {only_want}"
 
 
