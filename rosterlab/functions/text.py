@@ -74,8 +74,8 @@ class FoldProfile:
     lower: bool = False
     ampersand_word: bool = False
     hyphen_to_space: bool = False
-    drop: str | None = None
-    collapse: bool = False
+    drop: str | None = None  # runs of these become one space
+    collapse: bool = False  # runs of white space become one space
 
 
 FOLD_PROFILES = {
@@ -85,21 +85,25 @@ FOLD_PROFILES = {
     "letters": FoldProfile(ascii_only=True, lower=True, drop="[^a-z ]+"),
     "letters_spelled": FoldProfile(transliterate=True, ascii_only=True, lower=True, hyphen_to_space=True, drop="[^a-z ]+"),
     "spaced_lower": FoldProfile(ascii_only=True, lower=True, collapse=True),
-    "words": FoldProfile(ascii_only=True, lower=True, drop="[^a-z0-9]+", collapse=True),
-    "words_spelled": FoldProfile(transliterate=True, lower=True, ampersand_word=True, drop="[^a-z0-9]+", collapse=True),
-    "words_and": FoldProfile(lower=True, ampersand_word=True, drop="[^a-z0-9]+", collapse=True),
-    "place": FoldProfile(lower=True, drop=r"[^\p{L}\p{N}]+", collapse=True),
+    "words": FoldProfile(ascii_only=True, lower=True, drop="[^a-z0-9]+"),
+    "words_spelled": FoldProfile(transliterate=True, lower=True, ampersand_word=True, drop="[^a-z0-9]+"),
+    "words_and": FoldProfile(lower=True, ampersand_word=True, drop="[^a-z0-9]+"),
+    "place": FoldProfile(lower=True, drop=r"[^\p{L}\p{N}]+"),
 }
 
 
-def fold(c: Column, profile: str | FoldProfile = "words") -> Column:
-    p = FOLD_PROFILES[profile] if isinstance(profile, str) else profile
-    c = F.coalesce(c, F.lit(""))
+def _unaccented(c: Column, p: FoldProfile) -> Column:
     if p.transliterate:
         c = transliterate_letters(c)
     c = strip_marks(c)
-    if p.ascii_only:
-        c = F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    return F.regexp_replace(c, r"[^\x00-\x7F]", "") if p.ascii_only else c
+
+
+def fold(c: Column, profile: str | FoldProfile = "words") -> Column:
+    p = FOLD_PROFILES[profile] if isinstance(profile, str) else profile
+    c = F.coalesce(c, F.lit(""))
+    # text with as many bytes as characters is ASCII and has nothing to unaccent
+    c = F.when(F.octet_length(c) == F.length(c), c).otherwise(_unaccented(c, p))
     if p.lower:
         c = F.lower(c)
     if p.ampersand_word:
@@ -108,7 +112,7 @@ def fold(c: Column, profile: str | FoldProfile = "words") -> Column:
         c = F.replace(c, F.lit("-"), F.lit(" "))
     if p.drop:
         c = F.regexp_replace(c, p.drop, " ")
-    if p.collapse:
+    elif p.collapse:
         c = F.regexp_replace(c, r"\s+", " ")
     return F.trim(c) if p.drop or p.collapse or p.lower else c
 

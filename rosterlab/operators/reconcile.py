@@ -66,21 +66,24 @@ def link_by_keys(rows: DataFrame, roster: DataFrame, block: str, name: str, rost
     name at or over the threshold. Roster names reduce to one row each before any join, and only
     the distinct names left over reach the similarity join.
     """
-    keyed = rows.withColumn("_tk", token_key(F.col(name))).withColumn("_ck", concat_key(F.col(name)))
-    r = roster.withColumn("_tk", token_key(F.col(roster_name))).withColumn("_ck", concat_key(F.col(roster_name)))
-    first = lambda k, out: r.groupBy(block, k).agg(F.min(F.struct(F.col(order).alias("o"), F.col(roster_id).alias("i"))).alias(out))
-    exact = keyed.join(first("_tk", "_bt"), [block, "_tk"], "left").join(first("_ck", "_bc"), [block, "_ck"], "left")
-    exact = exact.withColumn("_exact", F.least("_bt", "_bc")).drop("_bt", "_bc")
-    left_over = exact.filter("_exact is null")
-    best = None
-    for k in ("_tk", "_ck"):
-        pairs = similar_names(left_over.select(block, F.col(k).alias("a")), r.select(block, F.col(k).alias("b")), [block], "a", "b", threshold)
-        ids = pairs.join(first(k, "_f").withColumnRenamed(k, "b"), [block, "b"])
-        names = left_over.select(block, "_tk", "_ck").distinct().withColumn("a", F.col(k))
-        one = names.join(ids, [block, "a"]).select(block, "_tk", "_ck", "score", "_f")
-        best = one if best is None else best.unionByName(one)
-    best = best.groupBy(block, "_tk", "_ck").agg(F.min(F.struct((-F.col("score")).alias("s"), "_f")).alias("_best"))
-    out = exact.join(best, [block, "_tk", "_ck"], "left")
+    keys = lambda c: {"_tk": token_key(F.col(c)), "_ck": concat_key(F.col(c))}
+    both = lambda df: df.withColumn("_e", F.explode(F.array(
+        F.struct(F.lit("token").alias("_kind"), F.col("_tk").alias("_key")), F.struct(F.lit("squeezed").alias("_kind"), F.col("_ck").alias("_key"))
+    ))).select("*", "_e.*").drop("_e")
+    keyed = rows.withColumns(keys(name))
+    wanted = both(keyed.select(block, "_tk", "_ck").distinct())
+    first = F.min(F.struct(F.col(order).alias("o"), F.col(roster_id).alias("i"))).alias("_f")
+    have = both(roster.withColumns(keys(roster_name)).groupBy(block, "_tk", "_ck").agg(first)).groupBy(block, "_kind", "_key").agg(F.min("_f").alias("_f"))
+
+    found = wanted.join(have, [block, "_kind", "_key"], "left").groupBy(block, "_tk", "_ck").agg(F.min("_f").alias("_exact"))
+    left_over = both(found.filter("_exact is null").select(block, "_tk", "_ck"))
+    pairs = similar_names(left_over.withColumnRenamed("_key", "a"), have.withColumnRenamed("_key", "b"), [block, "_kind"], "a", "b", threshold)
+    best = (
+        left_over.join(pairs.withColumnRenamed("a", "_key"), [block, "_kind", "_key"]).drop("_key")
+        .join(have.withColumnRenamed("_key", "b"), [block, "_kind", "b"])
+        .groupBy(block, "_tk", "_ck").agg(F.min(F.struct((-F.col("score")).alias("s"), "_f")).alias("_best"))
+    )
+    out = keyed.join(found.join(best, [block, "_tk", "_ck"], "left"), [block, "_tk", "_ck"], "left")
     linked = F.coalesce("_exact", "_best._f")
     return out.select(
         *rows.columns, linked["i"].alias(roster_id),

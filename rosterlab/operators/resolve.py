@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import rule_reasons, rule_score, similarity
 from ..functions.num import haversine_km, year_plausibility
-from ..functions.text import contains_any, fold, norm_key, strip_org_suffixes, tokens
+from ..functions.text import fold, norm_key, strip_org_suffixes, tokens
 from ..skew import first_per_key, number_rows, top_per_key
 
 Rule = tuple[Column, int, str]
@@ -33,47 +33,61 @@ def score_rules(df: DataFrame, rules: Sequence[Rule], score: str = "match_score"
     return df.withColumn(score, rule_score(rules)).withColumn(reasons, rule_reasons(rules))
 
 
-def person_rules(name: str, label: str, match_text: str, description: str, occupations: str, sports: str, citizenships: str,
-                 teams: str, context: Column, positions: str, position_words: Column, dob: str, pob: str, image: str) -> list[Rule]:
-    """The published weights for a person candidate; ``context`` and ``position_words`` are arrays of
-    normalized words that count as the right country or role."""
-    n = norm_key(F.col(name))
-    lab, mt = norm_key(F.col(label)), norm_key(F.col(match_text))
+def score_person(df: DataFrame, name: str, label: str, match_text: str, description: str, occupations: str, sports: str, citizenships: str,
+                 teams: str, context: Column, positions: str, position_words: Column, dob: str, pob: str, image: str) -> DataFrame:
+    """Person candidates under the published weights; ``context`` and ``position_words`` are arrays of
+    normalized words that count as the right country or role.
+
+    The normal forms are columns of their own, so each is computed once however many rules read it.
+    """
+    texts = [name, label, match_text, description, occupations, sports, citizenships, teams, positions]
+    df = df.withColumns({f"_n{i}": norm_key(F.col(c)) for i, c in enumerate(texts)})
+    n, lab, mt, desc, occ, sport, cit, team, pos = (F.col(f"_n{i}") for i in range(len(texts)))
     has = n != ""
     exact, search = has & (lab == n), has & (mt == n)
     partial = has & (F.contains(lab, n) | F.contains(n, lab))
-    any_in = lambda hay, words: F.exists(words, lambda w: (w != "") & F.contains(norm_key(hay), w))
-    full = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
-    return [
+    any_word = lambda hay, *words: reduce(lambda a, b: a | b, [F.contains(hay, F.lit(w)) for w in words])
+    any_in = lambda hay, words: F.exists(words, lambda w: (w != "") & F.contains(hay, w))
+    rules = [
         (exact, 45, "exact_label_match"),
         (~exact & search, 35, "exact_search_match"),
         (~exact & ~search & partial, 25, "partial_label_match"),
-        (contains_any(F.col(description), ["association football player", "footballer", "soccer player", "football player"]), 25, "football_description"),
-        (contains_any(F.col(occupations), ["association football player", "football player"]), 35, "football_occupation"),
-        (contains_any(F.col(sports), ["association football", "soccer"]), 15, "association_football_sport"),
-        (any_in(F.col(citizenships), context), 20, "citizenship_matches_team_context"),
-        (any_in(F.col(teams), context), 30, "team_membership_matches_team_context"),
-        (any_in(F.col(positions), position_words), 10, "position_matches_roster_context"),
-        (full(dob), 5, "has_date_of_birth"),
-        (full(pob), 5, "has_place_of_birth"),
-        (full(image), 3, "has_image"),
+        (any_word(desc, "association football player", "footballer", "soccer player", "football player"), 25, "football_description"),
+        (any_word(occ, "association football player", "football player"), 35, "football_occupation"),
+        (any_word(sport, "association football", "soccer"), 15, "association_football_sport"),
+        (any_in(cit, context), 20, "citizenship_matches_team_context"),
+        (any_in(team, context), 30, "team_membership_matches_team_context"),
+        (any_in(pos, position_words), 10, "position_matches_roster_context"),
+        (_present(dob), 5, "has_date_of_birth"),
+        (_present(pob), 5, "has_place_of_birth"),
+        (_present(image), 3, "has_image"),
     ]
+    return score_rules(df, rules).drop(*[f"_n{i}" for i in range(len(texts))])
 
 
-def top_two(candidates: DataFrame, key: str, candidate: str, score: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Per key: best and runner-up candidate with scores. Only two rows per key and task are shuffled."""
-    top = top_per_key(candidates, [key], [F.desc(score), *[F.asc(t) for t in ties], F.asc(candidate)], 2, "_rn")
-    pick = lambda c, i: F.max(F.when(F.col("_rn") == i, F.col(c)))
-    return top.groupBy(key).agg(
-        pick(candidate, 1).alias("best"), pick(score, 1).alias("best_score"),
-        pick(candidate, 2).alias("second"), pick(score, 2).alias("second_score"),
-    )
+def _present(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+
+
+def best_and_second(candidates: DataFrame, key: str, order_by: Sequence[Column], seconds: dict[str, str]) -> DataFrame:
+    """Per key the best row, and ``seconds`` {output: column} of the runner-up, from one pass.
+
+    Only two rows per key and task are shuffled.
+    """
+    rest = [c for c in candidates.columns if c != key]
+    top = top_per_key(candidates, [key], order_by, 2, "_rn")
+    pick = lambda i, v: F.first(F.when(F.col("_rn") == i, v), ignorenulls=True)
+    out = top.groupBy(key).agg(pick(1, F.struct(*rest)).alias("_b"), *[pick(2, F.col(c)).alias(o) for o, c in seconds.items()])
+    return out.select(key, "_b.*", *seconds)
 
 
 def best_with_margin(entities: DataFrame, candidates: DataFrame, key: str, candidate: str, score: str, min_score: int = 85,
                      min_margin: int = 20, ties: Sequence[str] = ()) -> DataFrame:
     """Decision per entity: auto, ambiguous, low_confidence, or no_match; a missing runner-up scores 0."""
-    out = entities.join(top_two(candidates, key, candidate, score, ties), key, "left")
+    order = [F.desc(score), *[F.asc(t) for t in ties], F.asc(candidate)]
+    two = best_and_second(candidates.select(key, candidate, score, *ties), key, order, {"second": candidate, "second_score": score})
+    two = two.select(key, F.col(candidate).alias("best"), F.col(score).alias("best_score"), "second", "second_score")
+    out = entities.join(two, key, "left")
     margin = F.col("best_score") - F.coalesce("second_score", F.lit(0))
     return out.withColumn("margin", margin).withColumn(
         "decision",
@@ -99,20 +113,16 @@ def prefer_detail_row(details: DataFrame, key: str, preferences: Sequence[Column
     return first_per_key(details, [key], [*[F.when(p, 0).otherwise(1) for p in preferences], F.col(tie)])
 
 
-def _present(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
-
-
 def score_name_similarity(df: DataFrame, name: str, name_ascii: str, label: str, search_label: str, description: str, instance_of: str,
                           stadium: str, stadium_lat: str, stadium_lon: str, club_lat: str, club_lon: str, page: str, rank: str,
                           version: int = 2, out: str = "candidate_score") -> DataFrame:
     """Club candidate score, 0 to 100. Version 1 has fewer signals and other weights."""
-    norm = lambda c: strip_org_suffixes(F.col(c))
-    lab, slab = norm(label), norm(search_label)
-    names = [norm(name), norm(name_ascii)]
+    df = df.withColumns({f"_n{i}": strip_org_suffixes(F.col(c)) for i, c in enumerate((name, name_ascii, label, search_label))})
+    names, lab, slab = [F.col("_n0"), F.col("_n1")], F.col("_n2"), F.col("_n3")
     sim = lambda a, b: F.when((a != "") & (b != ""), similarity(a, b)).otherwise(0.0)
     labels = [lab, slab] if version == 2 else [lab]
-    best = F.greatest(*[sim(n, x) for n in names for x in labels], F.lit(0.0))
+    df = df.withColumn("_best", F.greatest(*[sim(n, x) for n in names for x in labels], F.lit(0.0)))
+    best = F.col("_best")
     is_name = lambda x: (x != "") & ((x == names[0]) | (x == names[1]))
     desc = F.lower(F.concat_ws(" ", description)) if version == 1 else F.lower(F.concat_ws(" ", description, search_label))
     inst = F.lower(F.coalesce(F.col(instance_of), F.lit("")))
@@ -133,7 +143,8 @@ def score_name_similarity(df: DataFrame, name: str, name_ascii: str, label: str,
         everything = F.concat_ws(" ", desc, inst, F.lower(F.concat_ws(" ", label, search_label)))
         wrong = has(everything, BAD_ENTITY_HINTS) & ~has(everything, ["football", "soccer"])
         score = score - F.when(wrong, 20).otherwise(0) + F.greatest(F.lit(0), 8 - F.coalesce(F.col(rank), F.lit(99)))
-    return df.withColumn(out, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
+    scored = df.withColumn(out, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
+    return scored.drop("_n0", "_n1", "_n2", "_n3", "_best")
 
 
 def classify_candidates(entities: DataFrame, candidates: DataFrame, searches: DataFrame, key: str, candidate: str, version: int = 2) -> DataFrame:
@@ -142,15 +153,14 @@ def classify_candidates(entities: DataFrame, candidates: DataFrame, searches: Da
     ``candidates`` has candidate_score, search_rank, stadium_lat/lon, club_lat/lon. ``searches`` has one
     row per query with search_status (``ok…``, ``candidate``, ``api_request_failed``).
     """
-    two = top_per_key(candidates, [key], [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)], 2, "_rn")
-    second = two.filter("_rn = 2").select(key, F.col("candidate_score").alias("second_score"))
-    best = two.filter("_rn = 1").drop("_rn")
+    order = [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)]
+    best = best_and_second(candidates, key, order, {"second_score": "candidate_score"})
     log = searches.groupBy(key).agg(
         F.count_if(F.col("search_status") == "api_request_failed").alias("_failed"),
         F.count_if(F.col("search_status").startswith("ok")).alias("_ok"),
         F.count_if(F.col("search_status") == "candidate").alias("_cands"),
     )
-    out = entities.join(best, key, "left").join(second, key, "left").join(log, key, "left")
+    out = entities.join(best, key, "left").join(log, key, "left")
     top, gap = F.col("candidate_score"), F.col("candidate_score") - F.coalesce("second_score", F.lit(0))
     stadium = _present("stadium_lat") & _present("stadium_lon")
     club = _present("club_lat") & _present("club_lon")
@@ -187,8 +197,8 @@ def classify_candidates(entities: DataFrame, candidates: DataFrame, searches: Da
 def score_geo_candidate(df: DataFrame, place: str, names: Sequence[str], feature: str, population: str, lat: str, lon: str,
                         center_lat: str, center_lon: str) -> DataFrame:
     """Place candidate score from name, class, population and distance to a trusted center."""
-    target = fold(F.col(place), "place")
-    cand = [fold(F.col(n), "place") for n in names]
+    df = df.withColumns({f"_n{i}": fold(F.col(c), "place") for i, c in enumerate((place, *names))})
+    target, *cand = (F.col(f"_n{i}") for i in range(len(names) + 1))
     exact = reduce(lambda a, b: a | b, [(c != "") & (c == target) for c in cand])
     partial = reduce(lambda a, b: a | b, [(c != "") & (F.contains(c, target) | F.contains(target, c)) for c in cand])
     weights = F.create_map(*[F.lit(x) for kv in FEATURE_WEIGHTS.items() for x in kv])
@@ -203,15 +213,13 @@ def score_geo_candidate(df: DataFrame, place: str, names: Sequence[str], feature
         + F.when(pop > 0, F.least(F.lit(18.0), F.log10(pop + 1) * 3)).otherwise(0.0)
         + near
     )
-    return df.withColumn("geo_score", score)
+    return df.withColumn("geo_score", score).drop(*[f"_n{i}" for i in range(len(names) + 1)])
 
 
 def choose_geo_candidate(scored: DataFrame, key: str, candidate: str, mode: str = "query_mode", exact_mode: str = "name_equals") -> DataFrame:
     """Best place per key by score, distance, population, with a confidence and a note."""
     order = [F.desc("geo_score"), F.asc_nulls_last("distance_km"), F.desc_nulls_last("population"), F.asc(candidate)]
-    two = top_per_key(scored, [key], order, 2, "_rn")
-    second = two.filter("_rn = 2").select(key, F.col("geo_score").alias("_second"))
-    out = two.filter("_rn = 1").drop("_rn").join(second, key, "left")
+    out = best_and_second(scored, key, order, {"_second": "geo_score"})
     margin = F.when(F.col("_second").isNull(), 999.0).otherwise(F.col("geo_score") - F.col("_second"))
     d = F.col("distance_km")
     confidence = (
@@ -273,13 +281,14 @@ def search_text(*parts: str) -> Column:
 def validate_identity(df: DataFrame, name: str, label: str, aliases: str, description: str, citizenships: str, teams: str, club: str,
                       local_dob: str, other_dob: str, context: Column, domain: Sequence[str], lo: int = 1900, hi: int = 2010, spot: int = 1986) -> DataFrame:
     """Points, flags and severity for an already linked identity. ``aliases`` is a pipe list."""
-    n = norm_key(F.col(name))
-    spellings = F.filter(F.transform(F.concat(F.array(F.col(label)), F.split(F.coalesce(F.col(aliases), F.lit("")), r"\|")), norm_key), lambda x: x != "")
+    df = df.withColumns({f"_n{i}": norm_key(F.col(c)) for i, c in enumerate((name, description, citizenships, teams, club))})
+    n, about, cit, history, club_norm = (F.col(f"_n{i}") for i in range(5))
+    spellings = F.filter(F.transform(F.split(F.concat_ws("|", F.col(label), F.col(aliases)), r"\|"), norm_key), lambda x: x != "")
     sim = F.when(n != "", F.coalesce(F.array_max(F.transform(spellings, lambda x: similarity(n, x))), F.lit(0.0))).otherwise(0.0)
-    any_in = lambda c, words: F.exists(words, lambda w: (w != "") & F.contains(norm_key(F.col(c)), w))
-    ok_domain = contains_any(F.col(description), domain)
-    ok_context = any_in(citizenships, context) | any_in(teams, context)
-    ok_club = _present(club) & (norm_key(F.col(club)) != "") & F.contains(norm_key(F.col(teams)), norm_key(F.col(club)))
+    any_in = lambda hay, words: F.exists(words, lambda w: (w != "") & F.contains(hay, w))
+    ok_domain = reduce(lambda x, y: x | y, [F.contains(about, norm_key(F.lit(w))) for w in domain])
+    ok_context = any_in(cit, context) | any_in(history, context)
+    ok_club = (club_norm != "") & F.contains(history, club_norm)
     a, b = F.col(local_dob), F.col(other_dob)
     df = df.withColumn("name_similarity", sim)
     s = F.col("name_similarity")
@@ -301,7 +310,7 @@ def validate_identity(df: DataFrame, name: str, label: str, aliases: str, descri
         F.when(has("dob_year_implausible", "dob_mismatch", "domain_not_clear"), "high").when(has("name_similarity_low", "context_not_found"), "medium")
         .when(has("club_not_in_history_soft_warning", f"birth_year_before_{spot}_spot_check"), "low").otherwise("ok")
     )
-    return df.withColumn("severity", severity).withColumn("flags", F.array_join("_flags", "|")).drop("_flags")
+    return df.withColumn("severity", severity).withColumn("flags", F.array_join("_flags", "|")).drop("_flags", *[f"_n{i}" for i in range(5)])
 
 
 def date_confirmed_match(rows: DataFrame, candidates: DataFrame, key: str, date: str, candidate: str, candidate_date: str, rank: str) -> DataFrame:
@@ -322,21 +331,21 @@ def triage(review: DataFrame, candidates: DataFrame, key: str, candidate: str, n
 
     ``review`` has match_status, candidate_score, search_rank, player_count.
     """
-    two = top_per_key(candidates, [key], [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)], 2, "_rn")
-    second = two.filter("_rn = 2").select(key, F.col(candidate).alias("second_candidate"), F.col("candidate_score").alias("second_score"))
-    top = two.filter("_rn = 1").select(key, F.col("candidate_score").alias("_top"))
-    all_text = F.lower(F.concat_ws(" ", *text))
+    order = [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)]
+    two = best_and_second(candidates.select(key, candidate, "candidate_score", "search_rank"), key, order, {"second_candidate": candidate, "second_score": "candidate_score"})
+    two = two.select(key, F.col("candidate_score").alias("_top"), "second_candidate", "second_score")
+    review = review.withColumns({"_text": F.lower(F.concat_ws(" ", *text)), "_n": strip_org_suffixes(F.col(name)), "_lab": strip_org_suffixes(F.col(label))})
+    all_text, n, lab = F.col("_text"), F.col("_n"), F.col("_lab")
     has = lambda words: reduce(lambda a, b: a | b, [F.contains(all_text, F.lit(w)) for w in words])
-    n, lab = strip_org_suffixes(F.col(name)), strip_org_suffixes(F.col(label))
     wrong_sport = has(WRONG_SPORT_HINTS)
-    df = review.join(top, key, "left").join(second, key, "left").withColumns({
+    df = review.join(two, key, "left").withColumns({
         "exact_name_match": (n != "") & (n == lab),
         "name_token_count": F.size(tokens(n)),
         "women_entity": F.contains(all_text, F.lit("women")),
         "non_club_entity": wrong_sport | (has(BAD_ENTITY_HINTS) & ~has(FOOTBALL_HINTS)),
         "likely_club": ~wrong_sport & (has(FOOTBALL_HINTS) | F.contains(all_text, F.lit("sports club"))),
         "score_gap_to_second": F.col("_top") - F.col("second_score"),
-    }).drop("_top")
+    }).drop("_top", "_text", "_n", "_lab")
     status, c = F.col("match_status"), F.col
     spot, bare, coords = "candidate_stadium_coords_needs_spotcheck", "candidate_no_coordinates", "candidate_coords_need_review"
     approve = c("exact_name_match") & (c("name_token_count") >= 2) & (c("candidate_score") >= 95) & (c("search_rank") == 1) & ~c("women_entity") & ~c("non_club_entity")

@@ -8,6 +8,7 @@ is then checked on the pairs that meet.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,35 +17,32 @@ from ..functions.text import tokens
 from ..skew import cut_lineage
 
 Q = 2
+ALPHABET = "^$? abcdefghijklmnopqrstuvwxyz0123456789"  # every other letter counts as "?"
+SIZE = len(ALPHABET)
 
 
 def _grams(c: Column) -> Column:
-    """Padded 2-grams over a 40-letter alphabet; mapping letters together never raises a distance."""
+    """Numbers of the padded 2-grams, 1 to SIZE squared; mapping letters together never raises a distance."""
     padded = F.concat(F.lit("^"), F.regexp_replace(c, "[^a-z0-9 ]", "?"), F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(Q)))
+    letter = lambda i: F.instr(F.lit(ALPHABET), F.substring(padded, i, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: (letter(i) - 1) * SIZE + letter(i + 1))
 
 
 def _with_prefix(names: DataFrame, text: str, threshold: float, frequencies: DataFrame) -> DataFrame:
-    """Adds ``_prefix``: the rarest grams of each name, as gram and occurrence number."""
-    # one row with at most 40 * 40 entries, by the alphabet
-    df = names.join(F.broadcast(frequencies)).withColumn("_g", _grams(F.col(text)))
-    g, freq = F.col("_g"), F.col("_freq")
-    occurrence = F.transform(g, lambda x, i: F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)))
-    keyed = F.transform(
-        F.arrays_zip(g.alias("g"), occurrence.alias("o")),
-        lambda e: F.struct(F.coalesce(F.element_at(freq, e["g"]), F.lit(0)).alias("f"), e["g"].alias("g"), e["o"].alias("o")),
-    )
+    """Adds ``_prefix``: the rarest grams of each name, one more than the allowed edits can touch."""
+    # one row holding an array of SIZE squared counts
+    df = names.withColumn("_g", _grams(F.col(text))).join(F.broadcast(frequencies))
+    ranked = F.sort_array(F.transform("_g", lambda g: F.struct(F.element_at("_freq", g).alias("f"), g.alias("g"))))
     distance = F.floor(F.length(text) * F.lit((1 - threshold) / threshold) + F.lit(1e-9))
-    rare = F.slice(F.array_sort(keyed), F.lit(1), (F.lit(Q) * distance + 1).cast("int"))
-    return df.withColumn("_prefix", F.transform(rare, lambda e: F.concat(e["g"], e["o"].cast("string")))).drop("_g", "_freq")
+    rare = F.slice(ranked, F.lit(1), (F.lit(Q) * distance + 1).cast("int"))
+    return df.withColumn("_prefix", F.array_distinct(F.transform(rare, lambda e: e["g"]))).drop("_g", "_freq")
 
 
 def _frequencies(*texts: DataFrame) -> DataFrame:
-    grams = texts[0].select(F.explode(_grams(F.col("_t"))).alias("g"))
-    for t in texts[1:]:
-        grams = grams.unionByName(t.select(F.explode(_grams(F.col("_t"))).alias("g")))
-    counts = grams.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("_freq"))
+    grams = reduce(DataFrame.unionByName, [t.select(F.explode(_grams(F.col("_t"))).alias("g")) for t in texts])
+    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    by_number = counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
+    return by_number.select(F.transform(F.sequence(F.lit(1), F.lit(SIZE * SIZE)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("_freq"))
 
 
 def similar_names(left: DataFrame, right: DataFrame | None, block: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:

@@ -70,8 +70,8 @@ def scored(t):
         "dob": F.when(F.col("size") > 5, "2000-01-01"), "pob": F.when(F.col("size") > 10, "Here"), "img": F.when(F.col("size") > 40, "x.jpg"),
     })
     words = lambda *w: F.array(*[F.lit(x) for x in w])
-    rules = resolve.person_rules("name", "label", "match_text", "descr", "occ", "sport", "citizen", "clubs", words("united states", "usa"), "pos", words("defender", "back"), "dob", "pob", "img")
-    return resolve.score_rules(c, rules).select("entity", "candidate", "rank", "match_score", "match_reasons")
+    out = resolve.score_person(c, "name", "label", "match_text", "descr", "occ", "sport", "citizen", "clubs", words("united states", "usa"), "pos", words("defender", "back"), "dob", "pob", "img")
+    return out.select("entity", "candidate", "rank", "match_score", "match_reasons")
 
 
 @query("score_rules", f"WITH {SCORED} SELECT * FROM scored")
