@@ -28,22 +28,23 @@ def reconcile(ours: DataFrame, theirs: DataFrame, block: str, key: str, our_id:
         return (ours.join(found.select(our_id), our_id, "left_anti"), theirs.join(found.select(their_id), their_id, "left_anti"))
 
     def fuzzy(lo: float, hi: float) -> DataFrame:
+        # a distinct name of a block is one node; its copies are the node's units
+        number = lambda df, i, c: numbered_copies(df.select(block, F.col(key).alias(c), i), [block, c], i)
         o, t = rest()
-        pairs = similar_names(o.withColumnRenamed(key, "a"), t.withColumnRenamed(key, "b"), [block], "a", "b", lo)
-        pairs = pairs.filter(F.col("score") <= hi)
-        on, tn = numbered_copies(o.select(block, key, our_id), [block, key], our_id), numbered_copies(t.select(block, key, their_id), [block, key], their_id)
+        on, tn = number(o, our_id, "a"), number(t, their_id, "b")
+        pairs = similar_names(on, tn, [block], "a", "b", lo).filter(F.col("score") <= hi)
         node = lambda c: F.struct(F.col(block).alias("block"), F.col(c).alias("key"))
-        caps = lambda df, c, cap: df.groupBy(block, F.col(key).alias(c)).agg(F.count(F.lit(1)).alias(cap))
-        edges = pairs.join(caps(o, "a", "cap_a"), [block, "a"]).join(caps(t, "b", "cap_b"), [block, "b"]).select(
+        caps = lambda df, c: df.groupBy(block, c).agg(F.max("copy_no").alias(f"cap_{c}"))
+        edges = pairs.join(caps(on, "a"), [block, "a"]).join(caps(tn, "b"), [block, "b"]).select(
             node("a").alias("a"), node("b").alias("b"), "score", "cap_a", "cap_b"
         )
         units = greedy_assign(edges).select("*", F.explode(F.sequence(F.lit(1), F.col("take"))).alias("_u")).select(
             F.col("a.block").alias(block), F.col("a.key").alias("a"), F.col("b.key").alias("b"), "score",
             (F.col("start_a") + F.col("_u")).alias("_na"), (F.col("start_b") + F.col("_u")).alias("_nb"),
         )
-        side = lambda df, c, n: df.select(block, F.col(key).alias(c), F.col("copy_no").alias(n), *[x for x in (our_id, their_id) if x in df.columns])
-        return units.join(side(on, "a", "_na"), [block, "a", "_na"]).join(side(tn, "b", "_nb"), [block, "b", "_nb"]).select(
-            block, our_id, their_id, F.lit("fuzzy").alias("method"), "score"
+        return (
+            units.join(on.withColumnRenamed("copy_no", "_na"), [block, "a", "_na"]).join(tn.withColumnRenamed("copy_no", "_nb"), [block, "b", "_nb"])
+            .select(block, our_id, their_id, F.lit("fuzzy").alias("method"), "score")
         )
 
     if date:
