@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.ids import hash_n, make_id
 from ..functions.text import clean_spaces, fold, is_suspicious_text, normalize_enum, repair_mojibake
@@ -209,7 +209,3 @@ def relational_split(raw: DataFrame, codes: DataFrame, positions: dict[str, str]
 
 def missing_codes(raw: DataFrame, codes: DataFrame, team: str = "team") -> DataFrame:
     return raw.select(team).distinct().join(codes.select(team), team, "left_anti")
-
-
-def is_changed(a: Column, b: Column) -> Column:
-    return ~a.eqNullSafe(b)

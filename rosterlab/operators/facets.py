@@ -53,7 +53,7 @@ def cities_with_match(members: DataFrame, clubs: DataFrame) -> DataFrame:
 def cascading_options(clubs: DataFrame, links: DataFrame, f: Facets, selected: DataFrame | None = None) -> DataFrame:
     """(facet, option): the values of each facet under the other filters; countries also ignore the league."""
     flags = _club_flags(clubs, links, f, selected)
-    by_team = flags.filter("_country and _league and _selected").select("club_id").join(links.select("club_id", "team"), "club_id")
+    by_team = flags.filter("_country and _league and _selected").select("club_id").join(links.select("club_id", "team").distinct(), "club_id")
     own = flags.select(F.explode(F.array_compact(F.array(
         F.when(F.expr("_team and _selected") & F.col("country").isNotNull(), F.struct(F.lit("country").alias("facet"), F.col("country").alias("option"))),
         F.when(F.expr("_team and _country and _selected") & F.col("league").isNotNull(), F.struct(F.lit("league").alias("facet"), F.col("league").alias("option"))),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import strip_generic_tokens, tokens, is_token_prefix, split_list
+from ..functions.text import split_list, strip_generic_tokens, tokens
 from ..skew import first_per_key, last_per_key, salted_left_join
 
 
@@ -31,11 +31,14 @@ def active_people(people: DataFrame, entries: DataFrame, key: str = "player_id")
 
 
 def roster(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, teams: DataFrame | None = None,
-           active: bool = True) -> DataFrame:
-    """entry ⟕ player ⟕ link ⟕ club (⟕ team). ``active=False`` keeps the whole population."""
+           active: bool = True, salt: int = 0) -> DataFrame:
+    """entry ⟕ player ⟕ link ⟕ club (⟕ team). ``active=False`` keeps the whole population.
+
+    ``salt`` spreads a club that holds much of the roster when the clubs are too many to broadcast.
+    """
     out = active_only(entries) if active else entries
     out = out.join(players, "player_id", "left").join(links.select("player_id", "club_id"), "player_id", "left")
-    out = out.join(clubs, "club_id", "left")
+    out = salted_left_join(out, clubs, "club_id", salt) if salt else out.join(clubs, "club_id", "left")
     if teams is not None:
         out = out.join(teams.select("team_code", *[c for c in teams.columns if c not in out.columns]), "team_code", "left")
     return out
@@ -137,28 +140,28 @@ def attach_attributes(df: DataFrame, src: DataFrame, keys: Sequence[str], column
     return df.join(side, list(keys), "left").fillna(default, subset=list(columns))
 
 
+def _token_prefixes(c: str) -> Column:
+    """Every leading run of tokens of a simplified name, the whole name included."""
+    t = tokens(F.col(c))
+    return F.transform(F.sequence(F.lit(1), F.size(t)), lambda n: F.array_join(F.slice(t, F.lit(1), n), " "))
+
+
 def prefix_candidates(people: DataFrame, places: DataFrame, block: str, name: str, candidate: str) -> DataFrame:
     """(name, place) in the same block whose simplified names are equal, or where one is a strict
     token prefix of the other; names that equal a place of the block exactly are left out.
 
-    Equality and prefix both imply the same first token, so (block, first token) is the join key
-    and no pair is lost. Distinct names join, not rows, so copies of a name cost nothing.
+    The longer name lists its token prefixes, and a prefix must equal the shorter name: two
+    equi-joins that meet on hits only, however many names share a first token. Distinct names
+    join, not rows.
     """
-    simple = lambda c: strip_generic_tokens(F.col(c))
-    first = lambda c: F.element_at(tokens(F.col(c)), 1)
     p = people.select(block, name).distinct().join(
         places.select(block, F.col(candidate).alias(name)).distinct(), [block, name], "left_anti"
-    )
-    p = p.withColumn("name_simple", simple(name)).filter("name_simple <> ''").withColumn("_t", first("name_simple"))
-    c = places.select(block, candidate).distinct().withColumn("candidate_simple", simple(candidate))
-    c = c.filter("candidate_simple <> ''").withColumn("_t", first("candidate_simple"))
-    reason = (
-        F.when(F.col("name_simple") == F.col("candidate_simple"), "equal after dropping generic words")
-        .when(is_token_prefix(F.col("name_simple"), F.col("candidate_simple")), "name is contained in candidate")
-        .when(is_token_prefix(F.col("candidate_simple"), F.col("name_simple")), "candidate is contained in name")
-    )
-    return p.join(c, [block, "_t"]).withColumn("review_reason", reason).filter("review_reason is not null").drop("_t")
-
-
-def equal_or_null(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+    ).withColumn("name_simple", strip_generic_tokens(F.col(name))).filter("name_simple <> ''")
+    c = places.select(block, candidate).distinct().withColumn("candidate_simple", strip_generic_tokens(F.col(candidate)))
+    c = c.filter("candidate_simple <> ''")
+    equal, inside, around = "equal after dropping generic words", "name is contained in candidate", "candidate is contained in name"
+    whole = F.col("name_simple") == F.col("candidate_simple")
+    by_name = p.withColumn("_k", F.explode(_token_prefixes("name_simple"))).join(c.withColumn("_k", F.col("candidate_simple")), [block, "_k"])
+    by_place = p.withColumn("_k", F.col("name_simple")).join(c.withColumn("_k", F.explode(_token_prefixes("candidate_simple"))), [block, "_k"]).filter(~whole)
+    out = by_name.withColumn("review_reason", F.when(whole, equal).otherwise(around)).unionByName(by_place.withColumn("review_reason", F.lit(inside)))
+    return out.drop("_k")

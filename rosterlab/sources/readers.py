@@ -18,6 +18,9 @@ def typed(df: DataFrame, types: dict[str, str], row_key: Sequence[str]) -> tuple
         F.when(blank_to_null(F.col(c)).isNotNull() & coerce(F.col(c), k).isNull(), F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")))
         for c, k in types.items() if c in df.columns and k != "text"
     ]
+    if not bad:
+        nothing = F.lit(None).cast("string")
+        return rows, df.select(*row_key, nothing.alias("field"), nothing.alias("raw")).filter(F.lit(False))
     rejects = df.select(*row_key, F.explode(F.array_compact(F.array(*bad))).alias("b")).select(*row_key, "b.*")
     return rows, rejects
 
