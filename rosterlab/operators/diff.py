@@ -120,10 +120,10 @@ def append_missing(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def append_change_log(log: DataFrame, entries: DataFrame, order_by: Sequence[str], prefix: str = "chg_") -> DataFrame:
     """Append entries under ids that go on from the log's largest number."""
-    top = log.agg(F.coalesce(F.max(F.regexp_extract("change_id", r"(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top"))
-    numbered = number_rows(entries, [F.col(c) for c in order_by], out="_no").join(F.broadcast(top))  # one row by construction
-    ids = F.concat(F.lit(prefix), F.lpad((F.col("_no") + F.col("_top")).cast("string"), 9, "0"))
-    return log.unionByName(numbered.withColumn("change_id", ids).drop("_no", "_top"), allowMissingColumns=True)
+    top = log.agg(F.coalesce(F.max(F.regexp_extract("change_id", r"(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top")).scalar()
+    numbered = number_rows(entries, [F.col(c) for c in order_by], out="_no")
+    ids = F.concat(F.lit(prefix), F.lpad((F.col("_no") + top).cast("string"), 9, "0"))
+    return log.unionByName(numbered.withColumn("change_id", ids).drop("_no"), allowMissingColumns=True)
 
 
 def resume_pending(todo: DataFrame, done: DataFrame, key: str, resolved: Column | None = None) -> DataFrame:

@@ -47,15 +47,13 @@ def impact(links: DataFrame, entries: DataFrame, clubs: DataFrame, stats: DataFr
 def weighted_index(df: DataFrame, weights: dict[str, float], out: str, scale: float = 100.0) -> DataFrame:
     """``scale`` · Σ weight · x / max(x), the maximum floored at 1.
 
-    The maxima come from one aggregate joined back as a single row; a window over the whole
-    frame would put every row into one task.
+    The maxima are one scalar subquery; a window over the whole frame would put every row into one task.
     """
-    tops = df.agg(*[F.greatest(F.max(F.col(c).cast("double")), F.lit(1.0)).alias(f"_max_{c}") for c in weights])
+    tops = df.agg(F.struct(*[F.greatest(F.max(F.col(c).cast("double")), F.lit(1.0)).alias(c) for c in weights]).alias("m")).scalar()
     score: Column = F.lit(0.0)
     for c, w in weights.items():
-        score = score + F.lit(w) * F.col(c) / F.col(f"_max_{c}")
-    # one row by construction
-    return df.join(F.broadcast(tops)).withColumn(out, scale * score).drop(*[f"_max_{c}" for c in weights])
+        score = score + F.lit(w) * F.col(c) / tops.getField(c)
+    return df.withColumn(out, scale * score)
 
 
 def top_metric(df: DataFrame, metric: str, label: str, n: int) -> DataFrame:

@@ -69,7 +69,6 @@ def team_table(df: DataFrame, sort_key: str, ascending: bool = False, text: bool
 def goals_vs_expected(df: DataFrame, goals: str, expected: str, band: float = 0.5) -> DataFrame:
     """Difference and over / par / under by the band, plus the shared axis maximum rounded up to even."""
     d = F.col(goals) - F.col(expected)
-    top = df.agg((F.ceil(F.greatest(F.max(goals), F.max(expected)) / 2) * 2).cast("long").alias("axis_max"))
+    top = df.agg((F.ceil(F.greatest(F.max(goals), F.max(expected)) / 2) * 2).cast("long").alias("axis_max")).scalar()
     verdict = F.when(d > band, "over").when(d < -band, "under").when(d.isNotNull(), "par")
-    # one row by construction
-    return df.withColumn("difference", d).withColumn("verdict", verdict).join(F.broadcast(top))
+    return df.withColumn("difference", d).withColumn("verdict", verdict).withColumn("axis_max", top)

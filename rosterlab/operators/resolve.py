@@ -369,11 +369,11 @@ def triage(review: DataFrame, candidates: DataFrame, key: str, candidate: str, n
 def review_queue(checks: Sequence[DataFrame], existing: DataFrame, order_by: Sequence[str], prefix: str = "rev_") -> DataFrame:
     """Standard review rows of several checks, numbered on from the existing queue's largest number."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), checks)
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract("review_id", r"(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top"))
-    numbered = number_rows(rows, [F.col(c) for c in order_by], out="_no").join(F.broadcast(top))  # one row by construction
-    digits = (F.col("_no") + F.col("_top")).cast("string")
+    top = existing.agg(F.coalesce(F.max(F.regexp_extract("review_id", r"(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top")).scalar()
+    numbered = number_rows(rows, [F.col(c) for c in order_by], out="_no")
+    digits = (F.col("_no") + top).cast("string")
     review_id = F.concat(F.lit(prefix), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))
-    return numbered.withColumn("review_id", review_id).withColumn("status", F.lit("open")).drop("_no", "_top")
+    return numbered.withColumn("review_id", review_id).withColumn("status", F.lit("open")).drop("_no")
 
 
 def attribution_review(df: DataFrame, external_id: str, title: str, columns: Sequence[str]) -> DataFrame:

@@ -28,21 +28,21 @@ def _grams(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: (letter(i) - 1) * SIZE + letter(i + 1))
 
 
-def _with_prefix(names: DataFrame, text: str, threshold: float, frequencies: DataFrame) -> DataFrame:
+def _with_prefix(names: DataFrame, text: str, threshold: float, frequencies: Column) -> DataFrame:
     """Adds ``_prefix``: the rarest grams of each name, one more than the allowed edits can touch."""
-    # one row holding an array of SIZE squared counts
-    df = names.withColumn("_g", _grams(F.col(text))).join(F.broadcast(frequencies))
+    df = names.withColumn("_g", _grams(F.col(text))).withColumn("_freq", frequencies)
     ranked = F.sort_array(F.transform("_g", lambda g: F.struct(F.element_at("_freq", g).alias("f"), g.alias("g"))))
     distance = F.floor(F.length(text) * F.lit((1 - threshold) / threshold) + F.lit(1e-9))
     rare = F.slice(ranked, F.lit(1), (F.lit(Q) * distance + 1).cast("int"))
     return df.withColumn("_prefix", F.array_distinct(F.transform(rare, lambda e: e["g"]))).drop("_g", "_freq")
 
 
-def _frequencies(*texts: DataFrame) -> DataFrame:
+def _frequencies(*texts: DataFrame) -> Column:
+    """How often each gram occurs: one array of SIZE squared counts, as a scalar subquery."""
     grams = reduce(DataFrame.unionByName, [t.select(F.explode(_grams(F.col("_t"))).alias("g")) for t in texts])
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     by_number = counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
-    return by_number.select(F.transform(F.sequence(F.lit(1), F.lit(SIZE * SIZE)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("_freq"))
+    return by_number.select(F.transform(F.sequence(F.lit(1), F.lit(SIZE * SIZE)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("_freq")).scalar()
 
 
 def similar_names(left: DataFrame, right: DataFrame | None, block: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -44,7 +44,8 @@ def log_snapshots(snapshots: DataFrame, day: str, key: Sequence[str], fields: Se
         spark = df.sparkSession
         curr = df.select(*key, *fields)
         prev = _written(spark, f"{state}/batch={batch_id - 1}", curr.schema)
-        snapshot_diff(prev, curr, key, fields).join(df.select(day).limit(1)).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        today = df.agg(F.max(day)).first()[0]
+        snapshot_diff(prev, curr, key, fields).withColumn(day, F.lit(today)).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
         curr.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

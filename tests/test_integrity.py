@@ -66,13 +66,15 @@ def test_query_agrees_with_sql(spark, con, name):
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", ["composition_scorecard", "squad_concentration", "head_to_head", "roster", "snapshot_diff", "link_by_keys", "best_with_margin"])
+@pytest.mark.parametrize("name", ["composition_scorecard", "squad_concentration", "head_to_head", "roster", "snapshot_diff", "link_by_keys", "duplicate_names", "best_with_margin", "impact_by_club", "prefix_candidates"])
 def test_plan_has_no_cross_product(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    # the only keyless join allowed carries one row: the gram counts or the maxima
-    if "BroadcastNestedLoopJoin" in plan:
-        assert name == "link_by_keys"
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_best_and_second_trims_groups_before_the_shuffle(spark):
+    plan = QUERIES["top_n_per_group"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
 
 
 def test_scan_reads_only_what_it_uses(spark):
