@@ -8,11 +8,10 @@ from .text import clean_spaces, fold
 
 
 def slugify(c: Column, sep: str = "_", max_len: int | None = 40, fallback: str = "unknown") -> Column:
-    slug = F.regexp_replace(fold(clean_spaces(c), "spaced_lower"), "[^a-z0-9]+", sep)
-    edge = f"^{sep}+|{sep}+$"
-    slug = F.regexp_replace(slug, edge, "")
+    base = F.lower(fold(F.translate(c, "\u00a0", " "), "ascii"))
+    slug = F.btrim(F.regexp_replace(base, "[^a-z0-9]+", sep), F.lit(sep))
     if max_len:
-        slug = F.regexp_replace(F.left(slug, F.lit(max_len)), edge, "")
+        slug = F.btrim(F.left(slug, F.lit(max_len)), F.lit(sep))
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit(fallback))
 
 

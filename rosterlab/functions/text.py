@@ -46,7 +46,8 @@ MOJIBAKE_REPAIRS = {"√©": "é", "√°": "á", "√≥": "ó", "√±": "ñ",
 
 
 def clean_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s\u00A0]+", " "))
+    # single plain spaces, nearly all of them, are no match and cost nothing
+    return F.trim(F.regexp_replace(c, r"[\s\u00A0]{2,}|[\t\n\x0B\f\r\u00A0]", " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -74,7 +75,7 @@ class FoldProfile:
     lower: bool = False
     ampersand_word: bool = False
     hyphen_to_space: bool = False
-    drop: str | None = None  # runs of these become one space
+    drop: str | None = None  # each match becomes one space; a plain single space need not match
     collapse: bool = False  # runs of white space become one space
 
 
@@ -85,10 +86,10 @@ FOLD_PROFILES = {
     "letters": FoldProfile(ascii_only=True, lower=True, drop="[^a-z ]+"),
     "letters_spelled": FoldProfile(transliterate=True, ascii_only=True, lower=True, hyphen_to_space=True, drop="[^a-z ]+"),
     "spaced_lower": FoldProfile(ascii_only=True, lower=True, collapse=True),
-    "words": FoldProfile(ascii_only=True, lower=True, drop="[^a-z0-9]+"),
-    "words_spelled": FoldProfile(transliterate=True, lower=True, ampersand_word=True, drop="[^a-z0-9]+"),
-    "words_and": FoldProfile(lower=True, ampersand_word=True, drop="[^a-z0-9]+"),
-    "place": FoldProfile(lower=True, drop=r"[^\p{L}\p{N}]+"),
+    "words": FoldProfile(ascii_only=True, lower=True, drop="[^a-z0-9]{2,}|[^a-z0-9 ]"),
+    "words_spelled": FoldProfile(transliterate=True, lower=True, ampersand_word=True, drop="[^a-z0-9]{2,}|[^a-z0-9 ]"),
+    "words_and": FoldProfile(lower=True, ampersand_word=True, drop="[^a-z0-9]{2,}|[^a-z0-9 ]"),
+    "place": FoldProfile(lower=True, drop=r"[^\p{L}\p{N}]{2,}|[^\p{L}\p{N} ]"),
 }
 
 

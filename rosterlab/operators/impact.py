@@ -52,8 +52,8 @@ def weighted_index(df: DataFrame, weights: dict[str, float], out: str, scale: fl
     tops = df.agg(F.struct(*[F.greatest(F.max(F.col(c).cast("double")), F.lit(1.0)).alias(c) for c in weights]).alias("m")).scalar()
     score: Column = F.lit(0.0)
     for c, w in weights.items():
-        score = score + F.lit(w) * F.col(c) / tops.getField(c)
-    return df.withColumn(out, scale * score)
+        score = score + F.lit(w) * F.col(c) / F.col("_tops")[c]
+    return df.withColumn("_tops", tops).withColumn(out, scale * score).drop("_tops")
 
 
 def top_metric(df: DataFrame, metric: str, label: str, n: int) -> DataFrame:

@@ -39,7 +39,7 @@ def _with_prefix(names: DataFrame, text: str, threshold: float, frequencies: Col
 
 def _frequencies(*texts: DataFrame) -> Column:
     """How often each gram occurs: one array of SIZE squared counts, as a scalar subquery."""
-    grams = reduce(DataFrame.unionByName, [t.select(F.explode(_grams(F.col("_t"))).alias("g")) for t in texts])
+    grams = reduce(DataFrame.unionByName, [t.select(F.explode_outer(_grams(F.col("_t"))).alias("g")) for t in texts])
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     by_number = counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
     return by_number.select(F.transform(F.sequence(F.lit(1), F.lit(SIZE * SIZE)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("_freq")).scalar()
@@ -59,7 +59,8 @@ def similar_names(left: DataFrame, right: DataFrame | None, block: Sequence[str]
     freq = _frequencies(*texts)
     l = _with_prefix(la, a, threshold, freq).withColumnRenamed("_prefix", "_pa")
     r = _with_prefix(rb, b, threshold, freq).withColumnRenamed("_prefix", "_pb")
-    met = l.withColumn("_k", F.explode("_pa")).join(r.withColumn("_k", F.explode("_pb")), [*block, "_k"])
+    # a prefix is never empty; the outer form keeps Spark from testing that by computing it again
+    met = l.withColumn("_k", F.explode_outer("_pa")).join(r.withColumn("_k", F.explode_outer("_pb")), [*block, "_k"])
     longer = F.greatest(F.length(a), F.length(b))
     near = F.floor(longer * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
     keep = (F.abs(F.length(a) - F.length(b)) <= near)

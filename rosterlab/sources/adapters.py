@@ -159,7 +159,9 @@ class Tables:
     @cached_property
     def doc_lines(self) -> DataFrame:
         """Every line of every document: (doc_id, pos, value), whole texts."""
-        return self.documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
+        # the outer form splits each text once; the plain one would also split it to test for emptiness
+        lines = F.posexplode_outer(F.split("text", "\n")).alias("pos", "value")
+        return self.documents.filter("text is not null").select("doc_id", "lang", "source", lines)
 
     @cached_property
     def knockout(self) -> DataFrame:
