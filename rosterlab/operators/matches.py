@@ -142,8 +142,9 @@ def match_groups(matches: DataFrame, order: Sequence[str], view: str = "all", gr
 def bracket(matches: DataFrame, rounds: Sequence[str], by: Sequence[str] = ("tournament",)) -> DataFrame:
     """Knockout matches linked to the earlier matches their participants won.
 
-    One equi-join per round, from a side's (tournament, team) to the winners of the round before.
-    Adds the winner, the two feeder match ids, and the depth from the final (0).
+    One equi-join per side, from (tournament, round, team) to the winners of the round before. A
+    final between placeholders takes the matches of the round before in id order. Adds the winner,
+    the two feeder match ids, and the depth from the final (0).
     """
     res = _result("decided")
     m = matches.filter(F.col("stage").isin(*rounds)).withColumn("round_no", stage_rank(rounds)).withColumn(
@@ -156,7 +157,24 @@ def bracket(matches: DataFrame, rounds: Sequence[str], by: Sequence[str] = ("tou
         m = m.join(
             won.withColumnsRenamed({"_w": f"{side}_team", "_feeder": f"{side}_feeder"}), [*by, "round_no", f"{side}_team"], "left"
         )
-    return m.withColumn("depth", F.lit(len(rounds)) - F.col("round_no"))
+    m = m.withColumn("depth", F.lit(len(rounds)) - F.col("round_no"))
+    semis = m.filter("depth = 1").groupBy(*by).agg(F.min("match_id").alias("_s1"), F.max("match_id").alias("_s2"))
+    first, second = F.col("_s1"), F.when(F.col("_s1") != F.col("_s2"), F.col("_s2"))  # a bye leaves one semi-final
+
+    def feeder(mine: Column, theirs: Column, placed: Column) -> Column:
+        open_slot = F.when(theirs.isNull(), F.when(second.isNotNull(), placed)).when(theirs == first, second).when(theirs == second, first)
+        return F.coalesce(mine, F.when(F.col("depth") == 0, open_slot))
+
+    home, away = F.col("home_feeder"), F.col("away_feeder")
+    return m.join(semis, list(by), "left").withColumns({
+        "home_feeder": feeder(home, away, first), "away_feeder": feeder(away, home, second),
+    }).drop("_s1", "_s2")
+
+
+def third_place(linked: DataFrame, by: Sequence[str] = ("tournament",)) -> DataFrame:
+    """The two teams that lost the round before the final, with the match they lost."""
+    loser = F.when(F.col("winner") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team"))
+    return linked.filter("depth = 1 and winner is not null").select(*by, "match_id", loser.alias("team"))
 
 
 def bracket_path(linked: DataFrame, by: Sequence[str] = ("tournament",)) -> DataFrame:

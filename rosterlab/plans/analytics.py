@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import num
 from ..operators import composition, concentration, impact, joins, matches, rates
 from ..sources.adapters import AS_OF
 from .registry import query
@@ -370,3 +371,15 @@ SELECT tournament, team, count(*) AS played, max(round_no) AS last_round, coales
 FROM (SELECT tournament, round_no, winner, unnest([home_team, away_team]) AS team FROM ko) GROUP BY 1, 2""")
 def _(t):
     return matches.bracket_path(matches.bracket(t.knockout.drop("round_no"), ["Quarter-final", "Semi-final", "Final"]))
+
+
+@query("third_place", KO + """
+SELECT tournament, match_id, CASE WHEN winner = home_team THEN away_team ELSE home_team END AS team FROM ko WHERE round_no = 2""")
+def _(t):
+    return matches.third_place(matches.bracket(t.knockout.drop("round_no"), ["Quarter-final", "Semi-final", "Final"]))
+
+
+@query("percent_label", "SELECT player_id, CASE WHEN minutes_played > 0 THEN floor(goals * 100 / minutes_played)::INT || '%' ELSE 'N/A' END AS out FROM stats")
+def _(t):
+    share = F.floor(F.col("goals") * 100 / F.col("minutes_played")) / 100
+    return t.player_stats.select("player_id", num.pct_label(F.when(F.col("minutes_played") > 0, share)).alias("out"))

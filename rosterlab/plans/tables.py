@@ -392,7 +392,6 @@ def _(t):
     return diff.status_updates(matched, diff.present_only_in(p, c, "o_orderkey"), "o_orderkey", ["o_orderstatus"])
 
 
-MINT = "'n_' || replace(nm, ' ', '_') || '_' || left(sha1(nm), 8)"
 NEW_DIMS = f"""
 WITH d AS (SELECT p_name, min(p_partkey)::VARCHAR AS id FROM part WHERE p_brand = 'Brand#1' GROUP BY 1),
 f AS (SELECT lower(nm) AS k, min(nm) AS nm FROM (SELECT CASE WHEN p_size < 10 THEN upper(p_name) ELSE p_name END AS nm FROM part) WHERE lower(nm) NOT IN (SELECT p_name FROM d) GROUP BY 1)"""

@@ -120,6 +120,10 @@ def test_bracket_links_shootout_winner(spark):
     f = row(linked, match_id="f")
     assert (f.home_feeder, f.away_feeder, f.winner, f.depth) == ("q1", "q2", "C", 0)
     assert row(matches.bracket_path(linked), team="C").champion is True
+    assert {r.team for r in matches.third_place(linked).collect()} == {"B", "D"}
+    waiting = m.withColumn("home_team", F.when(F.col("stage") == "Final", "W1").otherwise(F.col("home_team"))).withColumn("home_score", F.when(F.col("stage") != "Final", F.col("home_score")))
+    f = row(matches.bracket(waiting, ["Quarter", "Final"]), match_id="f")
+    assert (f.home_feeder, f.away_feeder, f.winner) == ("q1", "q2", None)
 
 
 def test_quality(t):
