@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import concat_key, token_key
 from ..skew import cut_lineage
@@ -25,12 +25,18 @@ def reconcile(ours: DataFrame, theirs: DataFrame, block: str, key: str, our_id:
     def rest():
         return (ours.join(found.select(our_id), our_id, "left_anti"), theirs.join(found.select(their_id), their_id, "left_anti"))
 
-    def fuzzy(lo: float, hi: float) -> DataFrame:
+    # names left after the exact pass meet once; later passes only narrow this list
+    o, t = rest()
+    near = cut_lineage(similar_names(o.withColumnRenamed(key, "a"), t.withColumnRenamed(key, "b"), [block], "a", "b", threshold))
+
+    def fuzzy(found: DataFrame, which: Column) -> DataFrame:
+        pairs = near.filter(which)
+        if not pairs.limit(1).count():
+            return found
         # a distinct name of a block is one node; its copies are the node's units
         number = lambda df, i, c: numbered_copies(df.select(block, F.col(key).alias(c), i), [block, c], i)
         o, t = rest()
         on, tn = number(o, our_id, "a"), number(t, their_id, "b")
-        pairs = similar_names(on, tn, [block], "a", "b", lo).filter(F.col("score") <= hi)
         node = lambda c: F.struct(F.col(block).alias("block"), F.col(c).alias("key"))
         caps = lambda df, c: df.groupBy(block, c).agg(F.max("copy_no").alias(f"cap_{c}"))
         edges = pairs.join(caps(on, "a"), [block, "a"]).join(caps(tn, "b"), [block, "b"]).select(
@@ -40,19 +46,20 @@ def reconcile(ours: DataFrame, theirs: DataFrame, block: str, key: str, our_id:
             F.col("a.block").alias(block), F.col("a.key").alias("a"), F.col("b.key").alias("b"), "score",
             (F.col("start_a") + F.col("_u")).alias("_na"), (F.col("start_b") + F.col("_u")).alias("_nb"),
         )
-        return (
+        more = (
             units.join(on.withColumnRenamed("copy_no", "_na"), [block, "a", "_na"]).join(tn.withColumnRenamed("copy_no", "_nb"), [block, "b", "_nb"])
             .select(block, our_id, their_id, F.lit("fuzzy").alias("method"), "score")
         )
+        return cut_lineage(found.unionByName(more))
 
     if date:
-        found = cut_lineage(found.unionByName(fuzzy(date_score, 1.0)))
+        found = fuzzy(found, F.col("score") > date_score)
         o, t = (d.filter(F.col(date).isNotNull()).withColumn(date, F.col(date).cast("string")) for d in rest())
         same_day = exact_pairs(o, t, block, date, our_id, their_id).withColumn("method", F.lit("date")).withColumn("score", F.lit(date_score))
         found = cut_lineage(found.unionByName(same_day))
-        found = cut_lineage(found.unionByName(fuzzy(threshold, date_score)))
+        found = fuzzy(found, F.col("score") <= date_score)
     else:
-        found = cut_lineage(found.unionByName(fuzzy(threshold, 1.0)))
+        found = fuzzy(found, F.lit(True))
     cut, new = rest()
     return found, cut, new
 
