@@ -3,8 +3,8 @@
 
 def catalogue():
     """({name: query}, {name: SQL}) of this subpackage."""
-    from . import line_dedup, sentence_spans, simhash, tokens
+    from . import line_dedup, mix, quality, sentence_spans, simhash, tokens
 
-    parts = [line_dedup, tokens, simhash, sentence_spans]
+    parts = [mix, line_dedup, tokens, simhash, sentence_spans, quality]
     queries = {k: v for m in parts for k, v in m.QUERIES.items()}
     return queries, {k: v for m in parts for k, v in m.ORACLES.items()}
