@@ -3,8 +3,8 @@
 
 def catalogue():
     """({name: query}, {name: SQL}) of this subpackage."""
-    from . import decontaminate, language, line_dedup, mix, quality, sentence_spans, simhash, tokens
+    from . import decontaminate, language, line_dedup, main_text, mix, quality, sentence_spans, simhash, tokens
 
-    parts = [decontaminate, mix, line_dedup, language, tokens, simhash, sentence_spans, quality]
+    parts = [decontaminate, mix, line_dedup, language, main_text, tokens, simhash, sentence_spans, quality]
     queries = {k: v for m in parts for k, v in m.QUERIES.items()}
     return queries, {k: v for m in parts for k, v in m.ORACLES.items()}
