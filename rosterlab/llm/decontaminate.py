@@ -25,7 +25,7 @@ THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK_ITEMS = 16
 SHARD_WORDS = 1_000_000  # words of items in one broadcast index; more items make more indexes
-CHUNK = 1 << 22  # characters, and words, looked at together
+CHUNK = 1 << 19  # characters, and words, looked at together: arrays of this length are what a task holds beside its batch
 _WORD = re.compile(r"\w+")
 FOUND = "array<struct<item: int, score: double, question_overlap: double, answer_overlap: double, word: long>>"
 
