@@ -30,7 +30,7 @@ def local_session(cpus: int | None = None, app: str = "rosterlab") -> SparkSessi
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -49,7 +49,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     fails here rather than writing to a machine that may be lost.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
