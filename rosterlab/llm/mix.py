@@ -4,7 +4,7 @@ A source's target over its size is the rate at which its documents are copied. T
 is rounded so that each document keeps its probability and the words of a source stay what they were. Two documents
 meet; words of probability move from one to the other, in a random direction that is right on average, until one of
 them is 0 or 1 and decided; the other meets the next. Chunks of a source do this apart, each leaving at most one
-document open; these meet in chunks again, level by level, until a source has one open document, which is rounded by its own fraction.
+document open; these meet in chunks again, level by level, until a source is in one chunk. There the last open document is drawn by its own fraction.
 """
 
 from __future__ import annotations
@@ -80,10 +80,30 @@ def _level(rows: DataFrame, level: int) -> DataFrame:
     return held.select("source", "n_docs", state.alias("state")).select("source", "n_docs", "state.open", "state.done")
 
 
+def _settle(state: Column) -> Column:
+    """The last chunk of a source, all decided: the open document is drawn, and what it takes too much or too little goes to others.
+
+    From the largest down, a decision is turned where that brings the words closer to what they were, so the source ends within about its smaller documents of
+    its target.
+    """
+    last = state["open"]
+    drawn = (_uniform(*_key(last), F.lit(SEED + 2)) < last["p"]).cast("int")
+    over = (drawn - last["p"]) * last["size"]
+    order = F.transform(F.sort_array(F.transform(state["done"], lambda d: F.struct((-d["size"]).alias("o"), d.alias("d")))), lambda t: t["d"])
+
+    def turn(s: Column, d: Column) -> Column:
+        change = F.when(d["x"] == 1, -d["size"]).otherwise(d["size"])
+        better = F.abs(s["over"] + change) < F.abs(s["over"])
+        return F.struct(F.when(better, s["over"] + change).otherwise(s["over"]).alias("over"), F.concat(s["done"], F.array(d.withField("x", F.when(better, 1 - d["x"]).otherwise(d["x"])))).alias("done"))
+
+    start = F.struct(over.cast("double").alias("over"), F.array(last.withField("x", drawn)).alias("done"))
+    return F.aggregate(order, start, turn)["done"]
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) per row of ``docs``.
 
-    size: words of the text, null 0; taken = copies * size. A source's taken words differ from its target by less than its last open document.
+    size: words of the text, null 0; taken = copies * size. A source's taken words differ from its target by about a small document.
     A source without words has target 0. Repeated rows are numbered and
     drawn each; null ids and sources are values like others, null the last source. Draws are hashes of the row, so reruns agree. An
     empty table gives an empty result.
@@ -104,12 +124,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     while longest:
         level += 1
         step = cut_lineage(_level(open_, level))
-        decided.append(step.select("source", F.inline("done")).select("source", *fields))
-        open_ = step.select("source", "n_docs", "open.*").select(*rows.columns)
+        final = F.col("n_docs") <= CHUNK**level  # the source is in one chunk: this ends it
+        decided.append(step.filter(~final).select("source", F.inline("done")).select("source", *fields))
+        decided.append(step.filter(final).select("source", F.inline(_settle(F.struct("open", "done")))).select("source", *fields))
         if CHUNK**level >= longest:
-            last = open_.withColumn("x", (_uniform(F.col("doc_id"), F.col("th"), F.col("i"), F.lit(SEED + 2)) < F.col("p")).cast("int"))
-            decided.append(last.select("source", *fields))
             break
+        open_ = step.filter(~final).select("source", "n_docs", "open.*").select(*rows.columns)
     every = decided[0]
     for more in decided[1:]:
         every = every.unionByName(more)
