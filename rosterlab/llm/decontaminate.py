@@ -23,7 +23,8 @@ from .common import table
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
+CELLS = 1 << 21  # passages times blocks that are bounded together
 SHARD_WORDS = 1_000_000  # words of items in one broadcast index; more items make more indexes
 CHUNK = 1 << 19  # characters, and words, looked at together: arrays of this length are what a task holds beside its batch
 _WORD = re.compile(r"\w+")
@@ -69,8 +70,15 @@ class Index:
         self.list_at = np.searchsorted(key // self.blocks, np.arange(n_terms + 1))
         self.most = np.zeros(n_terms)
         np.maximum.at(self.most, self.item_term, self.item_w)
-        # terms of very many blocks add little to any score: they are bounded together and looked up only in items that are scored
+        # terms of very many blocks have their largest weights as a table, the others as lists
         self.common = np.diff(self.list_at) > max(1, self.blocks // 4)
+        usual = np.flatnonzero(self.common)
+        self.column = np.zeros(n_terms, np.int64)
+        self.column[usual] = np.arange(len(usual))
+        self.common_max = np.zeros((len(usual), self.blocks), np.float32)
+        n = np.diff(self.list_at)[usual]
+        entry = _ranges(self.list_at[usual], n)
+        self.common_max[np.repeat(np.arange(len(usual)), n), self.list_block[entry]] = self.list_max[entry]
 
     def search(self, ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(document, block of words, item, score) of word ids (-1: in no item) of many documents, with ``pos`` inside each."""
@@ -85,18 +93,21 @@ class Index:
         bound = np.bincount(block, self.most[term], len(owner))
         pivots = np.flatnonzero(bound[:-1] + bound[1:] >= threshold - eps)
         at = np.searchsorted(block, np.arange(len(owner) + 1))
-        for i in range(0, len(pivots), 4096):
-            pivot = pivots[i: i + 4096]
+        step = max(64, CELLS // self.blocks)
+        for i in range(0, len(pivots), step):
+            pivot = pivots[i: i + step]
             n = at[pivot + 2] - at[pivot]
             held = np.unique(np.repeat(np.arange(len(pivot)), n) * n_terms + term[_ranges(at[pivot], n)])
             p, t = held // n_terms, held % n_terms
             usual = self.common[t]
-            slack = np.bincount(p[usual], self.most[t[usual]], len(pivot))
+            has = np.zeros((len(pivot), len(self.common_max)), np.float32)
+            has[p[usual], self.column[t[usual]]] = 1
+            most = has @ self.common_max
             p, t = p[~usual], t[~usual]
             n = self.list_at[t + 1] - self.list_at[t]
             entry = _ranges(self.list_at[t], n)
-            most = np.bincount(np.repeat(p, n) * self.blocks + self.list_block[entry], self.list_max[entry], len(pivot) * self.blocks).reshape(len(pivot), self.blocks)
-            p, b = np.nonzero(most + slack[:, None] >= threshold - eps)
+            most += np.bincount(np.repeat(p, n) * self.blocks + self.list_block[entry], self.list_max[entry], most.size).reshape(most.shape)
+            p, b = np.nonzero(most >= threshold - 1e-4)
             n = np.minimum((b + 1) * BLOCK_ITEMS, len(self.numbers)) - b * BLOCK_ITEMS
             p, item = np.repeat(p, n), _ranges(b * BLOCK_ITEMS, n)
             n = self.item_at[item + 1] - self.item_at[item]
