@@ -69,9 +69,9 @@ class Tree(HTMLParser):
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#page", "", None)
-        self.depth = 0
-        # a declaration or processing instruction may not swallow the rest of a page
         self.feed(page)
+        if re.match(r"<[a-zA-Z/!?]", self.rawdata):  # a comment or tag that the page's end cuts off is no text
+            self.rawdata = ""
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
