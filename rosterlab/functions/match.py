@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -16,12 +13,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longer.cast("double")), F.lit(0.0))
 
 
-@F.pandas_udf(DoubleType())
-def exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio. Opt-in, and only over candidate pairs a blocking step produced."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the smaller token set; inputs are token arrays."""
     sa, sb = F.array_distinct(a), F.array_distinct(b)

@@ -1,75 +1,87 @@
-"""Similarity joins that lose no pair and never compare a whole group with itself.
+"""Similarity joins that lose no pair.
 
-Distinct names join, not rows. Two strings within edit distance d share at least one of their
-q·d+1 rarest q-grams, so only those grams become join keys (prefix filtering); the edit distance
-is then checked on the pairs that meet.
+Distinct names join, not rows. If two strings are within d edits, and the shorter one is cut into d+1 pieces, at least one piece stands
+unchanged in the longer one, near its place. So the join key is (length, edits, piece number, piece text): a stretch of several letters at a
+known place, which random names hardly share. The edit distance, stopped at its bound, is checked on the pairs that meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.match import similarity, token_overlap
 from ..functions.text import tokens
 from ..skew import cut_lineage
 
-Q = 2
-ALPHABET = "^$? abcdefghijklmnopqrstuvwxyz0123456789"  # every other letter counts as "?"
-SIZE = len(ALPHABET)
 
+def _edits(length: Column, threshold: float) -> Column:
+    """Edits that a pair may need whose longer string has this length."""
+    return F.floor(length * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
 
-def _grams(c: Column) -> Column:
-    """Numbers of the padded 2-grams, 1 to SIZE squared; mapping letters together never raises a distance."""
-    padded = F.concat(F.lit("^"), F.regexp_replace(c, "[^a-z0-9 ]", "?"), F.lit("$"))
-    letter = lambda i: F.instr(F.lit(ALPHABET), F.substring(padded, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: (letter(i) - 1) * SIZE + letter(i + 1))
 
+def _piece(length: Column, d: Column, i: Column) -> tuple[Column, Column]:
+    """(start, size) of piece i of d+1 nearly equal ones; the later pieces take the rest."""
+    size = F.floor(length / (d + 1)).cast("int")
+    short = d + 1 - length % (d + 1)
+    return i * size + F.greatest(F.lit(0), i - short), size + (i >= short).cast("int")
 
-def _with_prefix(names: DataFrame, text: str, threshold: float, frequencies: Column) -> DataFrame:
-    """Adds ``_prefix``: the rarest grams of each name, one more than the allowed edits can touch."""
-    df = names.withColumn("_g", _grams(F.col(text))).withColumn("_freq", frequencies)
-    ranked = F.sort_array(F.transform("_g", lambda g: F.struct(F.element_at("_freq", g).alias("f"), g.alias("g"))))
-    distance = F.floor(F.length(text) * F.lit((1 - threshold) / threshold) + F.lit(1e-9))
-    rare = F.slice(ranked, F.lit(1), (F.lit(Q) * distance + 1).cast("int"))
-    return df.withColumn("_prefix", F.array_distinct(F.transform(rare, lambda e: e["g"]))).drop("_g", "_freq")
 
+def _indexed(names: DataFrame, text: str, threshold: float) -> DataFrame:
+    """A key per piece of each name as the shorter string, for every number of edits a longer partner may bring."""
+    n = F.length(text)
+    longest = F.floor(n / F.lit(threshold) + F.lit(1e-9)).cast("int")
+    df = names.withColumn("_n", n).withColumn("_d", F.explode(F.sequence(_edits(n, threshold), _edits(longest, threshold))))
+    start, size = _piece(F.col("_n"), F.col("_d"), F.col("_i"))
+    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
+    return df.withColumn("_k", F.xxhash64("_n", "_d", "_i", F.substring(F.col(text), start + 1, size))).drop("_d", "_i")
 
-def _frequencies(*texts: DataFrame) -> Column:
-    """How often each gram occurs: one array of SIZE squared counts, as a scalar subquery."""
-    grams = reduce(DataFrame.unionByName, [t.select(F.explode_outer(_grams(F.col("_t"))).alias("g")) for t in texts])
-    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    by_number = counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
-    return by_number.select(F.transform(F.sequence(F.lit(1), F.lit(SIZE * SIZE)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("_freq")).scalar()
+
+def _probing(names: DataFrame, text: str, threshold: float) -> DataFrame:
+    """A key per stretch of each name, as the longer string, in which a piece of a shorter one may stand."""
+    n = F.length(text)
+    df = names.withColumn("_m", n).withColumn("_d", _edits(n, threshold))
+    df = df.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_m") - F.col("_d")), F.col("_m"))))
+    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
+    start, size = _piece(F.col("_n"), F.col("_d"), F.col("_i"))
+    df = df.withColumns({"_p": start, "_s": size})
+    # i edits at most before piece i, and d - i after it
+    shift, after = F.col("_m") - F.col("_n"), F.col("_d") - F.col("_i")
+    low = F.greatest(F.lit(0), F.col("_p") - F.col("_i"), F.col("_p") + shift - after)
+    high = F.least(F.col("_m") - F.col("_s"), F.col("_p") + F.col("_i"), F.col("_p") + shift + after)
+    at = F.when(low <= high, F.sequence(low, high))
+    keys = F.array_distinct(F.transform(at, lambda x: F.xxhash64("_n", "_d", "_i", F.substring(F.col(text), x + 1, F.col("_s")))))
+    return df.withColumn("_k", F.explode(keys)).drop("_d", "_i", "_p", "_s", "_n")
 
 
 def similar_names(left: DataFrame, right: DataFrame | None, block: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:
     """(block, a, b, score) of distinct names with similarity at least ``threshold`` (0.5 or more).
 
-    ``right=None`` joins ``left`` (holding ``a``) with itself and gives each unordered pair once.
+    ``right=None`` joins ``left`` (holding ``a``) with itself and gives each unordered pair once. NULL and empty names are
+    like nothing and are left out.
     """
     if threshold < 0.5:
-        raise ValueError("prefix filtering needs a threshold of at least 0.5")
+        raise ValueError("the join needs a threshold of at least 0.5")
+    some = lambda df, c: df.select(*block, c).filter(F.length(c) > 0).distinct()
     one = right is None
-    la = left.select(*block, a).distinct()
-    rb = la.withColumnRenamed(a, b) if one else right.select(*block, b).distinct()
-    texts = [la.select(F.col(a).alias("_t"))] + ([] if one else [rb.select(F.col(b).alias("_t"))])
-    freq = _frequencies(*texts)
-    l = _with_prefix(la, a, threshold, freq).withColumnRenamed("_prefix", "_pa")
-    r = _with_prefix(rb, b, threshold, freq).withColumnRenamed("_prefix", "_pb")
-    # a prefix is never empty; the outer form keeps Spark from testing that by computing it again
-    met = l.withColumn("_k", F.explode_outer("_pa")).join(r.withColumn("_k", F.explode_outer("_pb")), [*block, "_k"])
-    longer = F.greatest(F.length(a), F.length(b))
-    near = F.floor(longer * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    keep = (F.abs(F.length(a) - F.length(b)) <= near)
+    la = some(left, a)
+    rb = la.withColumnRenamed(a, b) if one else some(right, b)
+    near = _edits(F.greatest(F.length(a), F.length(b)), threshold)
+    within = F.call_function("levenshtein", F.col(a), F.col(b), near) >= 0  # -1 beyond the bound
+
+    def met(short: DataFrame, s: str, long: DataFrame, t: str, also: Column) -> DataFrame:
+        pairs = _indexed(short, s, threshold).join(_probing(long, t, threshold), [*block, "_k"])
+        return pairs.filter(also & within).select(*block, a, b)
+
     if one:
-        keep = keep & (F.col(a) < F.col(b))
-    # a pair that meets on several grams is kept at its first common one only
-    keep = keep & (F.element_at(F.array_intersect("_pa", "_pb"), 1) == F.col("_k"))
-    score = similarity(F.col(a), F.col(b))
-    return met.filter(keep).withColumn("score", score).filter(F.col("score") >= threshold - 1e-9).select(*block, a, b, "score")
+        # the shorter name of a pair is indexed; among equal lengths each pair is met once
+        order = (F.col("_n") < F.col("_m")) | ((F.col("_n") == F.col("_m")) & (F.col(a) < F.col(b)))
+        found = met(la, a, rb, b, order).select(*block, F.least(a, b).alias(a), F.greatest(a, b).alias(b))
+    else:
+        found = met(la, a, rb, b, F.col("_n") <= F.col("_m")).unionByName(met(rb, b, la, a, F.col("_n") < F.col("_m")))
+    scored = found.distinct().withColumn("score", similarity(F.col(a), F.col(b)))
+    return scored.filter(F.col("score") >= threshold - 1e-9)
 
 
 def contained_names(names: DataFrame, a: str, b: str, min_length: int) -> DataFrame:
@@ -119,6 +131,23 @@ def duplicate_names(names: DataFrame, name: str, risk_tokens: Sequence[str], hig
     return out.filter((F.col("overlap") > 0) & (F.col("candidate_reason") != ""))
 
 
+def describe_pairs(pairs: DataFrame, rows: DataFrame, name: str, key: str, label: str, labels: int = 5) -> DataFrame:
+    """``pairs`` (name_a, name_b, ...) with each name's smallest id, number of rows, and first ``labels`` labels in order.
+
+    Names and labels reduce to one row per (name, label) before anything is listed, so a name that many rows hold is no large group.
+    """
+    each = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name"), F.col(label).alias("_label")).agg(F.min(key).alias("_id"), F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy("_name").orderBy("_label")
+    first = each.filter(F.col("_label").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= labels)
+    listed = first.groupBy("_name").agg(F.array_join(F.array_sort(F.collect_list("_label")), "; ").alias("_labels"))
+    about = each.groupBy("_name").agg(F.min("_id").alias("_id"), F.sum("_n").alias("_n")).join(listed, "_name", "left")
+    out = pairs
+    for side in ("a", "b"):
+        own = about.select(F.col("_name").alias(f"name_{side}"), F.col("_id").alias(f"id_{side}"), F.col("_n").alias(f"count_{side}"), F.coalesce("_labels", F.lit("")).alias(f"labels_{side}"))
+        out = out.join(own, f"name_{side}", "left")
+    return out
+
+
 def name_copies(df: DataFrame, name: str, key: str) -> DataFrame:
     """Names held by more than one row: copies and the smallest key."""
     return df.groupBy(name).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_id")).filter("copies > 1")

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlab.functions.match import exact_ratio
 from rosterlab.operators import reconcile, similar
 
 
@@ -52,6 +51,35 @@ def test_similar_names_loses_no_pair(spark, threshold):
     assert self_got == {(x, y) for x in a for y in a if x < y and sim(x, y) >= threshold - 1e-9}
 
 
+def test_null_and_empty_names_are_like_nothing(spark):
+    names = spark.createDataFrame([(None,), ("",), ("abcdef",), ("abcdeg",), ("",), (None,)], "a string")
+    assert [(r.a, r.b) for r in similar.similar_names(names, None, [], "a", "b", 0.8).collect()] == [("abcdef", "abcdeg")]
+    assert similar.duplicate_names(names, "a", ["fc"]).count() == 0
+    ours = spark.createDataFrame([(1, "N", None), (2, "N", "jon smith")], "our_id long, blk string, nm string")
+    theirs = spark.createDataFrame([(11, "N", "jon smyth"), (12, "N", None), (13, None, "x")], "their_id long, blk string, nm string")
+    m, cut, new = reconcile.reconcile(ours, theirs, "blk", "nm", "our_id", "their_id")
+    assert [(r.our_id, r.their_id) for r in m.collect()] == [(2, 11)]
+    assert {r.our_id for r in cut.collect()} == {1} and {r.their_id for r in new.collect()} == {12, 13}
+
+
+def test_pairs_that_meet_grow_no_faster_than_twice_per_doubling(spark):
+    def met(n):
+        rng = random.Random(n)
+        names = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(12, 20))) for _ in range(n)}
+        df = spark.createDataFrame([(x,) for x in names], "a string")
+        one, other = similar._indexed(df, "a", 0.88), similar._probing(df.withColumnRenamed("a", "b"), "b", 0.88)
+        return one.join(other, "_k").filter("a < b").count()
+
+    small, large = met(2500), met(10_000)
+    assert large <= 8 * max(small, 50)
+
+
+def test_pairs_with_ids_counts_and_labels(spark):
+    rows = spark.createDataFrame([("ab fc", 3, "T2"), ("ab fc", 1, "T1"), ("ab fc", 2, "T1"), ("abc fc", 9, None)], "n string, id int, team string")
+    got = similar.describe_pairs(similar.duplicate_names(rows, "n", ["fc"]), rows, "n", "id", "team").collect()
+    assert [(r.id_a, r.count_a, r.labels_a, r.id_b, r.count_b, r.labels_b) for r in got] == [(1, 3, "T1; T2", 9, 1, "")]
+
+
 def test_contained_names(spark):
     names = ["al ahli", "al ahli jeddah", "ahli al", "real madrid", "madrid", "fc", "fc porto", "porto b fc"]
     got = {(r.a, r.b) for r in similar.contained_names(spark.createDataFrame([(n,) for n in names], "a string"), "a", "b", 6).collect()}
@@ -112,11 +140,3 @@ def test_link_by_keys(spark):
     ros = spark.createDataFrame([("N", "Ali Khan", "p1", 1), ("N", "Ali Khan", "p0", 2), ("N", "Jo Muller Lud", "p2", 3), ("N", "John Smyth", "p3", 4)], "blk string, rn string, pid string, o int")
     got = {r.nm: (r.pid, r.link_method) for r in reconcile.link_by_keys(rows, ros, "blk", "nm", "rn", "pid", "o").collect()}
     assert got == {"KHAN Ali": ("p1", "exact"), "Müller-Lüd Jo": ("p2", "exact"), "Jon Smyth": ("p3", "fuzzy"), "Who Else": (None, "unmatched")}
-
-
-def test_exact_ratio_is_the_matching_blocks_ratio(spark):
-    from difflib import SequenceMatcher
-
-    pairs = [("manchester united", "manchestr utd"), ("", "a"), ("real", "real"), ("abcd", "dcba")]
-    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(exact_ratio("a", "b")).collect()]
-    assert got == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
