@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.num import DAYS_PER_YEAR, age_days, age_floor, ratio
-from .joins import active_only, roster
+from .joins import active_only, keyed, roster
 
 
 def _own_country(df: DataFrame, country: str, aliases: DataFrame | None) -> DataFrame:
@@ -20,13 +20,16 @@ def _own_country(df: DataFrame, country: str, aliases: DataFrame | None) -> Data
 
 
 def composition_scorecard(teams: DataFrame, entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame,
-                          as_of: str, team_stats: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+                          as_of: str, team_stats: DataFrame | None = None, aliases: DataFrame | None = None,
+                          order_by: Sequence[str] | None = None) -> DataFrame:
     """One row per team, every metric with its own denominator; teams without members stay.
 
+    Repeated keys of players, links, clubs and teams resolve to their last row by ``order_by``.
     Players and clubs meet their dimensions in two separate reductions: person metrics by team,
     and club metrics from (team, club) counts, so a club that holds most players joins as one
     row per team rather than as its players.
     """
+    teams, players, links, clubs = (keyed(d, k, order_by) for d, k in ((teams, "team_code"), (players, "player_id"), (links, "player_id"), (clubs, "club_id")))
     active = active_only(entries).select("team_code", "player_id", "caps")
     day = F.to_date(F.lit(as_of))
     people = active.join(players.select("player_id", "date_of_birth", "birth_country"), "player_id", "left").join(
@@ -69,6 +72,7 @@ def composition_scorecard(teams: DataFrame, entries: DataFrame, players: DataFra
         "home_born_share", ratio(F.col("home_born"), F.col("birth_country_known"))
     )
     if team_stats is not None:
+        team_stats = keyed(team_stats, "team_code", order_by)
         out = out.join(team_stats.select("team_code", "stage_reached"), "team_code", "left").fillna(
             "Not available", subset=["stage_reached"]
         )
@@ -102,8 +106,13 @@ def group_breakdown(entries: DataFrame, links: DataFrame, clubs: DataFrame, attr
     )
 
 
-def squad_totals(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, stats: DataFrame, as_of: str) -> DataFrame:
-    """Per team: clubs, club countries, caps and minutes with unknown as 0, mean age of the known."""
+def squad_totals(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, stats: DataFrame, as_of: str,
+                 order_by: Sequence[str] | None = None) -> DataFrame:
+    """Per team: clubs, club countries, caps and minutes with unknown as 0, mean age of the known.
+
+    Repeated keys of the dimensions resolve to their last row by ``order_by``.
+    """
+    players, links, clubs, stats = (keyed(d, k, order_by) for d, k in ((players, "player_id"), (links, "player_id"), (clubs, "club_id"), (stats, "player_id")))
     active = active_only(entries)
     people = (
         active.select("team_code", "player_id", "caps")

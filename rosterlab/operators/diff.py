@@ -122,7 +122,8 @@ def append_change_log(log: DataFrame, entries: DataFrame, order_by: Sequence[str
     """Append entries under ids that go on from the log's largest number."""
     top = log.agg(F.coalesce(F.max(F.regexp_extract("change_id", r"(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top")).scalar()
     numbered = number_rows(entries, [F.col(c) for c in order_by], out="_no")
-    ids = F.concat(F.lit(prefix), F.lpad((F.col("_no") + top).cast("string"), 9, "0"))
+    digits = (F.col("_no") + top).cast("string")  # longer numbers stay whole
+    ids = F.concat(F.lit(prefix), F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits))
     return log.unionByName(numbered.withColumn("change_id", ids).drop("_no"), allowMissingColumns=True)
 
 

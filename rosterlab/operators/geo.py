@@ -7,26 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import city_key
-from ..functions.text import fold, is_suspicious_text
+from ..functions.text import blank_to_null, fold, is_suspicious_text
 from .diff import numbered_copies
 from .joins import active_only
 
 
+# Where a city's coordinates come from.
+PROVENANCE = ["city_source_url", "city_geo_source", "city_match_confidence", "city_review_notes"]
+
+
+def own_city_key(clubs: DataFrame) -> Column:
+    """The row's ``city_key``, or the one minted from country and city where it is absent or blank."""
+    minted = city_key(F.coalesce("country", F.lit("")), F.coalesce("city", F.lit("")))
+    return F.coalesce(blank_to_null(F.col("city_key")), minted) if "city_key" in clubs.columns else minted
+
+
 def cities_from_clubs(clubs: DataFrame, order: str = "club_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """One row per city of the geocoded clubs: attributes of its first row and the club count.
 
+    A club's own ``city_key`` stands where it has one, and the provenance columns that the clubs have come along.
     The members come from ``city_members``, in long form, so that no city is gathered in one row.
     """
     rows = clubs.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    first = F.min_by(F.struct("country", "city", lat, lon), F.col(order)).alias("f")
-    key = city_key(F.coalesce("country", F.lit("")), F.coalesce("city", F.lit("")))
-    out = rows.groupBy(key.alias("city_key")).agg(first, F.count(order).alias("club_count"))
+    known = [c for c in PROVENANCE if c in rows.columns]
+    first = F.min_by(F.struct("country", "city", lat, lon, *known), F.col(order)).alias("f")
+    out = rows.groupBy(own_city_key(rows).alias("city_key")).agg(first, F.count(order).alias("club_count"))
     return out.select("city_key", "f.*", "club_count").withColumn("city_ascii", fold(F.col("city"), "ascii"))
 
 
 def city_members(clubs: DataFrame, key: str = "club_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     rows = clubs.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    return rows.select(city_key(F.coalesce("country", F.lit("")), F.coalesce("city", F.lit(""))).alias("city_key"), key)
+    return rows.select(own_city_key(rows).alias("city_key"), key)
 
 
 def teams_from_entries(entries: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, order_by: Sequence[str] | Non
     return salted_left_join(df, dim, on, salt) if salt else df.join(dim, on, "left")
 
 
+def keyed(dim: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, as an index built by overwriting has: the last by ``order_by``, or by all other columns."""
+    order = order_by or [c for c in dim.columns if c != key]
+    return last_per_key(dim, [key], order) if order else dim.distinct()
+
+
 def active_only(df: DataFrame, status: str = "squad_status", value: str = "active") -> DataFrame:
     """Rows in the given status; a blank status counts as that status."""
     s = F.trim(F.coalesce(F.col(status), F.lit("")))
@@ -31,15 +37,20 @@ def active_people(people: DataFrame, entries: DataFrame, key: str = "player_id")
 
 
 def roster(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, teams: DataFrame | None = None,
-           active: bool = True, salt: int = 0) -> DataFrame:
+           active: bool = True, salt: int = 0, order_by: Sequence[str] | None = None) -> DataFrame:
     """entry ⟕ player ⟕ link ⟕ club (⟕ team). ``active=False`` keeps the whole population.
 
+    A repeated key of a dimension or link resolves to its last row by ``order_by``, so every entry stays one row.
     ``salt`` spreads a club that holds much of the roster when the clubs are too many to broadcast.
     """
     out = active_only(entries) if active else entries
+    players, links, clubs = (keyed(d, k, order_by) for d, k in ((players, "player_id"), (links, "player_id"), (clubs, "club_id")))
+    if order_by:
+        players, links, clubs = (d.drop(*order_by) for d in (players, links, clubs))
     out = out.join(players, "player_id", "left").join(links.select("player_id", "club_id"), "player_id", "left")
     out = salted_left_join(out, clubs, "club_id", salt) if salt else out.join(clubs, "club_id", "left")
     if teams is not None:
+        teams = keyed(teams, "team_code", order_by)
         out = out.join(teams.select("team_code", *[c for c in teams.columns if c not in out.columns]), "team_code", "left")
     return out
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.num import match_result, ratio
+from ..skew import first_per_key
 from .joins import category_of
 
 
@@ -143,7 +144,7 @@ def bracket(matches: DataFrame, rounds: Sequence[str], by: Sequence[str] = ("tou
     """Knockout matches linked to the earlier matches their participants won.
 
     One equi-join per side, from (tournament, round, team) to the winners of the round before. A
-    final between placeholders takes the matches of the round before in id order. Adds the winner,
+    final between placeholders takes the matches of the round before in order of (date, id). Adds the winner,
     the two feeder match ids, and the depth from the final (0).
     """
     res = _result("decided")
@@ -158,7 +159,8 @@ def bracket(matches: DataFrame, rounds: Sequence[str], by: Sequence[str] = ("tou
             won.withColumnsRenamed({"_w": f"{side}_team", "_feeder": f"{side}_feeder"}), [*by, "round_no", f"{side}_team"], "left"
         )
     m = m.withColumn("depth", F.lit(len(rounds)) - F.col("round_no"))
-    semis = m.filter("depth = 1").groupBy(*by).agg(F.min("match_id").alias("_s1"), F.max("match_id").alias("_s2"))
+    when = F.struct(*[c for c in ("match_date", "match_id") if c in m.columns])
+    semis = m.filter("depth = 1").groupBy(*by).agg(F.min_by("match_id", when).alias("_s1"), F.max_by("match_id", when).alias("_s2"))
     first, second = F.col("_s1"), F.when(F.col("_s1") != F.col("_s2"), F.col("_s2"))  # a bye leaves one semi-final
 
     def feeder(mine: Column, theirs: Column, placed: Column) -> Column:
@@ -171,7 +173,12 @@ def bracket(matches: DataFrame, rounds: Sequence[str], by: Sequence[str] = ("tou
     }).drop("_s1", "_s2")
 
 
-def third_place(linked: DataFrame, by: Sequence[str] = ("tournament",)) -> DataFrame:
+def third_place(matches: DataFrame, stage: str = "Play-off for third place", by: Sequence[str] = ("tournament",)) -> DataFrame:
+    """The play-off match for third place: the first of its stage by (date, id)."""
+    return first_per_key(matches.filter(F.col("stage") == stage), list(by), ["match_date", "match_id"])
+
+
+def semi_final_losers(linked: DataFrame, by: Sequence[str] = ("tournament",)) -> DataFrame:
     """The two teams that lost the round before the final, with the match they lost."""
     loser = F.when(F.col("winner") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team"))
     return linked.filter("depth = 1 and winner is not null").select(*by, "match_id", loser.alias("team"))

@@ -25,6 +25,11 @@ BAD_ENTITY_HINTS = [
     "province", "railway station", "running event", "school", "settlement", "ship", "song", "sports discipline", "star system", "submarine",
     "surname", "taxon", "town", "university", "village",
 ]
+# Words that cost a scored candidate points; the triage above has a list of its own.
+SCORE_PENALTY_HINTS = [
+    "band", "album", "film", "song", "company", "human", "person", "given name", "surname", "settlement", "city", "town", "village", "commune",
+    "district", "province", "municipality", "railway station", "airport", "school", "university",
+]
 # Weight of a populated-place class.
 FEATURE_WEIGHTS = {"PPLC": 12, "PPLA": 10, "PPLA2": 9, "PPLA3": 8, "PPLA4": 7, "PPL": 6, "PPLX": 3}
 
@@ -141,7 +146,7 @@ def score_name_similarity(df: DataFrame, name: str, name_ascii: str, label: str,
     score = score + F.when(_present(page), 5).otherwise(0)
     if not v1:
         everything = F.concat_ws(" ", desc, inst, F.lower(F.concat_ws(" ", label, search_label)))
-        wrong = has(everything, BAD_ENTITY_HINTS) & ~has(everything, ["football", "soccer"])
+        wrong = has(everything, SCORE_PENALTY_HINTS) & ~has(everything, ["football", "soccer"])
         score = score - F.when(wrong, 20).otherwise(0) + F.greatest(F.lit(0), 8 - F.coalesce(F.col(rank), F.lit(99)))
     scored = df.withColumn(out, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
     return scored.drop("_n0", "_n1", "_n2", "_n3", "_best")

@@ -109,19 +109,20 @@ def _(t):
 
 
 EFF = f"""
-SELECT player_id, display_name, team, team_code, coalesce(primary_position, position_group, 'unknown') AS position,
+SELECT player_id, display_name, n_name AS team, c_nationkey AS team_code, coalesce(primary_position, position_group, 'unknown') AS position,
   CASE WHEN coalesce(primary_position, position_group) = 'HOUSEHOLD' THEN 'goalkeeper' ELSE 'outfield' END AS bucket,
   minutes_played AS minutes, goals, assists, goals + assists AS goal_contributions, yellow_cards + red_cards + indirect_red_cards AS cards,
   round(goals / minutes_played * 90, 6) AS goals_per_90, round(assists / minutes_played * 90, 6) AS assists_per_90,
   round((goals + assists) / minutes_played * 90, 6) AS goal_contributions_per_90,
   round((yellow_cards + red_cards + indirect_red_cards) / minutes_played * 90, 6) AS cards_per_90
-FROM stats LEFT JOIN players USING (player_id)
-LEFT JOIN (SELECT player_id, team, team_code, position_group FROM entries WHERE {ACTIVE}) USING (player_id)
+FROM stats JOIN customer ON c_custkey = player_id JOIN nation ON n_nationkey = c_nationkey LEFT JOIN players USING (player_id)
+LEFT JOIN (SELECT player_id, position_group FROM entries WHERE {ACTIVE}) USING (player_id)
 WHERE minutes_played >= 180"""
 
 
 def _eff(t):
-    out = rates.efficiency(t.player_stats, t.players, t.entries, 180, keeper="HOUSEHOLD")
+    of = t.customer.select(F.col("c_custkey").alias("player_id"), F.col("c_nationkey").alias("team_code"))
+    out = rates.efficiency(t.player_stats.join(of, "player_id"), t.players, t.entries, 180, keeper="HOUSEHOLD", teams=t.teams)
     return r6(out, "goals_per_90", "assists_per_90", "goal_contributions_per_90", "cards_per_90")
 
 
@@ -287,6 +288,39 @@ def _(t):
     return rates.fair_play(t.player_stats.join(joins.active_only(t.entries).select("player_id", "team"), "player_id"))
 
 
+@query("discipline_ranking", """
+SELECT player_id, display_name, yellow_cards, red_cards + indirect_red_cards AS reds, yellow_cards + 3 * (red_cards + indirect_red_cards) AS points,
+  (yellow_cards + 3 * (red_cards + indirect_red_cards)) || ' pts' AS label
+FROM stats JOIN players USING (player_id) WHERE yellow_cards + 3 * (red_cards + indirect_red_cards) > 0""")
+def _(t):
+    named = t.player_stats.join(t.players.select("player_id", "display_name"), "player_id")
+    return rates.discipline(named).select("player_id", "display_name", "yellow_cards", "reds", "points", "label")
+
+
+REPEATED = """
+rp AS (SELECT player_id, date_of_birth, birth_country FROM players WHERE player_id % 3 <> 0
+  UNION ALL SELECT player_id, DATE '1990-01-01', 'X' FROM players WHERE player_id % 3 = 0),
+rl AS (SELECT player_id, CASE WHEN player_id % 5 = 0 THEN (SELECT min(club_id) FROM clubs) ELSE club_id END AS club_id FROM links),
+rc AS (SELECT club_id, CASE WHEN club_id % 4 = 0 THEN 'Y' ELSE country END AS country FROM clubs)"""
+
+
+@query("scorecard_repeated_keys", f"""
+WITH {REPEATED}
+SELECT team_code, count(*) AS squad_size, coalesce(sum(caps), 0)::BIGINT AS total_caps, count(*) FILTER (birth_country = team) AS home_born,
+  count(*) FILTER (date_diff('day', date_of_birth, DATE '{AS_OF}') / 365.25 < 23) AS under_23,
+  count(DISTINCT rl.club_id) AS clubs, count(*) FILTER (rc.country = team) AS domestic
+FROM entries LEFT JOIN rp USING (player_id) LEFT JOIN rl USING (player_id) LEFT JOIN rc USING (club_id) WHERE {ACTIVE} GROUP BY 1""")
+def _(t):
+    twice = lambda df, more: df.withColumn("version", F.lit(1)).unionByName(more.withColumn("version", F.lit(2)))
+    p, l, c = t.players, t.links, t.clubs
+    p = twice(p, p.filter("player_id % 3 = 0").withColumns({"date_of_birth": F.lit("1990-01-01").cast("date"), "birth_country": F.lit("X")}))
+    least = c.agg(F.min("club_id").alias("m")).scalar()
+    l = twice(l, l.filter("player_id % 5 = 0").withColumn("club_id", least))
+    c = twice(c, c.filter("club_id % 4 = 0").withColumn("country", F.lit("Y")))
+    out = composition.composition_scorecard(t.teams.withColumn("version", F.lit(1)), t.entries, p, l, c, AS_OF, order_by=["version"])
+    return out.select("team_code", "squad_size", F.coalesce("total_caps", F.lit(0)).alias("total_caps"), "home_born", "under_23", "clubs", "domestic").filter("squad_size > 0")
+
+
 @query("team_table", _records_sql("team", False))
 def _(t):
     return rates.team_table(matches.team_records(t.matches, ["team"], mode="scoreline"), "goals_for")
@@ -373,10 +407,17 @@ def _(t):
     return matches.bracket_path(matches.bracket(t.knockout.drop("round_no"), ["Quarter-final", "Semi-final", "Final"]))
 
 
-@query("third_place", KO + """
+@query("third_place", """
+SELECT city, arg_min(match_id, (match_date, match_id)) AS match_id, arg_min(home_team, (match_date, match_id)) AS home_team
+FROM matches WHERE stage = '5-LOW' GROUP BY 1""")
+def _(t):
+    return matches.third_place(t.matches, "5-LOW", by=["city"]).select("city", "match_id", "home_team")
+
+
+@query("semi_final_losers", KO + """
 SELECT tournament, match_id, CASE WHEN winner = home_team THEN away_team ELSE home_team END AS team FROM ko WHERE round_no = 2""")
 def _(t):
-    return matches.third_place(matches.bracket(t.knockout.drop("round_no"), ["Quarter-final", "Semi-final", "Final"]))
+    return matches.semi_final_losers(matches.bracket(t.knockout.drop("round_no"), ["Quarter-final", "Semi-final", "Final"]))
 
 
 @query("percent_label", "SELECT player_id, CASE WHEN minutes_played > 0 THEN floor(goals * 100 / minutes_played)::INT || '%' ELSE 'N/A' END AS out FROM stats")

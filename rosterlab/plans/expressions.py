@@ -231,11 +231,6 @@ def _(t):
     return t.part.select("p_partkey", F.round(match.similarity(F.col("p_name"), F.lower("p_type")), 6).alias("out"))
 
 
-@query("similarity_exact_ratio")
-def _(t):
-    return t.part.select("p_partkey", F.round(match.exact_ratio(F.col("p_name"), F.lower("p_type")), 6).alias("out"))
-
-
 @query("token_overlap", """
 SELECT conv_id, turn, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END, 6) AS out FROM (
   SELECT conv_id, turn, list_distinct([x FOR x IN string_split(lower(text), ' ') IF x <> '']) AS a,

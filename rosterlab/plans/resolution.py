@@ -407,16 +407,32 @@ DUPE = "lower(p_type || ' ' || p_name)"
 
 
 @query("duplicate_names", f"""
-WITH n AS (SELECT DISTINCT {DUPE} AS nm, list_distinct(string_split({DUPE}, ' ')) AS tk FROM part UNION SELECT DISTINCT p_name, list_distinct(string_split(p_name, ' ')) FROM part),
+WITH held AS (SELECT {DUPE} AS nm, p_partkey AS id, p_brand AS label FROM part UNION ALL SELECT p_name, p_partkey, p_brand FROM part),
+ab AS (SELECT nm, min(id) AS id, count(*) AS c, array_to_string(list_sort(list_distinct(list(label)))[1:5], '; ') AS labels FROM held GROUP BY 1),
+n AS (SELECT DISTINCT nm, list_distinct(string_split(nm, ' ')) AS tk FROM held),
 p AS (SELECT a.nm AS name_a, b.nm AS name_b, {_lev('a.nm', 'b.nm')} AS s, len(list_intersect(a.tk, b.tk))::DOUBLE / least(len(a.tk), len(b.tk)) AS o,
   len(list_intersect(list_intersect(a.tk, b.tk), ['ring', 'red'])) > 0 AS risk, least(length(a.nm), length(b.nm)) AS sh FROM n a JOIN n b ON a.nm < b.nm),
 q AS (SELECT *, array_to_string([x FOR x IN [CASE WHEN s >= 0.88 - 1e-9 AND o >= 0.45 THEN 'high string similarity' END, CASE WHEN o = 1 AND sh >= 6 THEN 'one name is token subset of the other' END,
   CASE WHEN s >= 0.75 - 1e-9 AND risk THEN 'shared high-risk token' END] IF x IS NOT NULL], '; ') AS candidate_reason FROM p WHERE o > 0)
-SELECT name_a, name_b, round(s, 6) AS similarity, round(o, 6) AS overlap, candidate_reason FROM q WHERE candidate_reason <> ''""")
+SELECT name_a, name_b, round(s, 6) AS similarity, round(o, 6) AS overlap, candidate_reason, x.id AS id_a, x.c AS count_a, x.labels AS labels_a, y.id AS id_b, y.c AS count_b, y.labels AS labels_b
+FROM q JOIN ab x ON x.nm = name_a JOIN ab y ON y.nm = name_b WHERE candidate_reason <> ''""")
 def _(t):
-    n = t.part.select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("n")).union(t.part.select("p_name"))
-    out = similar.duplicate_names(n, "n", ["ring", "red"])
-    return out.select("name_a", "name_b", F.round("similarity", 6).alias("similarity"), F.round("overlap", 6).alias("overlap"), "candidate_reason")
+    p = t.part
+    n = p.select(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("n"), "p_partkey", "p_brand").union(p.select("p_name", "p_partkey", "p_brand"))
+    out = similar.describe_pairs(similar.duplicate_names(n, "n", ["ring", "red"]), n, "n", "p_partkey", "p_brand")
+    about = [f"{c}_{side}" for side in "ab" for c in ("id", "count", "labels")]
+    return out.select("name_a", "name_b", F.round("similarity", 6).alias("similarity"), F.round("overlap", 6).alias("overlap"), "candidate_reason", *about)
+
+
+TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
+
+
+@query("similar_titles", f"""
+WITH h AS (SELECT DISTINCT {TITLE} AS t FROM pages WHERE {TITLE} <> '')
+SELECT a.t AS a, b.t AS b, round({_lev('a.t', 'b.t')}, 6) AS score FROM h a JOIN h b ON a.t < b.t WHERE {_lev('a.t', 'b.t')} >= 0.6 - 1e-9""")
+def _(t):
+    titles = t.pages.select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("a"))
+    return similar.similar_names(titles, None, [], "a", "b", 0.6).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("name_copies", "SELECT p_name, count(*) AS copies, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -731,6 +747,15 @@ def _(t):
     return geo.cities_from_clubs(t.clubs)
 
 
+@query("cities_kept_key", f"""
+WITH k AS (SELECT CASE WHEN club_id % 3 = 0 THEN 'kept-' || country ELSE {CITYKEY} END AS city_key, club_id, 'src' || club_id AS city_source_url FROM clubs WHERE lat IS NOT NULL)
+SELECT city_key, arg_min(city_source_url, club_id) AS city_source_url, count(*) AS club_count FROM k GROUP BY 1""")
+def _(t):
+    kept = F.when(F.col("club_id") % 3 == 0, F.concat(F.lit("kept-"), "country")).when(F.col("club_id") % 3 == 1, " ")
+    clubs = t.clubs.withColumns({"city_key": kept, "city_source_url": F.concat(F.lit("src"), F.col("club_id").cast("string"))})
+    return geo.cities_from_clubs(clubs).select("city_key", "city_source_url", "club_count")
+
+
 @query("city_members", f"SELECT {CITYKEY} AS city_key, club_id FROM clubs WHERE lat IS NOT NULL")
 def _(t):
     return geo.city_members(t.clubs)

@@ -29,12 +29,12 @@ def _(t):
 
 
 @query("decode_any_encoding", r"""
-SELECT doc_id, pos, regexp_replace(value, '[^\x{0000}-\x{00FF}]', '?', 'g') AS line,
+SELECT doc_id, pos, CASE WHEN lang <> 'en' THEN regexp_replace(value, '[^\x{0000}-\x{00FF}]', '?', 'g') ELSE value END AS line,
   CASE WHEN lang <> 'en' AND doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[\x{0080}-\x{00FF}]')) THEN 'ISO-8859-1' ELSE 'utf-8' END AS source_encoding
 FROM doc_lines""")
 def _(t):
-    v = F.regexp_replace("value", r"[^\x00-\xFF]", "?")
-    raw = F.when(F.col("lang") != "en", F.encode(v, "ISO-8859-1")).otherwise(F.encode(v, "UTF-8"))
+    narrow = F.regexp_replace("value", r"[^\x00-\xFF]", "?")
+    raw = F.when(F.col("lang") != "en", F.encode(narrow, "ISO-8859-1")).otherwise(F.encode("value", "UTF-8"))
     return readers.decode_lines(t.doc_lines.select("doc_id", "pos", raw.alias("raw")), "doc_id")
 
 
@@ -59,6 +59,7 @@ def _(t):
 
 
 STEP = 10**12  # room for the keys under one heading or date
+BLOCK = 5_000  # positions filled together; lines stand close, so a long list is many blocks
 
 
 def sectioned_lines(t):
@@ -79,7 +80,7 @@ WITH m AS (SELECT r_name AS file, n_nationkey, n_name, c_custkey, unnest([c_mkts
 SELECT file, n_nationkey::VARCHAR AS code, n_name AS name, 'http://host/' || n_name AS source_url, member, min(c_custkey) AS first_seen
 FROM m GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
-    out = parsers.parse_sectioned_text(sectioned_lines(t), block=STEP // 4)
+    out = parsers.parse_sectioned_text(sectioned_lines(t), block=BLOCK)
     return out.select("file", "code", "name", "source_url", "member", (F.col("member_pos") % STEP - 2).alias("first_seen"))
 
 
@@ -137,7 +138,7 @@ def _(t):
             )
         )
     )
-    return parsers.assemble_roster_rows(lines, block=STEP // 4).select("group", "team", "section", "manager", "player", "club", "row_hash")
+    return parsers.assemble_roster_rows(lines, block=BLOCK).select("group", "team", "section", "manager", "player", "club", "row_hash")
 
 
 @query("union_header", """

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.ids import city_key
 from .operators.diff import orphans
 from .operators.facets import alias_dictionary
-from .operators.geo import cities_from_clubs, city_members, team_members, teams_from_entries
+from .operators.geo import cities_from_clubs, city_members, own_city_key, team_members, teams_from_entries
 from .operators.quality import audit, unique_key
 from .sources.readers import read_table, typed
 from .sources.writers import export_manifest, write_snapshot
@@ -51,7 +50,7 @@ def refresh(spark: SparkSession, folder: str, out: str, exported_at: str, strict
     """Write every table and return the manifest. Strict stops before anything is written."""
     t, rejects = load(spark, folder)
     audit(checks(t), strict=strict)
-    clubs = t["clubs"].withColumn("city_key", city_key(F.coalesce("country", F.lit("")), F.coalesce("city", F.lit(""))))
+    clubs = t["clubs"].withColumn("city_key", own_city_key(t["clubs"]))
     aliases = t["club_alias_map"].select(
         F.col("raw_club_name").alias("raw_name"), F.col("canonical_club_id").alias("canonical_id"), F.col("canonical_club_name").alias("canonical_name")
     )

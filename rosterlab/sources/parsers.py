@@ -18,13 +18,13 @@ def parse_sectioned_text(lines: DataFrame, file: str = "file", pos: str = "pos",
     """
     v = F.trim(value)
     heading, source = v.rlike(r"^# "), v.rlike(r"^## Source:")
-    title = F.trim(F.substring(v, 3, 1 << 20))
+    title = F.trim(F.substring(v, F.lit(3), F.length(v)))
     code = F.nullif(F.regexp_extract(title, r"\(([^)]+)\)\s*$", 1), F.lit(""))
     marked = lines.select(
         file, pos, v.alias("_v"),
         F.when(heading, F.struct(F.col(pos).alias("at"), F.coalesce(code, title).alias("code"),
                                  F.regexp_replace(title, r"\s*\([^)]*\)\s*$", "").alias("name"))).alias("_section"),
-        F.when(heading, F.lit("")).when(source, F.trim(F.substring(v, 11, 1 << 20))).alias("_source"),
+        F.when(heading, F.lit("")).when(source, F.trim(F.substring(v, F.lit(11), F.length(v)))).alias("_source"),
     )
     carried = carry_down(marked, file, pos, ["_section", "_source"], block)
     items = carried.filter((~F.col("_v").startswith("#")) & (F.col("_v") != "") & F.col("_section").isNotNull()).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -84,7 +85,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def trim_blank_rows_cols(df: DataFrame) -> DataFrame:
     """Drop rows whose every cell is blank and columns whose header is blank or generated."""
-    named = [c for c in df.columns if c.strip() and not c.startswith("_c")]
+    named = [c for c in df.columns if c.strip() and not re.fullmatch(r"_c\d+", c)]
     any_value = F.coalesce(*[blank_to_null(F.col(f"`{c}`").cast("string")) for c in named])
     return df.filter(any_value.isNotNull()).select(*[F.col(f"`{c}`").alias(c.strip()) for c in named])
 

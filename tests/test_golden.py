@@ -120,7 +120,7 @@ def test_bracket_links_shootout_winner(spark):
     f = row(linked, match_id="f")
     assert (f.home_feeder, f.away_feeder, f.winner, f.depth) == ("q1", "q2", "C", 0)
     assert row(matches.bracket_path(linked), team="C").champion is True
-    assert {r.team for r in matches.third_place(linked).collect()} == {"B", "D"}
+    assert {r.team for r in matches.semi_final_losers(linked).collect()} == {"B", "D"}
     waiting = m.withColumn("home_team", F.when(F.col("stage") == "Final", "W1").otherwise(F.col("home_team"))).withColumn("home_score", F.when(F.col("stage") != "Final", F.col("home_score")))
     f = row(matches.bracket(waiting, ["Quarter", "Final"]), match_id="f")
     assert (f.home_feeder, f.away_feeder, f.winner) == ("q1", "q2", None)
@@ -138,3 +138,28 @@ def test_goals_vs_expected_bands(spark):
     df = spark.createDataFrame([("a", 3, 2.4), ("b", 2, 2.5), ("c", 1, 1.8)], "team string, goals int, xg double")
     got = {r.team: (r.verdict, r.axis_max) for r in rates.goals_vs_expected(df, "goals", "xg").collect()}
     assert got == {"a": ("over", 4), "b": ("par", 4), "c": ("under", 4)}
+
+
+def test_semi_finals_stand_in_order_of_date_and_the_play_off_is_a_match(spark):
+    rows = [("t", "m10", "Semi-final", "A", "B", 1, 0, "2026-07-01"), ("t", "m9", "Semi-final", "C", "D", 1, 0, "2026-07-02"),
+            ("t", "m11", "Final", "W1", "W2", None, None, "2026-07-05"), ("t", "m12", "Play-off for third place", "B", "D", 2, 1, "2026-07-04")]
+    m = spark.createDataFrame(rows, "tournament string, match_id string, stage string, home_team string, away_team string, home_score int, away_score int, match_date string").selectExpr(
+        "*", "cast(null as int) home_pens", "cast(null as int) away_pens", "if(home_score is null, 'scheduled', 'played') status")
+    final = row(matches.bracket(m, ["Semi-final", "Final"]), match_id="m11")
+    assert (final.home_feeder, final.away_feeder) == ("m10", "m9")
+    assert [(r.match_id, r.home_team) for r in matches.third_place(m).collect()] == [("m12", "B")]
+
+
+def test_repeated_keys_count_once_and_leavers_keep_their_team(spark, t):
+    again = lambda df: df.union(df)
+    out = composition.composition_scorecard(again(t["teams"]), t["entries"], again(t["players"]), again(t["links"]), again(t["clubs"]), AS_OF)
+    assert row(out, team="Alpha").squad_size == 3 and row(out, team="Alpha").total_caps == 30
+    stats = spark.createDataFrame([("gone", "ALP", 200, 1, 0, 0, 0, 0)], "player_id string, team_code string, minutes_played int, goals int, assists int, yellow_cards int, red_cards int, indirect_red_cards int")
+    teams = spark.createDataFrame([("ALP", "Alpha")], "team_code string, team string")
+    got = rates.efficiency(stats, t["players"], t["entries"], 180, teams=teams).collect()[0]
+    assert (got.team, got.team_code) == ("Alpha", "ALP")
+
+
+def test_discipline_ranks_players_with_points(spark):
+    stats = spark.createDataFrame([(1, "B", 1, 1, 0), (2, "A", 4, 0, 0), (3, "C", 0, 0, 0)], "player_id int, display_name string, yellow_cards int, red_cards int, indirect_red_cards int")
+    assert [(r.display_name, r.points, r.label) for r in rates.discipline(stats).collect()] == [("A", 4, "4 pts"), ("B", 4, "4 pts")]

@@ -49,6 +49,39 @@ def test_resumable_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == {(1, "a", 1), (2, "bb", 2), (3, "ccc", 3)}
 
 
+def test_resolver_sees_only_what_is_pending(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    seen = []
+
+    def resolver(d):
+        seen.append(sorted(r.id for r in d.collect()))
+        return d
+
+    for rows in ([(1, "a")], [(1, "b"), (2, "c")]):
+        spark.createDataFrame(rows, "id long, v string").write.mode("append").parquet(src)
+        resolve_pending(spark.readStream.schema("id long, v string").parquet(src), resolver, "id", ["v"], out, cp).awaitTermination()
+    assert seen == [[1], [2]]
+
+
+def test_a_day_in_several_files_a_late_file_and_a_replay(spark, tmp_path):
+    src, state, log, cp = (str(tmp_path / n) for n in ("src", "state", "log", "cp"))
+    schema = "id long, v string, day string"
+
+    def go(checkpoint, *files):
+        for rows in files:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        log_snapshots(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), "day", ["id"], ["v"], state, log, checkpoint).awaitTermination()
+        return {(r.day, r.id, r.change_type, r.old_value, r.new_value) for r in spark.read.parquet(log).collect()}
+
+    first = {("d1", i, "added", None, None) for i in (1, 2, 3, 4)}
+    assert go(cp, [(1, "a", "d1"), (2, "b", "d1")], [(3, "c", "d1"), (4, "d", "d1")]) == first
+    second = go(cp, [(1, "a", "d2"), (2, "x", "d2")])
+    assert {r[1:] for r in second if r[0] == "d2"} == {(2, "changed", "b", "x"), (3, "removed", None, None), (4, "removed", None, None)}
+    late = first | {("d2", 2, "changed", "b", "x"), ("d2", 4, "removed", None, None)}
+    assert go(cp, [(3, "c", "d2")]) == late
+    assert go(cp + "again") == late  # every file once more, from the first batch on
+
+
 def test_snapshot_stream(spark, tmp_path):
     src, state, log, cp = (str(tmp_path / n) for n in ("src", "state", "log", "cp"))
     schema = "id long, v string, day string"

@@ -107,3 +107,25 @@ def test_compare_two(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", 3.0, 2.0)], "k string, x double, y double")
     got = {r.metric: (r.value_a, r.value_b, r.difference, r.bar_max) for r in composition.compare_two(df, "k", "a", "b", ["x", "y"]).collect()}
     assert got == {"x": (1.0, 3.0, -2.0, 3.0), "y": (None, 2.0, None, 2.0)}
+
+
+def test_only_generated_headers_are_dropped(spark):
+    df = spark.createDataFrame([("1", "x", "y", "z")], "id string, _city string, _c9 string, _corrupt_record string")
+    assert readers.trim_blank_rows_cols(df).columns == ["id", "_city", "_corrupt_record"]
+
+
+def test_change_ids_past_nine_digits_stay_apart(spark):
+    from rosterlab.operators.diff import append_change_log
+
+    log = spark.createDataFrame([("chg_999999999", "x")], "change_id string, v string")
+    got = [r.change_id for r in append_change_log(log, spark.createDataFrame([(f"n{i:02}",) for i in range(12)], "v string"), ["v"]).collect()]
+    assert len(set(got)) == 13 and "chg_1000000011" in got
+
+
+def test_long_headings_stay_whole(spark):
+    from rosterlab.sources.parsers import parse_sectioned_text
+
+    name = "n" * (1 << 20) + "end"
+    rows = [("f", 1, f"# {name} (C)"), ("f", 2, "## Source: http://" + name), ("f", 3, "a, b")]
+    got = parse_sectioned_text(spark.createDataFrame(rows, "file string, pos long, value string")).collect()
+    assert {r.name for r in got} == {name} and {r.source_url for r in got} == {"http://" + name}
