@@ -252,7 +252,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """
     fp, rooted = _grouped(docs, doc_id, text, shingle, max_diff)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    best = fp.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("kd"), F.col("o.th").alias("kt"))
+    # a fingerprint reduces to its least row before it meets its group, so copies never crowd a join
+    least = fp.groupBy("fp").agg(F.min(order).alias("o"))
+    best = least.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.doc_id").alias("kd"), F.col("o.th").alias("kt"))
     rows = docs.select(F.struct("*").alias("r"), F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"))
     kept = rows.join(best, rows.d.eqNullSafe(best.kd) & (rows.th == best.kt), "left_semi")
     once = kept.withColumn("n", F.row_number().over(W.partitionBy("d", "th").orderBy("d"))).filter("n = 1")
