@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import id_mod, map_batches, table, texts_of
 
@@ -135,24 +135,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     the whole text. Rows without a letter are no examples. All else about the operator sees every row.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not frequent:
         return Model([], [])
     each = min(per_language, max(1, MOST_ROWS // len(frequent)))
-    # the least hashes of each language; hashes alone are ranked, and every task keeps its own least ones first
-    ranked = rows.filter(F.col("lang").isin(frequent)).select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
-    cuts = ranked.filter(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    # hashes are spread evenly, so a language's count says which range of them holds about the rows wanted: no ranking, no sort
     chosen = F.lit(False)
-    for r in cuts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
+    for r in frequent:
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 40)) < (1 << 40) * each * 5 // (4 * r["count"]) + 1))
     few = rows.filter(chosen).select("lang", "h", F.col("text").alias("t"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"lang": batch.column("lang"), "h": batch.column("h"), "v": [vector(t).tobytes() for t in texts_of(batch, "t")]}
 
     sample = map_batches(few, run, "lang string, h long, v binary").dropDuplicates(["lang", "h"]).collect()
-    sample.sort(key=lambda r: (r["lang"], r["h"]))
-    return Model([r["v"] for r in sample], [r["lang"] for r in sample])
+    own: dict[str, list[bytes]] = {}
+    for r in sorted(sample, key=lambda r: (r["lang"], r["h"] % (1 << 40), r["h"])):
+        if len(own.setdefault(r["lang"], [])) < each:
+            own[r["lang"]].append(r["v"])
+    return Model([v for vs in own.values() for v in vs], [x for x, vs in own.items() for _ in vs])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
