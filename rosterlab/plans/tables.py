@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window as W, functions as F
 
 from ..operators import diff, joins, quality
+from ..session import shared_folder
 from ..skew import number_rows
 from ..sources import parsers, readers, writers
 from .expressions import RAW, raw_values
@@ -58,6 +61,59 @@ def _(t):
     return readers.choose_source(primary, t.customer.select("c_custkey", "c_name"), ["s_suppkey", "city_key"], ["s_suppkey"])[0]
 
 
+def fresh_folder(t) -> str:
+    """A new folder under the shared one, for a query that writes files and reads them back."""
+    return f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("csv_files", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def _(t):
+    path = fresh_folder(t)
+    writers.write_snapshot(t.orders.select("o_totalprice", "o_orderkey", "o_orderpriority"), path)
+    back = readers.typed(readers.read_table(t.spark, path), {"o_orderkey": "int", "o_totalprice": "float"}, ["o_orderkey"])[0]
+    return back.select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("csv_files_any_encoding", r"""
+SELECT doc_id::VARCHAR AS doc_id, pos::VARCHAR AS pos, CASE WHEN lang = 'fr' THEN regexp_replace(value, '[^\x{0000}-\x{00FF}]', '?', 'g') ELSE value END AS value
+FROM doc_lines WHERE value <> ''""")
+def _(t):
+    """French lines in Latin-1 under one header, the others in UTF-8 under another."""
+    path, rows = fresh_folder(t), t.doc_lines.filter("value <> ''")
+    put = lambda df, name, encoding: df.write.csv(f"{path}/{name}", header=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    narrow = F.regexp_replace("value", r"[^\x00-\xFF]", "?").alias("value")
+    put(rows.filter("lang = 'fr'").select(narrow, "doc_id", "pos"), "latin", "ISO-8859-1")
+    put(rows.filter("lang <> 'fr' OR lang IS NULL").select("doc_id", "value", "pos"), "utf8", "UTF-8")
+    return readers.read_text_csv_any(t.spark, f"{path}/*", ["doc_id", "pos", "value"]).select("doc_id", "pos", "value")
+
+
+@query("json_files", "SELECT event_id, event_type, json_extract(props, '$.k')::INT AS k FROM events")
+def _(t):
+    path = fresh_folder(t)
+    t.events.select("event_id", "event_type", F.from_json("props", "k int").alias("props")).write.json(path)
+    back = readers.read_json_table(t.spark, path, "event_id long, event_type string, props struct<k: int>", lines=True)
+    return back.select("event_id", "event_type", "props.k")
+
+
+@query("text_files", "SELECT o_orderkey::VARCHAR AS value, true AS in_order FROM orders")
+def _(t):
+    """Numbers written in order, read with positions that must rise with them."""
+    path = fresh_folder(t)
+    t.orders.select("o_orderkey").repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("string")).write.text(path)
+    before = F.lag(F.col("value").cast("long")).over(W.partitionBy("file").orderBy("pos"))
+    return readers.read_lines(t.spark, path).select("value", F.coalesce(before < F.col("value").cast("long"), F.lit(True)).alias("in_order"))
+
+
+@query("union_header_files", """
+SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS segment, NULL AS balance FROM customer UNION ALL SELECT s_suppkey::VARCHAR, s_name, NULL, s_acctbal::DOUBLE::VARCHAR FROM supplier""")
+def _(t):
+    path = fresh_folder(t)
+    a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    writers.write_snapshot(writers.union_header([a, b]), path)
+    return readers.read_table(t.spark, path)
+
+
 STEP = 10**12  # room for the keys under one heading or date
 BLOCK = 5_000  # positions filled together; lines stand close, so a long list is many blocks
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import blank_to_null, coerce
 
@@ -26,20 +28,24 @@ def typed(df: DataFrame, types: dict[str, str], row_key: Sequence[str]) -> tuple
     return rows, rejects
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Header-driven text table: every column a string, byte-order mark and outer spaces off the names."""
+def read_table(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Header-driven text table: every column a string, byte-order mark and outer spaces off the names.
+
+    CSV and JSON lines ("jsonl") split into many tasks. Cells with line breaks need ``multi_line``, and a JSON array ("json") needs no
+    telling; both make each file one task.
+    """
     if fmt == "csv":
-        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', mode="PERMISSIVE")
-    elif fmt == "json":
-        df = spark.read.json(path, multiLine=True, primitivesAsString=True)
+        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', mode="PERMISSIVE")
+    elif fmt in ("json", "jsonl"):
+        df = spark.read.json(path, multiLine=fmt == "json", primitivesAsString=True)
     else:
         df = spark.read.format(fmt).load(path)
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
-def read_json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON array of objects with a declared schema."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json_table(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """Objects with a declared schema: a JSON array, one task per file, or with ``lines`` one object a line."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def decode_lines(lines: DataFrame, file: str = "file", raw: str = "raw", fallback: str = "ISO-8859-1") -> DataFrame:
@@ -53,17 +59,27 @@ def decode_lines(lines: DataFrame, file: str = "file", raw: str = "raw", fallbac
     ).drop("_utf8", raw)
 
 
-def read_text_csv_any(spark: SparkSession, path: str, columns: Sequence[str], fallback: str = "ISO-8859-1") -> DataFrame:
-    """CSV in UTF-8 or, per file, in the fallback encoding. Files are read line by line, so a large
-    file splits over many tasks."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
-    ddl = ", ".join(f"`{c}` string" for c in columns)
-    return (
-        decode_lines(lines, fallback=fallback)
-        .filter((F.col("line") != ",".join(columns)) & (F.trim("line") != ""))
-        .select("file", F.from_csv("line", F.lit(ddl), {"escape": '"'}).alias("r"), "source_encoding")
-        .select("r.*", "source_encoding", "file")
-    )
+def read_text_csv_any(spark: SparkSession, path: str, columns: Sequence[str], fallback: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
+    """CSV in UTF-8 or, per file, in the fallback encoding; columns by each file's own header.
+
+    A first pass gives every file its header and whether all its lines are valid UTF-8: one row per file, like the listing that the
+    driver holds anyway. Files of like header and encoding are then read together. ``multi_line`` is for cells with line breaks.
+    """
+    lines = read_lines(spark, path).withColumn("ok", F.is_valid_utf8("value"))
+    files = lines.groupBy("file").agg(F.min("ok").alias("ok"), F.min_by(F.col("value").cast("binary"), "pos").alias("head")).collect()
+    groups: dict[tuple, list[str]] = {}
+    for r in files:
+        encoding = "utf-8" if r["ok"] else fallback
+        head = bytes(r["head"]).decode(encoding).lstrip("\ufeff").rstrip("\r")
+        groups.setdefault((encoding, head), []).append(unquote(r["file"]))
+    out = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*columns, "source_encoding", "file"]))
+    for (encoding, head), paths in sorted(groups.items()):
+        names = [c.strip() for c in next(csv.reader([head]), [])]
+        schema = StructType([StructField(c, StringType()) for c in names])
+        df = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True, encoding=encoding, multiLine=multi_line, escape='"')
+        own = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns]
+        out = out.unionByName(df.select(*own, F.lit(encoding).alias("source_encoding"), F.col("_metadata.file_path").alias("file")))
+    return out
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

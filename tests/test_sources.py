@@ -29,6 +29,15 @@ def test_any_encoding(spark, tmp_path):
     assert got == {"1": ("Zoë", "utf-8"), "2": ("Zoë", "ISO-8859-1"), "3": ("Ana", "ISO-8859-1")}
 
 
+def test_headers_in_any_order_and_cells_with_line_breaks(spark, tmp_path):
+    d = tmp_path / "some where"
+    d.mkdir()
+    (d / "a.csv").write_bytes("id,name\n1,Zoë\n".encode())
+    (d / "b.csv").write_bytes('name,id,more\n"Zoë\nLi, ""x""",2,m\n'.encode("latin-1"))
+    got = {r.id: (r.name, r.source_encoding) for r in readers.read_text_csv_any(spark, str(d), ["id", "name"], multi_line=True).collect()}
+    assert got == {"1": ("Zoë", "utf-8"), "2": ('Zoë\nLi, "x"', "ISO-8859-1")}
+
+
 def test_json_array_and_optional(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"id": 1, "n": "x"}, {"id": 2, "n": None}]))
