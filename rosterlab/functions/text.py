@@ -41,8 +41,10 @@ GENERIC_PLACE_TOKENS = [
 ]
 
 # Characters that betray a wrong decoding, and the usual repairs.
-MOJIBAKE_MARKERS = ["Ã", "Â", "â€", "√", "�"]
-MOJIBAKE_REPAIRS = {"√©": "é", "√°": "á", "√≥": "ó", "√±": "ñ", "√∫": "ú", "√≠": "í", "√º": "ü", "√∂": "ö", "√ß": "ç"}
+MOJIBAKE_MARKERS = ["Ã", "Â", "Å", "â", "√", "�"]
+MOJIBAKE_REPAIRS = {
+    "√©": "é", "√≥": "ó", "√°": "á", "√≠": "í", "√±": "ñ", "√º": "ü", "√∂": "ö", "√ß": "ç", "≈Ñ": "ń", "≈ë": "ő", "ƒü": "ğ", "ÃÅ": "á", "√∫": "ú",
+}
 
 
 def clean_spaces(c: Column) -> Column:

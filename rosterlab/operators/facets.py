@@ -61,11 +61,15 @@ def cascading_options(clubs: DataFrame, links: DataFrame, f: Facets, selected: D
     return by_team.select(F.lit("team").alias("facet"), F.col("team").alias("option")).unionByName(own).distinct().orderBy("facet", F.collate("option", "UNICODE"))
 
 
-def fuzzy_distance(text: Column, query: str) -> Column:
-    """Smallest edit distance between the query and any window of its length in the text."""
-    n = len(query)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(n) + 1, F.lit(1)))
-    return F.array_min(F.transform(starts, lambda i: F.levenshtein(F.substring(text, i, F.lit(n)), F.lit(query))))
+def fuzzy_distance(text: Column, query: Column, most: int) -> Column:
+    """Smallest edit distance between the query and any window of its length in the text; NULL beyond ``most``.
+
+    The distance stops at its bound, and a text too short to come within it has no window to look at.
+    """
+    n = F.length(query)
+    starts = F.when(F.length(text) >= n - F.lit(most), F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))))
+    near = F.transform(starts, lambda i: F.levenshtein(F.substring(text, i, n), query, most))
+    return F.array_min(F.filter(near, lambda d: d >= 0))
 
 
 def layered_search(query: str, clubs: DataFrame, aliases: DataFrame, people: DataFrame, k: int = 8, fuzzy: bool = True, tolerance: float = 0.3) -> DataFrame:
@@ -94,8 +98,8 @@ def layered_search(query: str, clubs: DataFrame, aliases: DataFrame, people: Dat
     ]
     if fuzzy:
         for no, df, kind, key, label in ((4, clubs, "club", "club_id", "club_name"), (5, people, "player", "player_id", "display_name")):
-            d = fuzzy_distance(fold(F.col(label), "spaced_lower"), q)
-            layers.append(layer(df.withColumn("_d", d).filter(F.col("_d") <= int(tolerance * len(q))), no, kind, key, label, F.col("_d")))
+            d = fuzzy_distance(fold(F.col(label), "spaced_lower"), folded, int(tolerance * len(q)))
+            layers.append(layer(df.withColumn("_d", d).filter(F.col("_d").isNotNull()), no, kind, key, label, F.col("_d")))
     every = first_per_key(reduce(DataFrame.unionByName, layers), ["type", "id"], ["layer", "distance"])
     return every.orderBy("layer", "distance", F.length("id"), "id").limit(k)
 

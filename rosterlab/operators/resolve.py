@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import rule_reasons, rule_score, similarity
 from ..functions.num import haversine_km, year_plausibility
-from ..functions.text import fold, norm_key, strip_org_suffixes, tokens
+from ..functions.text import fold, manual_search_hint, norm_key, strip_org_suffixes, tokens
 from ..skew import first_per_key, number_rows, top_per_key
 
 Rule = tuple[Column, int, str]
@@ -283,6 +283,32 @@ def search_text(*parts: str) -> Column:
     return F.concat_ws(", ", *[F.when(_present(p), F.trim(F.col(p))) for p in parts])
 
 
+# What each bucket asks of the reviewer.
+TRIAGE_REASONS = {
+    "batch_approve_stadium_coords": "exact name of several words, first hit, high score, stadium coordinates at hand",
+    "manual_review_gender_team_mismatch": "the candidate seems to be a women's team",
+    "manual_review_name_ambiguity": "more than one club may bear this name",
+    "retry_search_wrong_entity": "the candidate is no club, or of another sport; search again under other names",
+    "coordinate_backfill_needed": "the club fits, its coordinates are missing",
+    "manual_review_low_context_candidate": "no coordinates, and nothing says that it is a football club",
+    "manual_review_club_vs_place": "the coordinates may be those of a place; check their source",
+    "manual_search_alias_retry": "nothing was found; try stripped, folded or suffixed names",
+    "hard_manual_match": "low score or several meanings; choose by hand",
+}
+
+
+def identity_review(validated: DataFrame, order: Sequence[str] = ("severity",)) -> DataFrame:
+    """The rows that need a look, high and medium, with what to do about them."""
+    action = "Compare with the roster source, club, date of birth and national team."
+    return validated.filter(F.col("severity").isin("high", "medium")).withColumn("suggested_action", F.lit(action)).orderBy(*order)
+
+
+def identity_summary(validated: DataFrame) -> DataFrame:
+    """One row: how many were validated and how many have each severity; zeros for an empty table."""
+    n = lambda s: F.count_if(F.col("severity") == s)
+    return validated.agg(F.count(F.lit(1)).alias("total"), n("high").alias("high_review_items"), n("medium").alias("medium_review_items"), n("low").alias("low_warnings"), n("ok").alias("ok"))
+
+
 def validate_identity(df: DataFrame, name: str, label: str, aliases: str, description: str, citizenships: str, teams: str, club: str,
                       local_dob: str, other_dob: str, context: Column, domain: Sequence[str], lo: int = 1900, hi: int = 2010, spot: int = 1986) -> DataFrame:
     """Points, flags and severity for an already linked identity. ``aliases`` is a pipe list."""
@@ -332,7 +358,7 @@ def date_confirmed_match(rows: DataFrame, candidates: DataFrame, key: str, date:
 
 
 def triage(review: DataFrame, candidates: DataFrame, key: str, candidate: str, name: str, label: str, text: Sequence[str]) -> DataFrame:
-    """Bucket, priority and flags of each row under review, with the runner-up and the gap to it.
+    """Bucket, reason, priority, search hint and flags of each row under review, with the runner-up and the gap to it.
 
     ``review`` has match_status, candidate_score, search_rank, player_count.
     """
@@ -365,7 +391,8 @@ def triage(review: DataFrame, candidates: DataFrame, key: str, candidate: str, n
         .when(status == "no_candidates_found", "manual_search_alias_retry")
         .otherwise("hard_manual_match")
     )
-    df = df.withColumn("triage_bucket", bucket)
+    reasons = F.create_map(*[F.lit(x) for pair in TRIAGE_REASONS.items() for x in pair])
+    df = df.withColumn("triage_bucket", bucket).withColumn("triage_reason", F.element_at(reasons, F.col("triage_bucket"))).withColumn("search_hint", manual_search_hint(F.col(name)))
     players = F.coalesce("player_count", F.lit(0))
     priority = F.when((players >= 8) & (c("triage_bucket") != "batch_approve_stadium_coords"), "high").when(players >= 4, "medium").otherwise("low")
     return df.withColumn("review_priority", priority)

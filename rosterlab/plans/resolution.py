@@ -325,7 +325,7 @@ def _(t):
     return resolve.resolution_priority(rows, "lat", "lon", follow).select("club_id", "resolution_priority", resolve.search_text("club_name", "city", "country").alias("q"))
 
 
-@query("validate_identity", f"""
+VALIDATE = f"""
 WITH {CANDS}, v AS (SELECT entity, candidate, size, ptype, brand, p.date_of_birth AS a, q.date_of_birth AS b,
     greatest(1 - levenshtein(name, label)::DOUBLE / greatest(length(name), length(label)), CASE WHEN size > 40 THEN 1 - levenshtein(name, name || ' jr')::DOUBLE / (length(name) + 3) ELSE 0 END) AS s
   FROM cands LEFT JOIN players p ON p.player_id = entity LEFT JOIN players q ON q.player_id = candidate),
@@ -337,8 +337,10 @@ g AS (SELECT *, [x FOR x IN [CASE WHEN s < 0.75 THEN 'name_similarity_low' WHEN
 SELECT entity, candidate, round(s, 6) AS name_similarity, CASE WHEN s >= 0.92 THEN 30 WHEN s >= 0.75 THEN 15 ELSE 0 END + CASE WHEN dom THEN 25 ELSE 0 END + CASE WHEN ctx THEN 20 ELSE 0 END
   + CASE WHEN clb THEN 10 ELSE 0 END + CASE WHEN a = b THEN 15 ELSE 0 END AS validation_score, array_to_string(fl, '|') AS flags,
   CASE WHEN list_has_any(fl, ['dob_year_implausible', 'dob_mismatch', 'domain_not_clear']) THEN 'high' WHEN list_has_any(fl, ['name_similarity_low', 'context_not_found']) THEN 'medium'
-    WHEN list_has_any(fl, ['club_not_in_history_soft_warning', 'birth_year_before_1970_spot_check']) THEN 'low' ELSE 'ok' END AS severity FROM g""")
-def _(t):
+    WHEN list_has_any(fl, ['club_not_in_history_soft_warning', 'birth_year_before_1970_spot_check']) THEN 'low' ELSE 'ok' END AS severity FROM g"""
+
+
+def validated(t):
     dob = t.players.select("player_id", "date_of_birth")
     c = cands(t).join(dob.withColumnsRenamed({"player_id": "entity", "date_of_birth": "a"}), "entity", "left").join(
         dob.withColumnsRenamed({"player_id": "candidate", "date_of_birth": "b"}), "candidate", "left"
@@ -353,6 +355,23 @@ def _(t):
     return out.select("entity", "candidate", F.round("name_similarity", 6).alias("name_similarity"), "validation_score", "flags", "severity")
 
 
+@query("validate_identity", VALIDATE)
+def _(t):
+    return validated(t)
+
+
+@query("identity_review", f"SELECT entity, candidate, severity, flags FROM ({VALIDATE}) WHERE severity IN ('high', 'medium')")
+def _(t):
+    return resolve.identity_review(validated(t)).select("entity", "candidate", "severity", "flags")
+
+
+@query("identity_summary", f"""
+SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high_review_items, count(*) FILTER (severity = 'medium') AS medium_review_items,
+  count(*) FILTER (severity = 'low') AS low_warnings, count(*) FILTER (severity = 'ok') AS ok FROM ({VALIDATE})""")
+def _(t):
+    return resolve.identity_summary(validated(t))
+
+
 @query("date_confirmed_match", """
 WITH r AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN d END AS d FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderdate, o_orderkey)::DATE AS d FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 h AS (SELECT k, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey FROM r JOIN orders ON o_custkey = k AND o_orderdate::DATE = d WHERE o_orderstatus <> 'P' GROUP BY 1)
@@ -860,7 +879,14 @@ def _(t):
     return facets.layered_search("#00000000", *search_tables(t), fuzzy=False)
 
 
-@query("layered_search_fuzzy")
+NEAREST = "list_min(list_transform(range(1, greatest(length({0}) - 16 + 1, 1) + 1), lambda i: levenshtein(substr(lower({0}), i, 16), 'custmer#00000012')))"
+
+
+@query("layered_search_fuzzy", f"""
+WITH c AS (SELECT 'club' AS type, s_suppkey AS o, s_name AS label, 4 AS layer, {NEAREST.format("s_name")} AS distance FROM supplier),
+p AS (SELECT 'player' AS type, player_id AS o, c_name AS label, 5 AS layer, {NEAREST.format("c_name")} AS distance FROM entries JOIN customer ON c_custkey = player_id WHERE squad_status = 'active'),
+best AS (SELECT * FROM (SELECT * FROM c WHERE distance <= 4 ORDER BY distance, o LIMIT 8) UNION ALL SELECT * FROM (SELECT * FROM p WHERE distance <= 4 ORDER BY distance, o LIMIT 8))
+SELECT type, o::VARCHAR AS id, label, layer, distance FROM best ORDER BY layer, distance, length(o::VARCHAR), o::VARCHAR LIMIT 8""")
 def _(t):
     return facets.layered_search("custmer#00000012", *search_tables(t))
 
