@@ -55,6 +55,17 @@ def reconcile_summary(ours: DataFrame, theirs: DataFrame, matched: DataFrame, bl
     return out.withColumn("cut", F.col("ours") - F.col("matched")).withColumn("new", F.col("theirs") - F.col("matched"))
 
 
+def reconcile_overall(ours: DataFrame, theirs: DataFrame, matched: DataFrame, date_mismatches: DataFrame | None = None) -> DataFrame:
+    """The whole run in one row: rows of both sides, matches, fuzzy ones among them, what only one side has, dates that differ."""
+    n = lambda df, name, of=F.lit(1): df.agg(F.count(of).alias(name)).scalar()
+    fuzzy = F.when(F.col("method") == "fuzzy", 1) if "method" in matched.columns else F.lit(None)
+    one = ours.sparkSession.range(1).select(
+        n(ours, "a").alias("ours"), n(theirs, "b").alias("theirs"), n(matched, "c").alias("matched"), n(matched, "d", fuzzy).alias("matched_fuzzy"),
+        (n(date_mismatches, "e") if date_mismatches is not None else F.lit(0).cast("long")).alias("date_mismatches"),
+    )
+    return one.withColumns({"cut": F.col("ours") - F.col("matched"), "new": F.col("theirs") - F.col("matched")})
+
+
 def merge_precedence(dfs: Sequence[DataFrame], key: str) -> DataFrame:
     """Union where a later input wins per key."""
     tagged = [d.withColumn("_prio", F.lit(-i)) for i, d in enumerate(dfs)]

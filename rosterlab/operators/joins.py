@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import split_list, strip_generic_tokens, tokens
+from ..functions.text import country_code_fallback, split_list, strip_generic_tokens, tokens
 from ..skew import first_per_key, last_per_key, salted_left_join
 
 
@@ -151,6 +151,18 @@ def attach_attributes(df: DataFrame, src: DataFrame, keys: Sequence[str], column
     return df.join(side, list(keys), "left").fillna(default, subset=list(columns))
 
 
+def first_person(pairs: DataFrame, people: DataFrame, block: str, name: str, key: str, label: str) -> DataFrame:
+    """``pairs`` (block, name, ...) with the id and display name of the first person, by id, who bears the name there."""
+    bearer = people.groupBy(block, name).agg(F.min(F.struct(key, label)).alias("_p")).select(block, name, "_p.*")
+    return pairs.join(bearer, [block, name], "left")
+
+
+def country_codes(df: DataFrame, codes: DataFrame, on: str, name: str, out: str = "country_code") -> DataFrame:
+    """The code of each row's country from ``codes`` (on, code), or three capital letters of its name."""
+    known = keyed(codes.select(on, F.col("code").alias("_code")), on)
+    return df.join(known, on, "left").withColumn(out, F.coalesce("_code", country_code_fallback(F.col(name)))).drop("_code")
+
+
 def _token_prefixes(c: str) -> Column:
     """Every leading run of tokens of a simplified name, the whole name included."""
     t = tokens(F.col(c))

@@ -35,9 +35,17 @@ def foreign_keys(specs: Sequence[tuple[str, DataFrame, str | Column, DataFrame,
     return reduce(DataFrame.unionByName, parts)
 
 
-def cardinality(df: DataFrame, group: str, n: int) -> DataFrame:
-    """Groups whose size is not ``n``."""
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") != n)
+def cardinality(df: DataFrame, group: str, n: int, groups: DataFrame | None = None) -> DataFrame:
+    """Groups whose size is not ``n``; with ``groups``, those of its groups that have no row too, at 0."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    if groups is not None:
+        sizes = groups.select(group).distinct().join(sizes, group, "full").fillna(0, subset=["rows"])
+    return sizes.filter(F.col("rows") != n)
+
+
+def group_count(df: DataFrame, group: str, n: int) -> DataFrame:
+    """One row (expected, found) where the number of distinct groups is not ``n``, else none."""
+    return df.agg(F.lit(n).alias("expected"), F.count_distinct(group).alias("found")).filter("expected <> found")
 
 
 def banned_values(df: DataFrame, column: str, retired: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, match, num, text
+from ..operators import joins
 from ..sources.adapters import AS_OF
 from .registry import query
 
@@ -343,10 +344,8 @@ query("clean_note", lines_sql(sub(sub(r"replace(replace(value, 'Released under t
 SELECT c_custkey, coalesce(code, upper(left(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g'), 3))) AS out
 FROM customer LEFT JOIN (SELECT n_nationkey, 'N' || n_nationkey AS code FROM nation WHERE n_regionkey < 3) ON n_nationkey = c_nationkey""")
 def _(t):
-    codes = t.nation.filter("n_regionkey < 3").select("n_nationkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"))
-    return t.customer.join(codes, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        "c_custkey", F.coalesce("code", text.country_code_fallback(F.col("c_mktsegment"))).alias("out")
-    )
+    codes = t.nation.filter("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"))
+    return joins.country_codes(t.customer, codes, "c_nationkey", "c_mktsegment", "out").select("c_custkey", "out")
 
 
 @query("per_90", "SELECT player_id, round(goals / nullif(minutes_played, 0) * 90, 6) AS out FROM stats")

@@ -400,6 +400,19 @@ def _(t):
     return diff.exact_pairs(ours, theirs, "p_brand", "p_name", "our_id", "their_id")
 
 
+@query("prefix_candidates_people", r"""
+WITH q AS (SELECT p_partkey, p_brand, CASE WHEN p_size < 20 THEN upper(p_name) || ' City' ELSE split_part(p_name, ' ', 1) END AS name FROM part),
+f AS (SELECT p_brand, name, min(p_partkey) AS p_partkey FROM q GROUP BY 1, 2), c AS (SELECT DISTINCT p_brand, p_name AS candidate FROM part),
+x AS (SELECT f.p_brand, name, candidate, p_partkey, regexp_replace(lower(name), ' city$', '') AS a, lower(candidate) AS b
+  FROM f JOIN c ON f.p_brand = c.p_brand WHERE NOT EXISTS (SELECT 1 FROM c c2 WHERE c2.p_brand = f.p_brand AND c2.candidate = f.name))
+SELECT x.p_brand, name, candidate, x.p_partkey, p_type FROM x JOIN part p ON p.p_partkey = x.p_partkey WHERE a = b OR starts_with(b, a || ' ') OR starts_with(a, b || ' ')""")
+def _(t):
+    name = F.when(F.col("p_size") < 20, F.concat(F.upper("p_name"), F.lit(" City"))).otherwise(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    people = t.part.select("p_brand", name.alias("name"), "p_partkey", "p_type")
+    pairs = joins.prefix_candidates(people, t.part.select("p_brand", F.col("p_name").alias("candidate")), "p_brand", "name", "candidate")
+    return joins.first_person(pairs, people, "p_brand", "name", "p_partkey", "p_type").select("p_brand", "name", "candidate", "p_partkey", "p_type")
+
+
 @query("reconcile_summary", """
 WITH o AS (SELECT c_nationkey AS k, count(*) AS ours FROM customer GROUP BY 1), h AS (SELECT s_nationkey AS k, count(*) AS theirs FROM supplier GROUP BY 1),
 m AS (SELECT c_nationkey AS k, count(*) AS matched FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey GROUP BY 1)
@@ -411,6 +424,16 @@ def _(t):
     return diff.reconcile_summary(ours, theirs, ours.join(theirs, ["k", "id"]), "k")
 
 
+@query("reconcile_overall", """
+SELECT (SELECT count(*) FROM customer) AS ours, (SELECT count(*) FROM supplier) AS theirs, count(*) AS matched, count(*) FILTER (s_suppkey % 4 = 0) AS matched_fuzzy, 0::BIGINT AS date_mismatches,
+  (SELECT count(*) FROM customer) - count(*) AS cut, (SELECT count(*) FROM supplier) - count(*) AS new FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey""")
+def _(t):
+    ours = t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"))
+    theirs = t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"))
+    matched = ours.join(theirs, ["k", "id"]).withColumn("method", F.when(F.col("id") % 4 == 0, "fuzzy").otherwise("exact"))
+    return diff.reconcile_overall(ours, theirs, matched)
+
+
 @query("merge_precedence", f"WITH {PREV}, {CURR} SELECT * FROM curr UNION ALL SELECT * FROM prev WHERE o_orderkey NOT IN (SELECT o_orderkey FROM curr)")
 def _(t):
     return diff.merge_precedence(list(snapshots(t)), "o_orderkey")
@@ -525,6 +548,16 @@ def _(t):
     return quality.cardinality(t.orders, "o_custkey", 10)
 
 
+@query("cardinality_required", "SELECT c_custkey AS o_custkey, coalesce(n, 0) AS rows FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) <> 10")
+def _(t):
+    return quality.cardinality(t.orders, "o_custkey", 10, groups=t.customer.select(F.col("c_custkey").alias("o_custkey")))
+
+
+@query("group_count", "SELECT 20 AS expected, count(DISTINCT n_nationkey) AS found FROM nation HAVING count(DISTINCT n_nationkey) <> 20")
+def _(t):
+    return quality.group_count(t.nation, "n_nationkey", 20)
+
+
 @query("banned_values", "SELECT l_suppkey AS old_id, s_nationkey AS new_id, count(*) AS uses FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal < 1000 GROUP BY 1, 2")
 def _(t):
     retired = t.supplier.filter("s_acctbal < 1000").select(F.col("s_suppkey").alias("old_id"), F.col("s_nationkey").alias("new_id"))
