@@ -38,9 +38,16 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
-    """Exact median per key over (key, value) counts, so a group never arrives as raw rows."""
+    """Exact median per key over (key, value) counts, so a group never arrives as raw rows.
+
+    Running counts along the sorted values find the middle; a group with many distinct values is sorted and spilled, never held in one buffer.
+    """
     counted = df.groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_v").isNotNull())
-    return counted.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5), F.col("_n")).alias(out))
+    group = W.partitionBy(*keys)
+    along = counted.withColumns({"_c": F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_t": F.sum("_n").over(group)})
+    at = lambda place: F.min(F.when(F.col("_c") >= place, F.col("_v"))).cast("double")
+    middle = (at(F.floor((F.col("_t") + 1) / 2)) + at(F.floor(F.col("_t") / 2) + 1)) / 2
+    return along.groupBy(*keys).agg(middle.alias(out))
 
 
 def number_rows(df: DataFrame, order_by: Sequence[Column], start: int | Column = 1, out: str = "row_no") -> DataFrame:
