@@ -35,6 +35,7 @@ FAMILIES = {
     "malayic": "id jv ms tl",
     "sinitic": "wuu yue zh",
 }
+_BLANKED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))  # ASCII other than letters is one blank
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -52,9 +53,8 @@ def has_letter(text: str) -> bool:
 def counts(text: str, bits: int = BITS) -> np.ndarray:
     """Hashed counts of the three-byte groups of the lower-cased text, ASCII non-letters as one blank."""
     out = np.zeros(1 << bits, np.int64)
-    letters = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
     for i in range(0, max(1, len(text)), CHUNK):
-        raw = b" " + text[max(0, i - 2): i + CHUNK].lower().encode("utf-8", "replace").translate(letters) + b" "
+        raw = b" " + text[max(0, i - 2): i + CHUNK].lower().encode("utf-8", "replace").translate(_BLANKED) + b" "
         b = np.frombuffer(raw, np.uint8).astype(np.uint32)
         code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
         code = code[(b[1:-1] != 32) | (b[:-2] != 32)]  # runs of blanks say nothing

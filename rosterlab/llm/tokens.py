@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -109,6 +110,12 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+@lru_cache(maxsize=1)
+def counter(model: str, proven: frozenset[str]) -> Counter:
+    """The worker's one counter: a task takes over what earlier ones have set up and seen."""
+    return Counter(model, proven)
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) appended.
 
@@ -121,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = Counter(*shared.value)
+        count = counter(*shared.value)
         for texts in batches:
             yield pd.Series([count(t) if t else 0 for t in texts], dtype="int64")
 
