@@ -8,7 +8,7 @@ from .operators.diff import orphans
 from .operators.facets import alias_dictionary
 from .operators.geo import cities_from_clubs, city_members, own_city_key, team_members, teams_from_entries
 from .operators.quality import audit, unique_key
-from .sources.readers import read_table, typed
+from .sources.readers import path_exists, read_table, typed
 from .sources.writers import export_manifest, write_snapshot
 
 # Columns that are not text, by table.
@@ -19,17 +19,30 @@ TYPES = {
     "player_club_at_callup": {},
     "club_alias_map": {},
 }
+# Tables that a folder may hold besides; they are typed, checked for their key and carried along.
+MORE_TYPES = {
+    "team_stats": {**dict.fromkeys(["matches_played", "wins", "draws", "losses", "goals_for", "goals_against", "assists"], "int"), "xg": "float", "possession_pct": "float"},
+    "player_stats": dict.fromkeys(["goals", "assists", "minutes_played", "yellow_cards", "red_cards", "indirect_red_cards", "gk_saves", "gk_actions_inside_box", "gk_actions_outside_box"], "int"),
+    "matches": dict.fromkeys(["home_score", "away_score", "home_pens", "away_pens"], "int"),
+    "coaches": {}, "referees": {}, "confederations": {}, "sources": {}, "change_log": {}, "manual_review_queue": {},
+}
+MORE_KEYS = {
+    "team_stats": "team_code", "player_stats": "player_id", "matches": "match_id", "coaches": "coach_id", "referees": "official_id", "confederations": "code",
+    "sources": "source_id", "change_log": "change_id", "manual_review_queue": "review_id",
+}
 KEYS = {"players": "player_id", "squad_entries": "squad_entry_id", "clubs": "club_id", "player_club_at_callup": "player_club_callup_id", "club_alias_map": "raw_club_id"}
 
 
 def load(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Typed tables, and every value that did not fit its type."""
     tables, rejects = {}, None
-    for name, types in TYPES.items():
-        rows, bad = typed(read_table(spark, f"{folder}/{name}.csv"), types, [KEYS[name]])
+    keys = KEYS | MORE_KEYS
+    there = TYPES | {n: t for n, t in MORE_TYPES.items() if path_exists(spark, f"{folder}/{n}.csv")}
+    for name, types in there.items():
+        rows, bad = typed(read_table(spark, f"{folder}/{name}.csv"), types, [keys[name]])
         tables[name] = rows
         if types:
-            bad = bad.select(F.lit(name).alias("table"), F.col(KEYS[name]).alias("row_key"), "field", "raw")
+            bad = bad.select(F.lit(name).alias("table"), F.col(keys[name]).alias("row_key"), "field", "raw")
             rejects = bad if rejects is None else rejects.unionByName(bad)
     return tables, rejects
 
@@ -43,6 +56,7 @@ def checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "entry_players_exist": orphans(entries, t["players"], "player_id"),
         "link_players_exist": orphans(links, t["players"], "player_id"),
         "link_clubs_exist": orphans(links, t["clubs"], "club_id"),
+        **{f"{name}_keys_unique": unique_key(t[name], [key]) for name, key in MORE_KEYS.items() if name in t},
     }
 
 
@@ -58,7 +72,7 @@ def refresh(spark: SparkSession, folder: str, out: str, exported_at: str, strict
         "players": t["players"], "squad_entries": t["squad_entries"], "clubs": clubs, "player_club_at_callup": t["player_club_at_callup"],
         "cities": cities_from_clubs(clubs, lat="city_lat", lon="city_lon"), "city_members": city_members(clubs, lat="city_lat", lon="city_lon"),
         "teams": teams_from_entries(t["squad_entries"]), "team_members": team_members(t["squad_entries"]),
-        "club_aliases": alias_dictionary(aliases, clubs), "rejects": rejects,
+        "club_aliases": alias_dictionary(aliases, clubs), "rejects": rejects, **{name: t[name] for name in MORE_TYPES if name in t},
     }
     for name, df in tables.items():
         write_snapshot(df, f"{out}/{name}", fmt)

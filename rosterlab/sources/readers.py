@@ -106,7 +106,7 @@ def trim_blank_rows_cols(df: DataFrame) -> DataFrame:
     return df.filter(any_value.isNotNull()).select(*[F.col(f"`{c}`").alias(c.strip()) for c in named])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -115,7 +115,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_optional(spark: SparkSession, paths: Sequence[str], schema: str, fmt: str = "csv") -> DataFrame:
     """The first alternative that exists and has a row; an empty table when none does."""
     for path in paths:
-        if _exists(spark, path):
+        if path_exists(spark, path):
             df = read_table(spark, path, fmt)
             if df.limit(1).count():
                 return df

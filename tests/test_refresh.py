@@ -30,6 +30,17 @@ def test_refresh(spark, tmp_path):
     assert spark.read.json(str(out / "rejects")).collect()[0].raw == "tall"
 
 
+def test_refresh_carries_the_other_tables(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    write(src)
+    (src / "matches.csv").write_text("match_id,stage,home_score,away_score\nm1,Final,1,0\nm2,Final,x,\n")
+    (src / "coaches.csv").write_text("coach_id,coach_name\nk1,Ann\n")
+    counts = {r.entity: r["rows"] for r in refresh(spark, str(src), str(out), "2026-07-14").collect()}
+    assert (counts["matches"], counts["coaches"], counts["rejects"]) == (2, 1, 2) and "referees" not in counts
+    assert sorted(str(r.home_score) for r in spark.read.json(str(out / "matches")).collect()) == ["1", "None"]
+
+
 def test_refresh_stops_on_a_broken_key(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
