@@ -68,8 +68,11 @@ def alias_map(mapping: DataFrame, usage: DataFrame, key: str, group: str, n: int
 
 
 def remap_ids(child: DataFrame, mapping: DataFrame, key: str, old: str = "old_id", new: str = "new_id", note: str = "note") -> DataFrame:
-    """Rewrite a foreign key; the original stays in ``original_<key>`` and a change leaves a note."""
-    m = mapping.select(F.col(old).alias(key), F.col(new).alias("_new"))
+    """Rewrite a foreign key; the original stays in ``original_<key>`` and a change leaves a note.
+
+    An old id that is mapped more than once goes to its largest new id, so no child row is doubled.
+    """
+    m = mapping.groupBy(F.col(old).alias(key)).agg(F.max(new).alias("_new"))
     out = child.join(m, key, "left").withColumn(f"original_{key}", F.col(key)).withColumn(key, F.coalesce("_new", key)).drop("_new")
     a, b = F.col(f"original_{key}"), F.col(key)
     return out.withColumn(note, F.when(a != b, F.concat(F.lit(f"{key} changed from "), a.cast("string"), F.lit(" to "), b.cast("string"))))
@@ -184,11 +187,18 @@ def suspicious_rows(df: DataFrame, key: str, columns: Sequence[str], suggestions
     return long.join(suggestions.select("value", "suggestion"), "value", "left")
 
 
-def relational_split(raw: DataFrame, codes: DataFrame, positions: dict[str, str]) -> dict[str, DataFrame]:
+def clashing_ids(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, id, rows) of minted entry and link ids that stand for more than one row; empty when all is well."""
+    of = lambda name, key: tables[name].groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.lit(name).alias("table"), "id", "rows")
+    return of("entries", "squad_entry_id").unionByName(of("links", "link_id"))
+
+
+def relational_split(raw: DataFrame, codes: DataFrame, positions: dict[str, str], digits: int = 8) -> dict[str, DataFrame]:
     """players, entries, clubs, links and sources from one raw roster table.
 
     ``raw`` is (team, player_name, club_name, position, source_name, source_url); ``codes`` maps team to
-    team_code. Keys are minted from the cleaned names; the first spelling in name order stands.
+    team_code. Keys are minted from the cleaned names; the first spelling in name order stands. Entry and link ids have ``digits`` hash
+    digits: 8 suit some ten thousand rows, 16 any number; ``clashing_ids`` tells.
     """
     c = {k: clean_spaces(F.col(k)) for k in ("team", "player_name", "club_name", "position", "source_name", "source_url")}
     r = raw.select(*[v.alias(k) for k, v in c.items()]).join(codes, "team", "left")
@@ -199,10 +209,10 @@ def relational_split(raw: DataFrame, codes: DataFrame, positions: dict[str, str]
     players = first_per_key(r.select("player_id", F.col("player_name").alias("display_name"), fold(name, "ascii").alias("name_ascii"), "primary_position"), ["player_id"], ["display_name", "primary_position"])
     clubs = first_per_key(r.select("club_id", "club_name", fold(club, "ascii").alias("club_name_ascii")), ["club_id"], ["club_name"])
     entries = r.select(
-        F.concat_ws("_", F.lit("se"), F.lower(code), hash_n(F.lit("squad_entry"), code, F.col("player_id"))).alias("squad_entry_id"),
+        F.concat_ws("_", F.lit("se"), F.lower(code), hash_n(F.lit("squad_entry"), code, F.col("player_id"), n=digits)).alias("squad_entry_id"),
         "team", "team_code", "player_id", F.col("primary_position").alias("position_group"), F.lit("active").alias("squad_status"),
     )
-    links = r.select(F.concat_ws("_", F.lit("pc"), hash_n(F.lit("link"), code, F.col("player_id"), F.col("club_id"))).alias("link_id"), "player_id", "club_id", "team")
+    links = r.select(F.concat_ws("_", F.lit("pc"), hash_n(F.lit("link"), code, F.col("player_id"), F.col("club_id"), n=digits)).alias("link_id"), "player_id", "club_id", "team")
     sources = r.select("source_name", "source_url").distinct().withColumn("source_id", make_id("src", F.col("source_name"), [F.lit("source"), F.col("source_name"), F.col("source_url")], max_len=16))
     return {"players": players, "entries": entries, "clubs": clubs, "links": links, "sources": sources}
 

@@ -81,3 +81,21 @@ def test_scan_reads_only_what_it_uses(spark):
     plan = QUERIES["team_tallies"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert scans and not any("l_extendedprice" in s or "l_tax" in s for s in scans)
+
+
+def test_a_repeated_old_id_doubles_no_child(spark):
+    from rosterlab.operators.consolidate import remap_ids
+
+    child = spark.createDataFrame([("a",), ("b",)], "club_id string")
+    mapping = spark.createDataFrame([("a", "x"), ("a", "y")], "old_id string, new_id string")
+    assert {(r.original_club_id, r.club_id) for r in remap_ids(child, mapping, "club_id").collect()} == {("a", "y"), ("b", "b")}
+    assert remap_ids(child, mapping, "club_id").count() == 2
+
+
+def test_clashing_link_ids_are_found(spark):
+    from rosterlab.operators.consolidate import clashing_ids, relational_split
+
+    raw = spark.createDataFrame([("A", f"Player {i}", f"Club {i}", "x", "s", "u") for i in range(40)], "team string, player_name string, club_name string, position string, source_name string, source_url string")
+    codes = spark.createDataFrame([("A", "AAA")], "team string, team_code string")
+    assert clashing_ids(relational_split(raw, codes, {}, digits=1)).count() > 0
+    assert clashing_ids(relational_split(raw, codes, {}, digits=16)).count() == 0
