@@ -7,6 +7,7 @@ languages of a family a linear SVM votes. The models are fitted on a bounded sam
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,26 +130,36 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on ``per_language`` rows of each of the ``MOST_LANGUAGES`` most frequent labels, drawn by a hash of the text.
+    """Fits on ``per_language`` distinct texts of each of the ``MOST_LANGUAGES`` most frequent labels, drawn by a hash of the text.
 
     The sample is bounded by this parameter and ``MOST_ROWS``; what reaches the driver of a row is its vector, of fixed size, computed from
     the whole text. Rows without a letter are no examples. All else about the operator sees every row.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # copies share one hash and teach once, so it is distinct texts that count
+    frequent = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not frequent:
         return Model([], [])
     each = min(per_language, max(1, MOST_ROWS // len(frequent)))
-    # hashes are spread evenly, so a language's count says which range of them holds about the rows wanted: no ranking, no sort
-    chosen = F.lit(False)
-    for r in frequent:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 40)) < (1 << 40) * each * 5 // (4 * r["count"]) + 1))
-    few = rows.filter(chosen).select("lang", "h", F.col("text").alias("t"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"lang": batch.column("lang"), "h": batch.column("h"), "v": [vector(t).tobytes() for t in texts_of(batch, "t")]}
 
-    sample = map_batches(few, run, "lang string, h long, v binary").dropDuplicates(["lang", "h"]).collect()
+    # hashes are spread evenly, so a language's count says which range of them holds about the texts wanted: no ranking, no sort;
+    # where the range held too few it is doubled, until it holds them or is all
+    span = {r["lang"]: (1 << 40) * each * 5 // (4 * r["count"]) + 1 for r in frequent}
+    texts, short, sample = {r["lang"]: r["count"] for r in frequent}, set(span), []
+    while short:
+        chosen = F.lit(False)
+        for x in sorted(short):
+            chosen = chosen | ((F.col("lang") == x) & (F.pmod("h", F.lit(1 << 40)) < span[x]))
+        few = rows.filter(chosen).select("lang", "h", F.col("text").alias("t")).dropDuplicates(["lang", "h"])
+        found = map_batches(few, run, "lang string, h long, v binary").collect()
+        held = Counter(r["lang"] for r in found)
+        enough = {x for x in short if held[x] >= min(each, texts[x]) or span[x] >= 1 << 40}
+        sample += [r for r in found if r["lang"] in enough]
+        short -= enough
+        span.update({x: 2 * span[x] for x in short})
     own: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"] % (1 << 40), r["h"])):
         if len(own.setdefault(r["lang"], [])) < each:

@@ -441,9 +441,13 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Boosted:
     Where none has one, on a page of the usual parts. All else about the operator sees every page.
     """
     told = pages.filter(F.col(html).rlike(r"(?i)<(article|main)\b") & (F.length(html) <= SAMPLE_CHARS)).select(F.col(html).alias("h"))
-    told, n = told.withColumn("k", F.pmod(F.xxhash64("h"), F.lit(1 << 40))), told.count()
-    # hashes are spread evenly: a range of them holds a little over ``sample`` pages, whatever the size of the table
-    drawn = told.filter(F.col("k") < (1 << 40) * sample * 5 // (4 * max(n, 1)) + 1).dropDuplicates(["k"]).collect()
+    told = told.withColumn("k", F.pmod(F.xxhash64("h"), F.lit(1 << 40)))
+    n = told.select("k").distinct().count()  # copies share one hash and teach once
+    # hashes are spread evenly: a range of them holds a little over ``sample`` pages, whatever the size of the table; if too few, it is doubled
+    span, drawn = (1 << 40) * sample * 5 // (4 * max(n, 1)) + 1, []
+    while len(drawn) < min(sample, n):
+        drawn = told.filter(F.col("k") < span).dropDuplicates(["k"]).collect()
+        span *= 2
     drawn = [r["h"] for r in sorted(drawn, key=lambda r: (r["k"], r["h"]))[:sample]]
     return Boosted(*_examples(drawn + [USUAL] * 10))
 

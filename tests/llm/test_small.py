@@ -105,6 +105,32 @@ def test_language_of_odd_texts(spark):
     assert one("salut") == ("fr", 1.0)
 
 
+def test_copies_take_no_language_from_the_sample(spark, monkeypatch):
+    from rosterlab.llm import language
+
+    rng = random.Random(12)
+    rows = [("one same text", "fr")] * 3000 + [(prose(rng, 12), x) for x in ("fr", "en") for _ in range(30)]
+    taught = []
+    monkeypatch.setattr(language, "Model", lambda vectors, langs: taught.append(langs))
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    language.fit(docs)
+    language.fit(docs, per_language=3)
+    assert [(x.count("fr"), x.count("en")) for x in taught] == [(31, 30), (3, 3)]
+
+
+def test_copies_take_no_page_from_the_sample(spark, monkeypatch):
+    from rosterlab.llm import main_text
+
+    pages = [f"<article><p>Page {i} of them.</p></article>" for i in range(40)]
+    drawn = []
+    monkeypatch.setattr(main_text, "_examples", lambda pages: drawn.append(set(pages)) or ())
+    monkeypatch.setattr(main_text, "Boosted", lambda *_: None)
+    df = spark.createDataFrame([(x,) for x in pages + pages[:1] * 3000], "html string").repartition(3)
+    main_text.fit(df)
+    main_text.fit(df, sample=5)
+    assert drawn[0] == {*pages, main_text.USUAL} and len(drawn[1]) == 6
+
+
 PAGES = {
     "plain": ("<html><body><nav><a href=/>Home</a></nav><article><h1>A  title</h1><p>First &amp; best, as they say, of all.<p>Second<br>line, here.</article><footer>&copy; X</footer></body></html>", "A title\nFirst & best, as they say, of all.\nSecond line, here."),
     "divs": ('<div id="header"><a href=/>Site</a></div><div class="content"><h1>Title of it</h1><p>This is a long paragraph, with commas, and text that goes on.</p><p>One more, of the same kind, with words.</p></div><div class="comments"><div class="comment"><p>Great article, thanks a lot!</p></div></div><div class="footer">(c) 2020</div>', "Title of it\nThis is a long paragraph, with commas, and text that goes on.\nOne more, of the same kind, with words."),
