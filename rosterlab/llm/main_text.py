@@ -28,8 +28,9 @@ SAMPLE_CHARS = 100_000  # and pages longer than this are not drawn for it
 TREES, DEPTH, BINS, RATE = 40, 4, 24, 0.3
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "head", "title", "textarea", "select", "option", "button", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "head", "title", "textarea", "select", "option", "button", "canvas", "audio", "video"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())  # all else ends an open head
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 GOOD_TAGS, BAD_TAGS = {"article", "main"}, {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 # What class, id and role tokens say on most sites.
@@ -75,8 +76,12 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self.end_head()
         if tag in ("html", "body"):
             return
+        if self.at.tag == "head" and tag not in IN_HEAD:
+            self.end_head()
         node = self.at
         while node.parent is not None:
             ends, walls = ENDS.get(node.tag, ((), ()))
@@ -106,8 +111,18 @@ class Tree(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self.end_head()
         self.at.children.append(data)
 
+    def end_head(self) -> None:
+        """Leaves the head that is open, if one is: its end tag may be left out."""
+        node = self.at
+        while node.parent is not None and node.tag != "head":
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
+
 
 def parse(page: str) -> list[Node]:
     """All elements, parents first; the first one stands for the page."""
@@ -466,7 +481,13 @@ def extract(pages: list[str], trees: Boosted) -> Iterator[str]:
                 continue
             nodes, own = h[0], odds[at: at + len(h[0])]
             at += len(nodes)
-            own[[i for i, n in enumerate(nodes) if n.hidden or n.tag in RAW]] = -50
+            formula: set[int] = set()
+            for i, n in enumerate(nodes):
+                if n.hidden or n.tag in RAW:
+                    own[i] = -50
+                elif n.tag == "math" or id(n.parent) in formula:
+                    formula.add(id(n))
+                    own[i] = 1e-6  # a formula goes with the text it stands in
             yield blocks(nodes, decode(nodes, own))
         held.clear()
 

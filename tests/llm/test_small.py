@@ -155,6 +155,22 @@ def test_main_text_of_known_pages(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head", ["<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=utf-8><title>T</title><script>var x</script>", "<head></head><body>"])
+def test_main_text_of_pages_with_an_open_head_or_formulas(head):
+    from rosterlab.llm.main_text import USUAL, Boosted, _examples, extract
+
+    trees = Boosted(*_examples([USUAL] * 10))
+    page = "<html>" + head + "<article><p>First, the sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is said to be known, of all.</p><p>Then a second paragraph, of some length, ends it.</p></article></html>"
+    assert list(extract([page], trees)) == ["First, the sum a+b is said to be known, of all.\nThen a second paragraph, of some length, ends it."]
+
+
+def test_text_ends_an_open_head():
+    from rosterlab.llm.main_text import parse
+
+    nodes = parse("<head><title>T</title> \nSome text<noscript><img></noscript><p>more")
+    assert [(n.tag, n.parent and n.parent.tag) for n in nodes] == [("#page", None), ("head", "#page"), ("title", "head"), ("noscript", "#page"), ("img", "noscript"), ("p", "#page")]
+
+
 def test_main_text_is_the_article_of_given_pages(spark):
     import html
     import re
