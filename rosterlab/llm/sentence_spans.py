@@ -15,6 +15,8 @@ ENOUGH_WORDS = 50  # a run of fewer sentences counts once it has so many words
 # A sentence ends after . ! ? … with closing quotes or brackets, before white space; after a wide full stop; and at a line's end.
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?!\S)|[。！？]+[”’」』）]*|\n")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Scripts without blanks between words: a letter of the first kind (Chinese, Japanese) is a word, and so are up to four of the second (Thai, Lao, Burmese, Khmer).
+_UNSPACED = re.compile(r"[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]{1,4}")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -29,13 +31,19 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def n_words(part: str) -> int:
+    """Words of a sentence with single blanks; by letters where the script has no blanks."""
+    n = part.count(" ") + 1 if part else 0
+    return n if part.isascii() else max(n, len(_UNSPACED.findall(part)))
+
+
 def sentence_windows(text: str, pieces: list[tuple[int, int]], run: int = RUN, least: int = LEAST_WORDS, enough: int = ENOUGH_WORDS) -> list[tuple[int, int, int]]:
     """Every run of ``run`` sentences with ``least`` words, and shorter ones with ``enough``: (hash, first, sentences).
 
     Runs are compared word by word, so line breaks and double spaces inside them do not matter.
     """
     parts = [" ".join(_WORD.findall(text[a:b])) for a, b in pieces]
-    words = [p.count(" ") + 1 if p else 0 for p in parts]
+    words = [n_words(p) for p in parts]
     out = []
     for i in range(len(parts)):
         have = 0
@@ -50,8 +58,9 @@ def dedup_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(r, text, n_removed): ``docs`` without the sentences of runs that occurred before.
 
     A run's first place, by (doc_id, position), keeps its sentences, nulls last; sentences of any later place go, in the
-    same document too. So a repeated passage of over 50 words is always found where sentences end at its ends. Null texts and texts without a
-    long enough run are unchanged; rows that repeat id and text are one document. Runs meet by 64-bit hash.
+    same document too. So a repeated passage of over 50 words is found where sentences end at its ends, but for those of its sentences
+    that only stand in runs of ``RUN`` with fewer than ``LEAST_WORDS``. Where a script has no blanks, letters count as words: see ``n_words``.
+    Null texts and texts without a long enough run are unchanged; rows that repeat id and text are one document. Runs meet by 64-bit hash.
     """
     return remove_repeated(docs, sentences, sentence_windows, str.rstrip, doc_id, text)
 

@@ -211,6 +211,22 @@ def test_a_planted_passage_of_over_fifty_words_goes(spark, sizes):
     assert all(passage[:40] not in got[i] and passage[-20:] not in got[i] for i in (1, 2, 3))
 
 
+@pytest.mark.parametrize("passage", [
+    "他昨天去了城里的市場。那裡有很多新鮮的蔬菜。他買了三斤白菜和兩條魚。回家以後他做了一頓晚飯。全家人都說味道非常好。大家吃完飯就去散步了。",
+    "今日は天気がとてもいいです。朝から公園へ行きました。たくさんの人が歩いていました。私は本を読みました。それから家に帰りました。",
+    "เมื่อวานเขาไปตลาดในเมืองกับแม่\nที่นั่นมีผักสดมากมายให้เลือกซื้อ\nเขาซื้อปลาสองตัวกลับบ้าน",
+])
+def test_a_planted_passage_of_unspaced_sentences_goes(spark, passage):
+    from rosterlab.llm.sentence_spans import dedup_sentences
+
+    rows = [(i, prose(random.Random(i), 40).replace("\n", " ") + ".\n" + passage + "\n" + prose(random.Random(i + 90), 30)) for i in range(3)] + [(7, "Yes.\nNo.\nOh.\n"), (8, "Yes.\nNo.\nOh.\n")]
+    got = {r["r"]["doc_id"]: r["text"] for r in dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[8] == rows[4][1]
+    for i in (1, 2):
+        before, after = rows[i][1].split(passage)
+        assert got[i] == before + after.lstrip("\n")
+
+
 # mixing
 
 def plain_targets(sizes):
