@@ -20,7 +20,7 @@ from .common import id_mod, map_batches, table, texts_of
 BITS = 12  # buckets of three-byte groups: 2 ** BITS
 PER_LANGUAGE = 400  # rows the models are fitted on, per language
 MOST_ROWS = 4000  # and in all: with many languages each gets its share
-MOST_LANGUAGES = 200  # the most frequent labels are learned
+LEAST_ROWS = 20  # but so many at least: every label is learned, so the sample grows with the labels, not with the rows
 CHUNK = 1 << 20  # characters looked at together
 # Which languages are close relatives. A label that is not here is a family of its own.
 FAMILIES = {
@@ -130,30 +130,28 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on ``per_language`` distinct texts of each of the ``MOST_LANGUAGES`` most frequent labels, drawn by a hash of the text.
+    """Fits on ``per_language`` distinct texts of each label, drawn by a hash of the text.
 
-    The sample is bounded by this parameter and ``MOST_ROWS``; what reaches the driver of a row is its vector, of fixed size, computed from
+    The sample is bounded by this parameter and ``MOST_ROWS``, or ``LEAST_ROWS`` of each label where that is more; what reaches the driver of a row is its vector, of fixed size, computed from
     the whole text. Rows without a letter are no examples. All else about the operator sees every row.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # copies share one hash and teach once, so it is distinct texts that count
-    frequent = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not frequent:
+    labels = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy("lang").collect()
+    if not labels:
         return Model([], [])
-    each = min(per_language, max(1, MOST_ROWS // len(frequent)))
+    each = min(per_language, max(LEAST_ROWS, MOST_ROWS // len(labels)))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"lang": batch.column("lang"), "h": batch.column("h"), "v": [vector(t).tobytes() for t in texts_of(batch, "t")]}
 
     # hashes are spread evenly, so a language's count says which range of them holds about the texts wanted: no ranking, no sort;
     # where the range held too few it is doubled, until it holds them or is all
-    span = {r["lang"]: (1 << 40) * each * 5 // (4 * r["count"]) + 1 for r in frequent}
-    texts, short, sample = {r["lang"]: r["count"] for r in frequent}, set(span), []
+    span = {r["lang"]: (1 << 40) * each * 5 // (4 * r["count"]) + 1 for r in labels}
+    texts, short, sample = {r["lang"]: r["count"] for r in labels}, set(span), []
     while short:
-        chosen = F.lit(False)
-        for x in sorted(short):
-            chosen = chosen | ((F.col("lang") == x) & (F.pmod("h", F.lit(1 << 40)) < span[x]))
-        few = rows.filter(chosen).select("lang", "h", F.col("text").alias("t")).dropDuplicates(["lang", "h"])
+        ranges = F.create_map(*[F.lit(v) for x in sorted(short) for v in (x, span[x])])
+        few = rows.filter(F.pmod("h", F.lit(1 << 40)) < ranges[F.col("lang")]).select("lang", "h", F.col("text").alias("t")).dropDuplicates(["lang", "h"])
         found = map_batches(few, run, "lang string, h long, v binary").collect()
         held = Counter(r["lang"] for r in found)
         enough = {x for x in short if held[x] >= min(each, texts[x]) or span[x] >= 1 << 40}

@@ -118,6 +118,15 @@ def test_copies_take_no_language_from_the_sample(spark, monkeypatch):
     assert [(x.count("fr"), x.count("en")) for x in taught] == [(31, 30), (3, 3)]
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    from rosterlab.llm import language
+
+    taught = []
+    monkeypatch.setattr(language, "Model", lambda vectors, langs: taught.append(langs))
+    language.fit(spark.createDataFrame([(f"text {i} of it", f"x{i % 230}") for i in range(690)], "text string, lang string").repartition(3))
+    assert sorted(taught[0]) == sorted(f"x{i % 230}" for i in range(690))
+
+
 def test_copies_take_no_page_from_the_sample(spark, monkeypatch):
     from rosterlab.llm import main_text
 
