@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fits on at most ``sample`` labelled rows, drawn by a hash of the id; copies of one text with one label teach once.
 
     A document whose labels contradict each other teaches nothing, nor does a null label or id. What reaches the driver of a row is its label and its measures, of fixed
-    size; texts are measured where they lie and never shuffled.
+    size; the only texts that are shuffled are the drawn ones, to meet their labels.
     """
     key = lambda c: F.pmod(F.xxhash64(F.lit("sample"), c.cast("string")), F.lit(1 << 40))
     marks = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("m")).agg(F.min(label).alias("y"), F.max(label).alias("other"))
