@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ids import make_id
 from ..functions.text import fold
-from ..skew import first_per_key, number_rows
+from ..skew import cut_lineage, first_per_key, number_rows
+
+TASK_ROWS = 1_000_000  # rows of a group that one task numbers
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
@@ -32,18 +34,31 @@ def exact_pairs(ours: DataFrame, theirs: DataFrame, block: str, key: str, our_id
     Copies are numbered inside (block, key). A group of copies larger than a task is numbered from
     a range partitioning instead of a window: see ``numbered_copies``.
     """
-    a = numbered_copies(ours.select(block, key, our_id), [block, key], our_id)
-    b = numbered_copies(theirs.select(block, key, their_id), [block, key], their_id)
+    a, b = numbered_sides(ours.select(block, key, our_id), theirs.select(block, key, their_id), [block, key], our_id, their_id)
     return a.join(b, [block, key, "copy_no"]).select(block, our_id, their_id)
 
 
-def numbered_copies(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+def numbered_sides(ours: DataFrame, theirs: DataFrame, group: Sequence[str], our_id: str, their_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both frames, of the columns ``group`` and their id, with ``copy_no``.
+
+    A window numbers them if no group has more than ``TASK_ROWS`` rows; else one range partitioning serves both sides and its result is written.
+    """
+    side = lambda df, n: df.select(F.lit(n).alias("_side"), *group, our_id if n == 0 else their_id)
+    both, own = side(ours, 0).unionByName(side(theirs, 1), allowMissingColumns=True), ["_side", *group]
+    if (both.groupBy(*own).count().agg(F.max("count")).first()[0] or 0) > TASK_ROWS:
+        both = cut_lineage(numbered_copies(both, own, our_id, their_id))
+    else:
+        both = both.withColumn("copy_no", F.row_number().over(W.partitionBy(*own).orderBy(our_id, their_id)))
+    return both.filter("_side = 0").select(*group, our_id, "copy_no"), both.filter("_side = 1").select(*group, their_id, "copy_no")
+
+
+def numbered_copies(df: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
     """``copy_no`` 1..n inside each group in id order, with no group bound to one task.
 
     Rows get a global number in (group, id) order; the number inside the group is its distance
     from the group's first, an aggregate.
     """
-    numbered = number_rows(df, [*[F.col(g) for g in group], F.col(order)], out="_no")
+    numbered = number_rows(df, [F.col(c) for c in (*group, *order)], out="_no")
     first = numbered.groupBy(*group).agg(F.min("_no").alias("_first"))
     return numbered.join(first, list(group)).withColumn("copy_no", F.col("_no") - F.col("_first") + 1).drop("_no", "_first")
 

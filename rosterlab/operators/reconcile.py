@@ -6,61 +6,60 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import concat_key, token_key
 from ..skew import cut_lineage
-from .diff import exact_pairs, numbered_copies
-from .similar import greedy_assign, similar_names
+from .assign import greedy_assign
+from .diff import numbered_sides
+from .similar import similar_names
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, block: str, key: str, our_id: str, their_id: str, date: str | None = None,
-              threshold: float = 0.88, date_score: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+              threshold: float = 0.88, date_score: float = 0.95, measure: str = "edit") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched, cut, new): 1:1 inside each block.
 
     Passes, best score first: equal key; similarity over ``date_score``; equal date; similarity
-    from ``threshold`` up to ``date_score``. Pairs of equal score inside a date pair up in id order,
-    which needs numbering and no pair list. The order by score differs from a scan in file order:
+    from ``threshold`` up to ``date_score``. Ties go by the two keys, copies of a key and pairs of equal date by id, which needs numbering
+    and no pair list. ``measure`` is that of ``similar_names``. The order by score differs from a scan in file order:
     there an early row may take a partner that fits a later row better.
     """
     ours, theirs = ours.select(block, key, our_id, *([date] if date else [])), theirs.select(block, key, their_id, *([date] if date else []))
-    found = cut_lineage(exact_pairs(ours, theirs, block, key, our_id, their_id).withColumn("method", F.lit("exact")).withColumn("score", F.lit(1.0)))
+    on, tn = numbered_sides(ours, theirs, [block, key], our_id, their_id)
+    found = on.join(tn, [block, key, "copy_no"]).select(block, our_id, their_id, F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
+    found = cut_lineage(found)
 
-    def rest():
-        return (ours.join(found.select(our_id), our_id, "left_anti"), theirs.join(found.select(their_id), their_id, "left_anti"))
+    def rest(o: DataFrame, t: DataFrame):
+        return o.join(found.select(our_id), our_id, "left_anti"), t.join(found.select(their_id), their_id, "left_anti")
 
     # names left after the exact pass meet once; later passes only narrow this list
-    o, t = rest()
-    near = cut_lineage(similar_names(o.withColumnRenamed(key, "a"), t.withColumnRenamed(key, "b"), [block], "a", "b", threshold))
+    o, t = rest(ours, theirs)
+    near = cut_lineage(similar_names(o.withColumnRenamed(key, "a"), t.withColumnRenamed(key, "b"), [block], "a", "b", threshold, measure))
 
-    def fuzzy(found: DataFrame, which: Column) -> DataFrame:
-        pairs = near.filter(which)
-        if not pairs.limit(1).count():
-            return found
-        # a distinct name of a block is one node; its copies are the node's units
-        number = lambda df, i, c: numbered_copies(df.select(block, F.col(key).alias(c), i), [block, c], i)
-        o, t = rest()
-        on, tn = number(o, our_id, "a"), number(t, their_id, "b")
-        node = lambda c: F.struct(F.col(block).alias("block"), F.col(c).alias("key"))
-        caps = lambda df, c: df.groupBy(block, c).agg(F.max("copy_no").alias(f"cap_{c}"))
-        edges = pairs.join(caps(on, "a"), [block, "a"]).join(caps(tn, "b"), [block, "b"]).select(
-            node("a").alias("a"), node("b").alias("b"), "score", "cap_a", "cap_b"
-        )
-        units = greedy_assign(edges).select("*", F.explode(F.sequence(F.lit(1), F.col("take"))).alias("_u")).select(
-            F.col("a.block").alias(block), F.col("a.key").alias("a"), F.col("b.key").alias("b"), "score",
-            (F.col("start_a") + F.col("_u")).alias("_na"), (F.col("start_b") + F.col("_u")).alias("_nb"),
-        )
-        more = (
-            units.join(on.withColumnRenamed("copy_no", "_na"), [block, "a", "_na"]).join(tn.withColumnRenamed("copy_no", "_nb"), [block, "b", "_nb"])
-            .select(block, our_id, their_id, F.lit("fuzzy").alias("method"), "score")
-        )
+    def fuzzy(found: DataFrame, which: Column, on: DataFrame, tn: DataFrame) -> DataFrame:
+        """``on`` and ``tn`` are numbered by copies; a distinct name of a block is one node, and its copies are the node's units."""
+        def units(df: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
+            df = df.withColumnRenamed(key, c)
+            return df, df.groupBy(block, c).agg(F.min("copy_no").alias(f"from_{c}"), F.count(F.lit(1)).alias(f"cap_{c}"))
+
+        (o, our_caps), (t, their_caps) = units(on, "a"), units(tn, "b")
+        node = lambda c: F.struct(F.col(block).alias("block"), F.col(c).alias("key"), F.col(f"from_{c}").alias("first"))
+        edges = near.filter(which).join(our_caps, [block, "a"]).join(their_caps, [block, "b"])
+        edges = edges.withColumn("_block", F.col(block)).withColumns({"a": node("a"), "b": node("b")})
+        taken = greedy_assign(edges.select("a", "b", "score", "cap_a", "cap_b", "_block"), ["_block"]).select("*", F.explode(F.sequence(F.lit(0), F.col("take") - 1)).alias("_u"))
+        number = lambda c: (F.col(f"{c}.first") + F.col(f"start_{c}") + F.col("_u")).alias(f"_n{c}")
+        taken = taken.select(F.col("a.block").alias(block), F.col("a.key").alias("a"), F.col("b.key").alias("b"), "score", number("a"), number("b"))
+        more = taken.join(o.withColumnRenamed("copy_no", "_na"), [block, "a", "_na"]).join(t.withColumnRenamed("copy_no", "_nb"), [block, "b", "_nb"])
+        more = more.select(block, our_id, their_id, F.lit("fuzzy").alias("method"), "score")
         return cut_lineage(found.unionByName(more))
 
+    # the exact pass took the first copies of each name, so those left are still numbered without gaps
     if date:
-        found = fuzzy(found, F.col("score") > date_score)
-        o, t = (d.filter(F.col(date).isNotNull()).withColumn(date, F.col(date).cast("string")) for d in rest())
-        same_day = exact_pairs(o, t, block, date, our_id, their_id).withColumn("method", F.lit("date")).withColumn("score", F.lit(date_score))
+        found = fuzzy(found, F.col("score") > date_score, *rest(on, tn))
+        dated = [d.filter(F.col(date).isNotNull()).withColumn(date, F.col(date).cast("string")) for d in rest(ours, theirs)]
+        od, td = numbered_sides(*dated, [block, date], our_id, their_id)
+        same_day = od.join(td, [block, date, "copy_no"]).select(block, our_id, their_id, F.lit("date").alias("method"), F.lit(date_score).alias("score"))
         found = cut_lineage(found.unionByName(same_day))
-        found = fuzzy(found, F.col("score") <= date_score)
+        found = fuzzy(found, F.col("score") <= date_score, *numbered_sides(*rest(ours, theirs), [block, key], our_id, their_id))
     else:
-        found = fuzzy(found, F.lit(True))
-    cut, new = rest()
+        found = fuzzy(found, F.lit(True), *rest(on, tn))
+    cut, new = rest(ours, theirs)
     return found, cut, new
 
 

@@ -1,87 +1,246 @@
 """Similarity joins that lose no pair.
 
-Distinct names join, not rows. If two strings are within d edits, and the shorter one is cut into d+1 pieces, at least one piece stands
-unchanged in the longer one, near its place. So the join key is (length, edits, piece number, piece text): a stretch of several letters at a
-known place, which random names hardly share. The edit distance, stopped at its bound, is checked on the pairs that meet.
+Distinct names join, not rows. How many edits d a pair may need follows from its two lengths, and two kinds of join keys find all such pairs.
+
+*Pieces*, for up to ``MOST_EDITS`` edits: the shorter name is cut into d+k pieces; d edits leave k of them unchanged, each near its place. A key is the text of k such pieces
+at known places. More pieces in a key make it rarer and its places more, so k is chosen from the number of names and how often two of their letters are equal:
+as names grow in number, keys get longer, and the pairs that meet do not grow with their square.
+
+*Grams*, beyond: d edits leave at least one of the d*q+1 globally rarest q-letter stretches of each name in both of them, so only these are keys. Pairs that share several
+meet as hashes and are made distinct before their names join them.
+
+Pairs that meet are checked by edit distance, stopped at its bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
+from math import floor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.match import similarity, token_overlap
+from ..functions.match import bag, block_ratio, similarity, token_overlap
 from ..functions.text import tokens
 from ..skew import cut_lineage
 
-
-def _edits(length: Column, threshold: float) -> Column:
-    """Edits that a pair may need whose longer string has this length."""
-    return F.floor(length * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+MOST_EDITS = 8  # up to here pieces are keys
+MOST_TOGETHER = {1: 8, 2: 8, 3: 6}  # k to the most edits for which k pieces are worth their places
+PAIR_COST = 4.0  # of a pair that meets, in keys
 
 
-def _piece(length: Column, d: Column, i: Column) -> tuple[Column, Column]:
-    """(start, size) of piece i of d+1 nearly equal ones; the later pieces take the rest."""
-    size = F.floor(length / (d + 1)).cast("int")
-    short = d + 1 - length % (d + 1)
-    return i * size + F.greatest(F.lit(0), i - short), size + (i >= short).cast("int")
+@lru_cache
+def placements(d: int, k: int) -> list[tuple[int, list[int], list[int]]]:
+    """(letters more, pieces, shifts): which k of d+k pieces to look for, and how far from their places, in a name with that many more letters.
 
-
-def _indexed(names: DataFrame, text: str, threshold: float) -> DataFrame:
-    """A key per piece of each name as the shorter string, for every number of edits a longer partner may bring."""
-    n = F.length(text)
-    longest = F.floor(n / F.lit(threshold) + F.lit(1e-9)).cast("int")
-    df = names.withColumn("_n", n).withColumn("_d", F.explode(F.sequence(_edits(n, threshold), _edits(longest, threshold))))
-    start, size = _piece(F.col("_n"), F.col("_d"), F.col("_i"))
-    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
-    return df.withColumn("_k", F.xxhash64("_n", "_d", "_i", F.substring(F.col(text), start + 1, size))).drop("_d", "_i")
+    Among d+k pieces with d edits there are k unchanged ones such that before, between and after them stand no more edits than pieces: the places
+    where the edits so far, less the pieces so far, first reach -1, -2, ... -k. Edits bound the shift of what follows them.
+    """
+    out = []
+
+    def go(more: int, first: int, shift: int, pieces: list[int], shifts: list[int]) -> None:
+        if len(pieces) == k:
+            if abs(more - shift) <= d + k - first:
+                out.append((more, pieces, shifts))
+            return
+        for i in range(first, d + k):
+            for x in range(shift - (i - first), shift + (i - first) + 1):
+                go(more, i + 1, x, pieces + [i], shifts + [x])
+
+    for more in range(d + 1):
+        go(more, 0, 0, [], [])
+    return out
 
 
-def _probing(names: DataFrame, text: str, threshold: float) -> DataFrame:
-    """A key per stretch of each name, as the longer string, in which a piece of a shorter one may stand."""
-    n = F.length(text)
-    df = names.withColumn("_m", n).withColumn("_d", _edits(n, threshold))
-    df = df.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_m") - F.col("_d")), F.col("_m"))))
-    df = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
-    start, size = _piece(F.col("_n"), F.col("_d"), F.col("_i"))
-    df = df.withColumns({"_p": start, "_s": size})
-    # i edits at most before piece i, and d - i after it
-    shift, after = F.col("_m") - F.col("_n"), F.col("_d") - F.col("_i")
-    low = F.greatest(F.lit(0), F.col("_p") - F.col("_i"), F.col("_p") + shift - after)
-    high = F.least(F.col("_m") - F.col("_s"), F.col("_p") + F.col("_i"), F.col("_p") + shift + after)
-    at = F.when(low <= high, F.sequence(low, high))
-    keys = F.array_distinct(F.transform(at, lambda x: F.xxhash64("_n", "_d", "_i", F.substring(F.col(text), x + 1, F.col("_s")))))
-    return df.withColumn("_k", F.explode(keys)).drop("_d", "_i", "_p", "_s", "_n")
+class Bound:
+    """Most edits between names of two lengths; ``longest``: the length up to which a longer partner may go."""
+
+    def __init__(self, threshold: float, measure: str):
+        self.threshold, self.measure = threshold, measure
+
+    def edits(self, shorter: Column, longer: Column) -> Column:
+        t, e = self.threshold, F.lit(1e-9)
+        # blocks: a ratio of t means that t * (n + m) letters of both stay, and the others are taken out or put in
+        most = longer * F.lit(1 - t) if self.measure == "edit" else (shorter + longer) * F.lit(1 - t)
+        return F.floor(most + e).cast("int")
+
+    def most(self, longest: int) -> int:
+        """Edits between two names of this length, which no shorter ones exceed."""
+        return floor((1 - self.threshold) * longest * (1 if self.measure == "edit" else 2) + 1e-9)
+
+    def longest(self, n: Column) -> Column:
+        t = self.threshold
+        return F.floor(n / F.lit(t if self.measure == "edit" else t / (2 - t)) + F.lit(1e-9)).cast("int")
+
+    def shortest(self, m: Column) -> Column:
+        t = self.threshold
+        return F.greatest(F.lit(1), F.ceil(m * F.lit(t if self.measure == "edit" else t / (2 - t)) - F.lit(1e-9)).cast("int"))
+
+
+class Joiner:
+    """The join keys for names whose number, longest length and letter collisions are known; the same on both sides."""
+
+    def __init__(self, spark, bound: Bound, names: int, longest: int, collision: float):
+        self.bound, self.names, self.longest, self.collision = bound, names, longest, collision
+        self.places = self._places(spark, min(MOST_EDITS, bound.most(longest)))
+
+    def together(self, n: Column, d: Column) -> Column:
+        """How many pieces to put in a key: the least of keys plus pairs that are expected to meet."""
+        costs = []
+        for k, most in MOST_TOGETHER.items():
+            keys = F.get(F.array(*[F.lit(float(len(placements(i, k)))) for i in range(most + 1)]), d)
+            met = F.lit(float(self.names)) * F.pow(F.lit(self.collision), n * k / (d + k))
+            costs.append(F.struct((keys * (1 + PAIR_COST * met)).alias("cost"), F.lit(k).alias("k")))
+        return F.array_min(F.filter(F.array(*costs), lambda c: c["cost"].isNotNull()))["k"]
+
+    @staticmethod
+    def _places(spark, edits: int) -> DataFrame:
+        """(d, k, more, i1, x1, i2, x2, i3, x3): pieces and shifts of all placements, NULL beyond k; a fixed table, whatever the names are."""
+        rows = []
+        for k, most in MOST_TOGETHER.items():
+            for d in range(min(most, edits) + 1):
+                for more, pieces, shifts in placements(d, k):
+                    rows.append((d, k, more, *[v for r in range(3) for v in ((pieces[r], shifts[r]) if r < k else (None, None))]))
+        names = ["_d", "_k", "_more", *[f"_{c}{r}" for r in (1, 2, 3) for c in "ix"]]
+        return F.broadcast(spark.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in zip(names, zip(*rows))})))
+
+    @staticmethod
+    def _key(text: str, shifted: bool) -> Column:
+        """Of the pieces at their places: nearly equal pieces of ``_n`` letters, of which the later ones take the rest."""
+        n, count = F.col("_n"), F.col("_d") + F.col("_k")
+        size = F.floor(n / count).cast("int")
+        short = count - n % count
+        pieces = []
+        for r in (1, 2, 3):
+            i = F.col(f"_i{r}")
+            start = i * size + F.greatest(F.lit(0), i - short) + (F.col(f"_x{r}") if shifted else 0)
+            pieces.append(F.substring(F.col(text), start + 1, size + (i >= short).cast("int")))
+        return F.xxhash64("_n", "_d", "_i1", "_i2", "_i3", F.concat_ws("", *pieces))
+
+    def indexed(self, names: DataFrame, text: str) -> DataFrame:
+        """A key per choice of pieces of each name as the shorter one, for every number of edits a longer partner may bring."""
+        n = F.length(text)
+        longer = F.sequence(n, F.least(self.bound.longest(n), F.lit(self.longest)))
+        d = F.explode(F.array_distinct(F.transform(longer, lambda m: self.bound.edits(n, m))))
+        df = names.withColumn("_n", n).withColumn("_d", d).filter(F.col("_d") <= MOST_EDITS).withColumn("_k", self.together(F.col("_n"), F.col("_d")))
+        some = self.places.select("_d", "_k", "_i1", "_i2", "_i3").distinct()
+        return df.join(F.broadcast(some), ["_d", "_k"]).withColumn("_key", self._key(text, False)).drop("_d", "_k", "_i1", "_i2", "_i3")
+
+    def probing(self, names: DataFrame, text: str) -> DataFrame:
+        """A key per place of each name, as the longer one, at which the pieces of a shorter one may stand."""
+        df = names.withColumn("_m", F.length(text))
+        df = df.withColumn("_n", F.explode(F.sequence(F.least(self.bound.shortest(F.col("_m")), F.col("_m")), F.col("_m"))))
+        df = df.withColumn("_d", self.bound.edits(F.col("_n"), F.col("_m"))).filter(F.col("_d") <= MOST_EDITS)
+        df = df.withColumn("_k", self.together(F.col("_n"), F.col("_d"))).withColumn("_more", F.col("_m") - F.col("_n"))
+        df = df.join(self.places, ["_d", "_k", "_more"]).withColumn("_key", self._key(text, True))
+        return df.drop("_n", "_d", "_k", "_more", *[f"_{c}{r}" for c in "ix" for r in (1, 2, 3)])
+
+    def grams(self, names: DataFrame, text: str, as_longer: bool) -> DataFrame:
+        """(.., _q, _g): the stretches of q letters of each name, for every q that a pair with more than ``MOST_EDITS`` edits may ask for, and ``_rare``: how many of the rarest are keys."""
+        n = F.length(text)
+        if as_longer:
+            partners = F.transform(F.sequence(F.least(self.bound.shortest(n), n), n), lambda s: F.struct(s.alias("s"), n.alias("m")))
+        else:
+            partners = F.transform(F.sequence(n, F.greatest(n, F.least(self.bound.longest(n), F.lit(self.longest)))), lambda m: F.struct(n.alias("s"), m.alias("m")))
+        q = lambda d, m: F.greatest(F.lit(1), F.floor(m / (d + 1)).cast("int"))  # noqa: E731  the longest stretches of which one stays
+        asked = F.transform(partners, lambda p: F.struct(q(self.bound.edits(p["s"], p["m"]), p["m"]).alias("q"), self.bound.edits(p["s"], p["m"]).alias("d"), p["m"].alias("m")))
+        asked = F.filter(asked, lambda a: a["d"] > MOST_EDITS)
+        df = names.withColumn("_asked", asked).filter(F.size("_asked") > 0).withColumn("_q", F.explode(F.array_distinct(F.transform("_asked", lambda a: a["q"]))))
+        own = F.filter("_asked", lambda a: a["q"] == F.col("_q"))
+        # of a name's stretches all but those of the fewest that stay can be lost, and one more is a key
+        stay = F.array_min(F.transform(own, lambda a: F.greatest(F.lit(1), a["m"] - F.col("_q") + 1 - F.col("_q") * a["d"])))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - F.col("_q") + 1)), lambda i: F.xxhash64("_q", F.substring(F.col(text), i, F.col("_q"))))
+        return df.withColumn("_rare", F.size(every) - stay + 1).withColumn("_grams", every).drop("_asked")
+
+    @staticmethod
+    def rarest(df: DataFrame, counts: DataFrame, block: Sequence[str], text: str, name: str) -> DataFrame:
+        """(block, _key, ``name``): the keys of ``grams``, with a hash of the name for the name and its length."""
+        each = df.select(*block, F.xxhash64(text).alias("h"), F.length(text).alias("n"), "_q", "_rare", F.explode("_grams").alias("_g")).join(counts, "_g")
+        ranked = each.groupBy(*block, "h", "n", "_q", "_rare").agg(F.sort_array(F.collect_list(F.struct("_c", "_g"))).alias("_all"))  # the letters of one name
+        keys = F.array_distinct(F.transform(F.slice("_all", F.lit(1), F.greatest(F.lit(1), F.col("_rare"))), lambda x: x["_g"]))
+        return ranked.select(*block, F.struct("n", "h").alias(name), F.explode(keys).alias("_key"))
+
+
+def joiner(names: DataFrame, text: str, bound: Bound, blocks: Sequence[str] = ()) -> Joiner:
+    """Learns what the keys depend on: how many names a block holds on average, the longest length, the chance that two letters are equal."""
+    block = F.to_json(F.struct(*blocks)) if blocks else F.lit("")
+    letters = names.select(block.alias("_b"), F.posexplode(F.split(text, "")).alias("_at", "_c")).groupBy("_c").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("_at") == 0).alias("names"), F.max("_at").alias("last"), F.hll_sketch_agg("_b").alias("blocks"))
+    n = F.sum("n")
+    total, longest, parts, equal = letters.agg(F.sum("names"), F.max("last") + 1, F.hll_sketch_estimate(F.hll_union_agg("blocks")), F.sum(F.col("n") * F.col("n")) / (n * n)).first()
+    return Joiner(names.sparkSession, bound, max(1, (total or 0) // max(1, parts or 1)), longest or 1, min(1.0, equal or 1.0))
+
+
+def candidates(left: DataFrame, right: DataFrame | None, block: Sequence[str], a: str, b: str, threshold: float, measure: str = "edit") -> DataFrame:
+    """(block, a, b): the pairs that meet on a key, some more than once; a superset of the similar ones.
+
+    ``left`` (block, a) and ``right`` (block, b) are distinct non-empty names, best as written tables; ``right`` None joins ``left`` with itself, each unordered pair in either order but once.
+    """
+    one = right is None
+    every = left.select(*block, F.col(a).alias("_t")) if one else left.select(*block, F.col(a).alias("_t")).unionByName(right.select(*block, F.col(b).alias("_t")))
+    j = joiner(every, "_t", Bound(threshold, measure), block)
+    other = left.withColumnRenamed(a, b) if one else right
+    shorter, equal = F.length(a) < F.length(b), F.length(a) == F.length(b)
+
+    def by_pieces(short: DataFrame, s: str, long: DataFrame, t: str, also: Column) -> DataFrame:
+        return j.indexed(short, s).join(j.probing(long, t), [*block, "_key"]).filter(also & (F.col("_n") <= F.col("_m"))).select(*block, a, b)
+
+    out = by_pieces(left, a, other, b, shorter | (equal & (F.col(a) < F.col(b))) if one else shorter | equal)
+    if not one:
+        out = out.unionByName(by_pieces(other, b, left, a, F.length(b) < F.length(a)))
+    if j.bound.most(j.longest) <= MOST_EDITS:  # no name is long enough for more
+        return out
+    long = {s: [j.grams(df, s, as_longer) for as_longer in (True, False)] for df, s in ([(left, a)] if one else [(left, a), (other, b)])}
+    flat = None
+    for frames in long.values():
+        for df in frames:
+            part = df.select(F.explode("_grams").alias("_g"))
+            flat = part if flat is None else flat.unionByName(part)
+    counts = flat.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+
+    def by_grams(short: DataFrame, s: str, long: DataFrame, t: str, key: str, frames: tuple, also: Column) -> DataFrame:
+        """Pairs share many keys and meet at each, so they meet as hashes, once each after ``distinct``, and only then get their names."""
+        near = j.rarest(frames[0], counts, block, key, "_s")
+        far = j.rarest(frames[1], counts, block, key, "_t")
+        n, m = F.col("_s.n"), F.col("_t.n")
+        met = near.join(far, [*block, "_key"]).filter(also & (n >= j.bound.shortest(m)) & (j.bound.edits(n, m) > MOST_EDITS)).select(*block, F.col("_s.h").alias("_sh"), F.col("_t.h").alias("_th")).distinct()
+        met = met.join(short.withColumn("_sh", F.xxhash64(s)), [*block, "_sh"]).join(long.withColumn("_th", F.xxhash64(t)), [*block, "_th"])
+        return met.filter(F.col(s) != F.col(t)).select(*block, a, b) if one else met.select(*block, a, b)
+
+    n, m, h, g = (F.col(c) for c in ("_s.n", "_t.n", "_s.h", "_t.h"))
+    (x_long, x_short), *more = long.values()
+    if one:
+        return out.unionByName(by_grams(left, a, other, b, a, (x_short, x_long), (n < m) | ((n == m) & (h <= g))))
+    (y_long, y_short), = more
+    aligned = lambda df: df.withColumnRenamed(b, a)  # noqa: E731  both sides' keys come from a column of one name
+    out = out.unionByName(by_grams(left, a, other, b, a, (x_short, aligned(y_long)), n <= m))
+    return out.unionByName(by_grams(other, b, left, a, a, (aligned(y_short), x_long), n < m))
 
 
-def similar_names(left: DataFrame, right: DataFrame | None, block: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:
-    """(block, a, b, score) of distinct names with similarity at least ``threshold`` (0.5 or more).
+def similar_names(left: DataFrame, right: DataFrame | None, block: Sequence[str], a: str, b: str, threshold: float, measure: str = "edit") -> DataFrame:
+    """(block, a, b, score) of distinct names with a score of at least ``threshold`` (0.5 or more, 0.6 for blocks).
 
-    ``right=None`` joins ``left`` (holding ``a``) with itself and gives each unordered pair once. NULL and empty names are
-    like nothing and are left out.
+    ``measure``: "edit" for 1 - edits / longer length, "blocks" for the matching-block ratio. ``right=None`` joins ``left`` (holding ``a``) with itself and gives each unordered
+    pair once. NULL and empty names are like nothing and are left out. The distinct names are written once, and counted, before the join is built.
     """
-    if threshold < 0.5:
-        raise ValueError("the join needs a threshold of at least 0.5")
-    some = lambda df, c: df.select(*block, c).filter(F.length(c) > 0).distinct()
+    if threshold < (0.5 if measure == "edit" else 0.6):
+        raise ValueError("the join needs a threshold of at least 0.5, or 0.6 for blocks")
     one = right is None
-    la = some(left, a)
-    rb = la.withColumnRenamed(a, b) if one else some(right, b)
-    near = _edits(F.greatest(F.length(a), F.length(b)), threshold)
-    within = F.call_function("levenshtein", F.col(a), F.col(b), near) >= 0  # -1 beyond the bound
-
-    def met(short: DataFrame, s: str, long: DataFrame, t: str, also: Column) -> DataFrame:
-        pairs = _indexed(short, s, threshold).join(_probing(long, t, threshold), [*block, "_k"])
-        return pairs.filter(also & within).select(*block, a, b)
-
+    some = lambda df, c, side: df.select(*block, F.col(c).alias("_t"), F.lit(side).alias("_side")).filter(F.length(c) > 0)
+    every = cut_lineage((some(left, a, 0) if one else some(left, a, 0).unionByName(some(right, b, 1))).distinct())
+    own = lambda side, c: every.filter(F.col("_side") == side).select(*block, F.col("_t").alias(c))
+    met = candidates(own(0, a), None if one else own(1, b), block, a, b, threshold, measure)
+    least, most = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    within = F.call_function("levenshtein", F.col(a), F.col(b), Bound(threshold, measure).edits(least, most)) >= 0  # -1 beyond the bound
+    met = met.filter(within)
     if one:
-        # the shorter name of a pair is indexed; among equal lengths each pair is met once
-        order = (F.col("_n") < F.col("_m")) | ((F.col("_n") == F.col("_m")) & (F.col(a) < F.col(b)))
-        found = met(la, a, rb, b, order).select(*block, F.least(a, b).alias(a), F.greatest(a, b).alias(b))
-    else:
-        found = met(la, a, rb, b, F.col("_n") <= F.col("_m")).unionByName(met(rb, b, la, a, F.col("_n") < F.col("_m")))
-    scored = found.distinct().withColumn("score", similarity(F.col(a), F.col(b)))
-    return scored.filter(F.col("score") >= threshold - 1e-9)
+        met = met.select(*block, F.least(a, b).alias(a), F.greatest(a, b).alias(b))
+    if measure == "edit":
+        return met.distinct().withColumn("score", similarity(F.col(a), F.col(b))).filter(F.col("score") >= threshold - 1e-9)
+    # letters in common are the most that blocks can hold: few pairs reach the search for blocks
+    shared = F.size(F.array_intersect(bag(F.col(a)), bag(F.col(b)))) * 2 >= (threshold - 1e-9) * (F.length(a) + F.length(b))
+    return met.distinct().filter(shared).withColumn("score", block_ratio(F.col(a), F.col(b))).filter(F.col("score") >= threshold - 1e-9)
 
 
 def contained_names(names: DataFrame, a: str, b: str, min_length: int) -> DataFrame:
@@ -151,33 +310,3 @@ def describe_pairs(pairs: DataFrame, rows: DataFrame, name: str, key: str, label
 def name_copies(df: DataFrame, name: str, key: str) -> DataFrame:
     """Names held by more than one row: copies and the smallest key."""
     return df.groupBy(name).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_id")).filter("copies > 1")
-
-
-def greedy_assign(edges: DataFrame) -> DataFrame:
-    """Best-score-first assignment over edges (a, b, score, cap_a, cap_b); nodes carry capacities.
-
-    Rounds of mutual bests: an edge that is the best of both its ends is taken for as many units as
-    both ends have left. That equals taking edges in order of (score, tie hash), since the best
-    remaining edge is always a mutual best. Ties break by a hash, which keeps the rounds few.
-    Returns (a, b, score, start_a, start_b, take): units ``start+1 .. start+take`` of both ends.
-    """
-    rank = F.struct("score", F.xxhash64("a", "b"), "a", "b")
-    rest = cut_lineage(edges.withColumn("used_a", F.lit(0).cast("long")).withColumn("used_b", F.lit(0).cast("long")))
-    taken = None
-    while rest.limit(1).count():
-        best_a = rest.groupBy("a").agg(F.max(rank).alias("_r")).select("a", F.col("_r.b").alias("b"))
-        best_b = rest.groupBy("b").agg(F.max(rank).alias("_r")).select("b", F.col("_r.a").alias("a"))
-        now = cut_lineage(
-            rest.join(best_a, ["a", "b"]).join(best_b, ["a", "b"])
-            .withColumn("take", F.least(F.col("cap_a") - F.col("used_a"), F.col("cap_b") - F.col("used_b")))
-            .select("a", "b", "score", F.col("used_a").alias("start_a"), F.col("used_b").alias("start_b"), "take")
-        )
-        taken = now if taken is None else taken.unionByName(now)
-        rest = cut_lineage(
-            rest.join(now.select("a", F.col("take").alias("_ta")), "a", "left").join(now.select("b", F.col("take").alias("_tb")), "b", "left")
-            .withColumn("used_a", F.col("used_a") + F.coalesce("_ta", F.lit(0))).withColumn("used_b", F.col("used_b") + F.coalesce("_tb", F.lit(0)))
-            .filter("used_a < cap_a and used_b < cap_b").drop("_ta", "_tb")
-        )
-    if taken is None:
-        return rest.select("a", "b", "score", F.col("used_a").alias("start_a"), F.col("used_b").alias("start_b"), F.col("cap_a").alias("take"))
-    return taken

@@ -454,6 +454,26 @@ def _(t):
     return similar.similar_names(titles, None, [], "a", "b", 0.6).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query("block_ratio", r"""
+WITH RECURSIVE h AS (SELECT DISTINCT regexp_replace(split_part(url, '/', 3), '[^a-z0-9]+', ' ', 'g') AS host FROM pages),
+pairs AS (SELECT x.host AS a, y.host AS b FROM h x JOIN h y ON x.host < y.host),
+todo AS (
+  SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi, 0 AS k FROM pairs
+  UNION ALL
+  SELECT a, b, unnest([alo, f.i - f.n]), unnest([f.i, ahi]), unnest([blo, f.j - f.n]), unnest([f.j, bhi]), unnest([-f.n, 0]) FROM (
+    SELECT a, b, alo, ahi, blo, bhi, min(struct_pack(n := -len, i := i, j := j)) AS f FROM (
+      SELECT a, b, alo, ahi, blo, bhi, i, j,
+        len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(a, (i + 1)::INT, n::INT) = substr(b, (j + 1)::INT, n::INT))) AS len
+      FROM (SELECT *, unnest(range(alo, ahi)) AS i FROM todo WHERE ahi > alo AND bhi > blo) t, LATERAL (SELECT unnest(range(t.blo, t.bhi)) AS j)
+      WHERE substr(a, (i + 1)::INT, 1) = substr(b, (j + 1)::INT, 1))
+    GROUP BY a, b, alo, ahi, blo, bhi))
+SELECT a, b, round(2.0::DOUBLE * sum(k) / (length(a) + length(b)), 6) AS ratio FROM todo GROUP BY a, b HAVING ratio >= 0.7 - 1e-9""")
+def _(t):
+    host = F.element_at(F.split("url", "/"), 3)
+    hosts = t.pages.select(F.regexp_replace(host, "[^a-z0-9]+", " ").alias("a"))
+    return similar.similar_names(hosts, None, [], "a", "b", 0.7, "blocks").select("a", "b", F.round("score", 6).alias("ratio"))
+
+
 @query("name_copies", "SELECT p_name, count(*) AS copies, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1")
 def _(t):
     return similar.name_copies(t.part, "p_name", "p_partkey")
@@ -477,7 +497,47 @@ def rosters(t):
     return ours, theirs
 
 
-@query("reconcile_fuzzy")
+TIE = "struct_pack(s := -score, a := a, b := b, o := our_id, t := their_id)"
+
+
+def _taken(rows, score, sides):
+    """SQL: pairs of rows (p_brand, a, b, our_id, their_id, score) in order of score and keys, each id at most once: a fold over each block's list."""
+    return f"""{rows}_edges AS (
+  SELECT o.p_brand, o.nm AS a, t.nm AS b, our_id, their_id, {score} AS score FROM {sides}),
+{rows} AS (
+  SELECT p_brand, unnest(list_reduce(list({TIE} ORDER BY {TIE}), lambda s, e:
+    CASE WHEN list_contains(s.ours, e.o) OR list_contains(s.theirs, e.t) THEN s
+    ELSE struct_pack(ours := list_append(s.ours, e.o), theirs := list_append(s.theirs, e.t), pairs := list_append(s.pairs, e)) END,
+    struct_pack(ours := []::BIGINT[], theirs := []::BIGINT[], pairs := []::STRUCT(s DOUBLE, a VARCHAR, b VARCHAR, o BIGINT, t BIGINT)[])).pairs) AS p FROM {rows}_edges GROUP BY p_brand)"""
+
+
+def _left(name, before):
+    used = lambda c: " AND ".join(f"{c} NOT IN (SELECT {c} FROM {x})" for x in before)
+    return f"{name}_o AS (SELECT * FROM ours WHERE {used('our_id')}), {name}_t AS (SELECT * FROM theirs WHERE {used('their_id')})"
+
+
+NEAR = _lev("o.nm", "t.nm")
+
+
+@query("reconcile_fuzzy", f"""
+WITH ours AS (SELECT p_brand, p_name AS nm, p_partkey::BIGINT AS our_id, CASE WHEN p_size > 3 THEN p_size END AS day FROM part WHERE p_size <= 30),
+theirs AS (SELECT p_brand, lower({TYPO}) AS nm, p_partkey::BIGINT AS their_id, p_size - 25 AS day FROM part WHERE p_size > 30),
+no AS (SELECT *, row_number() OVER (PARTITION BY p_brand, nm ORDER BY our_id) AS n FROM ours), nt AS (SELECT *, row_number() OVER (PARTITION BY p_brand, nm ORDER BY their_id) AS n FROM theirs),
+e AS (SELECT o.p_brand, our_id, their_id FROM no o JOIN nt t ON o.p_brand = t.p_brand AND o.nm = t.nm AND o.n = t.n),
+{_left('r1', ['e'])},
+{_taken('h', f'round({NEAR}, 12)', f'r1_o o JOIN r1_t t ON o.p_brand = t.p_brand WHERE {NEAR} > 0.95')},
+hp AS (SELECT p_brand, p.o AS our_id, p.t AS their_id, -p.s AS score FROM h),
+{_left('r2', ['e', 'hp'])},
+d AS (SELECT o.p_brand, our_id, their_id FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, day ORDER BY our_id) AS n FROM r2_o WHERE day IS NOT NULL) o
+  JOIN (SELECT *, row_number() OVER (PARTITION BY p_brand, day ORDER BY their_id) AS n FROM r2_t WHERE day IS NOT NULL) t ON o.p_brand = t.p_brand AND o.day = t.day AND o.n = t.n),
+{_left('r3', ['e', 'hp', 'd'])},
+{_taken('l', f'round({NEAR}, 12)', f'r3_o o JOIN r3_t t ON o.p_brand = t.p_brand WHERE {NEAR} <= 0.95 AND {NEAR} >= 0.85 - 1e-9')},
+lp AS (SELECT p_brand, p.o AS our_id, p.t AS their_id, -p.s AS score FROM l),
+m AS (SELECT *, 'exact' AS method, 1.0::DOUBLE AS score FROM e UNION ALL SELECT p_brand, our_id, their_id, 'fuzzy', score FROM hp
+  UNION ALL SELECT p_brand, our_id, their_id, 'date', 0.95 FROM d UNION ALL SELECT p_brand, our_id, their_id, 'fuzzy', score FROM lp)
+SELECT p_brand, our_id, their_id, method, round(score, 6) AS score FROM m
+UNION ALL SELECT p_brand, our_id, NULL, 'cut', NULL FROM ours WHERE our_id NOT IN (SELECT our_id FROM m)
+UNION ALL SELECT p_brand, NULL, their_id, 'new', NULL FROM theirs WHERE their_id NOT IN (SELECT their_id FROM m)""")
 def _(t):
     matched, cut, new = reconcile.reconcile(*rosters(t), "p_brand", "nm", "our_id", "their_id", "day", 0.85)
     rows = matched.select("p_brand", "our_id", "their_id", "method", F.round("score", 6).alias("score"))

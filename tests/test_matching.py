@@ -1,11 +1,14 @@
 """Similarity joins and assignments against brute force on small fixtures."""
 
+import difflib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlab.operators import reconcile, similar
+from rosterlab.functions.match import bag, block_ratio
+from rosterlab.operators import assign, reconcile, similar
 
 
 def lev(a, b):
@@ -62,16 +65,80 @@ def test_null_and_empty_names_are_like_nothing(spark):
     assert {r.our_id for r in cut.collect()} == {1} and {r.their_id for r in new.collect()} == {12, 13}
 
 
-def test_pairs_that_meet_grow_no_faster_than_twice_per_doubling(spark):
-    def met(n):
-        rng = random.Random(n)
-        names = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(12, 20))) for _ in range(n)}
-        df = spark.createDataFrame([(x,) for x in names], "a string")
-        one, other = similar._indexed(df, "a", 0.88), similar._probing(df.withColumnRenamed("a", "b"), "b", 0.88)
-        return one.join(other, "_k").filter("a < b").count()
-
-    small, large = met(2500), met(10_000)
-    assert large <= 8 * max(small, 50)
+def long_words(rng, n):
+    """Names of 20 to 70 letters, some with many edits, some that share only their ends."""
+    base = [" ".join("".join(rng.choice("abcdei") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(5, 13))) for _ in range(n)]
+    out = set(base)
+    for x in base:
+        y = list(x)
+        for _ in range(rng.randint(1, 30)):
+            i = rng.randrange(len(y))
+            if rng.random() < 0.5:
+                y[i] = rng.choice("abcdei xyz")
+            elif rng.random() < 0.5:
+                del y[i]
+            else:
+                y.insert(i, rng.choice("abcdei xyz"))
+        out.add("".join(y))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.88])
+def test_long_names_lose_no_pair(spark, threshold):
+    rng = random.Random(int(threshold * 1000))
+    a, b = long_words(rng, 45), long_words(rng, 20)
+    b += a[::3]
+    mk = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r.a, r.b) for r in similar.similar_names(mk(a, "a"), None, [], "a", "b", threshold).collect()}
+    assert got == {(x, y) for x in a for y in a if x < y and sim(x, y) >= threshold - 1e-9} and len(got) > 5
+    got = {(r.a, r.b) for r in similar.similar_names(mk(a, "a"), mk(b, "b"), [], "a", "b", threshold).collect()}
+    assert got == {(x, y) for x in a for y in set(b) if sim(x, y) >= threshold - 1e-9} and len(got) > 15
+
+
+def blocks(x, y):
+    return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.88])
+def test_block_ratio_join_loses_no_pair(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    a = words(rng, 30) + long_words(rng, 15)
+    got = {(r.a, r.b): r.score for r in similar.similar_names(spark.createDataFrame([(x,) for x in a], "a string"), None, [], "a", "b", threshold, "blocks").collect()}
+    want = {(x, y): blocks(x, y) for x in a for y in a if x < y and blocks(x, y) >= threshold - 1e-9}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) > 10
+
+
+def test_block_ratio_equals_the_library(spark):
+    rng = random.Random(11)
+    pairs = [("", ""), ("a", ""), ("", "b"), ("same", "same"), ("qabxcd", "abycdf"), ("née 🙂x", "nee 🙂x"), ("ab" * 40, "ba" * 40)]
+    while len(pairs) < 5000:
+        x = "".join(rng.choice("abcde é") for _ in range(rng.randint(0, 18)))
+        pairs.append((x, typo(rng, x) if rng.random() < 0.6 else "".join(rng.choice("abcde é") for _ in range(rng.randint(0, 18)))))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", block_ratio(F.col("a"), F.col("b")).alias("r"), F.size(F.array_intersect(bag(F.col("a")), bag(F.col("b")))).alias("n")).collect():
+        assert abs(r.r - blocks(r.a, r.b)) < 1e-12
+        assert r.n == sum((Counter(r.a) & Counter(r.b)).values())
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(block_ratio(F.col("a"), F.col("b")).alias("r")).first().r is None
+
+
+def random_names(spark, n):
+    rng = random.Random(n)
+    names = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(12, 20))) for _ in range(n)}
+    return similar.cut_lineage(spark.createDataFrame([(x,) for x in names], "a string"))
+
+
+@pytest.mark.parametrize("threshold, share", [(0.88, 1e-6), (0.75, 3e-4)])
+def test_pairs_that_meet_do_not_grow_with_the_square(spark, threshold, share):
+    met = [similar.candidates(random_names(spark, n), None, [], "a", "b", threshold).count() for n in (5000, 10_000, 20_000)]
+    for n, small, large in zip((5000, 10_000), met, met[1:]):
+        assert large <= 2.7 * max(small, n / 100), met
+    assert met[-1] <= share * 20_000**2 / 2
+
+
+def test_few_pairs_meet_at_a_low_threshold(spark):
+    """At 0.6 random names of 12 to 20 letters may differ in half their letters; a fiftieth of all pairs meets."""
+    n = 10_000
+    assert similar.candidates(random_names(spark, n), None, [], "a", "b", 0.6).count() <= 0.025 * n * n / 2
 
 
 def test_pairs_with_ids_counts_and_labels(spark):
@@ -92,7 +159,7 @@ def test_greedy_assign_is_best_first(spark):
     rng = random.Random(3)
     edges = {(f"a{rng.randrange(12)}", f"b{rng.randrange(12)}"): rng.random() for _ in range(70)}
     df = spark.createDataFrame([(a, b, s, 1, 1) for (a, b), s in edges.items()], "a string, b string, score double, cap_a long, cap_b long")
-    got = {(r.a, r.b) for r in similar.greedy_assign(df).collect()}
+    got = {(r.a, r.b) for r in assign.greedy_assign(df).collect()}
     want, used = set(), set()
     for (a, b), _ in sorted(edges.items(), key=lambda e: -e[1]):
         if a not in used and b not in used:
@@ -103,7 +170,7 @@ def test_greedy_assign_is_best_first(spark):
 
 def test_greedy_assign_with_capacities(spark):
     df = spark.createDataFrame([("a", "x", 0.9, 5, 3), ("a", "y", 0.8, 5, 4), ("b", "y", 0.7, 2, 4)], "a string, b string, score double, cap_a long, cap_b long")
-    got = {(r.a, r.b): (r.start_a, r.start_b, r.take) for r in similar.greedy_assign(df).collect()}
+    got = {(r.a, r.b): (r.start_a, r.start_b, r.take) for r in assign.greedy_assign(df).collect()}
     assert got == {("a", "x"): (0, 0, 3), ("a", "y"): (3, 0, 2), ("b", "y"): (0, 2, 2)}
 
 
