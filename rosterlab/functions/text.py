@@ -30,9 +30,13 @@ ACCENTED, PLAIN = _latin_marks()
 SINGLE_LETTERS = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L"}
 DOUBLE_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
 
-# Legal-form tokens and phrases dropped from organization names.
-ORG_TOKENS = ["fc", "afc", "sk", "cf", "sc", "ac", "fk"]
-ORG_PHRASES = ["football club", "soccer club", "club de football", "sporting club", "club", "calcio", "deportivo"]
+# What each caller drops from organization names: tokens with or without dots, whole words beside them, phrases after them; and whether & is spelled out.
+ORG_FORMS = {
+    "scorer": (["fc", "afc", "sk", "cf", "sc", "ac", "fk"], [], ["football club", "soccer club", "club de football", "club", "calcio", "deportivo", "sporting club"], True),
+    "first_scorer": (["fc", "sk", "afc"], ["club", "cf", "sc", "ac", "fk"], [], True),
+    "triage": (["fc", "afc", "sc", "ac", "fk"], ["club"], ["football club", "soccer club", "sporting club"], False),
+}
+ORG_TOKENS = ORG_FORMS["scorer"][0]
 
 # Administrative words that do not identify a place.
 GENERIC_PLACE_TOKENS = [
@@ -40,6 +44,9 @@ GENERIC_PLACE_TOKENS = [
     "state",
 ]
 
+# Names of the months.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
 # Characters that betray a wrong decoding, and the usual repairs.
 MOJIBAKE_MARKERS = ["Ã", "Â", "Å", "â", "√", "�"]
 MOJIBAKE_REPAIRS = {
@@ -144,11 +151,16 @@ def concat_key(c: Column, profile: str = "letters_spelled") -> Column:
     return F.replace(fold(c, profile), F.lit(" "), F.lit(""))
 
 
-def strip_org_suffixes(c: Column, tokens_: Sequence[str] = ORG_TOKENS, phrases: Sequence[str] = ORG_PHRASES) -> Column:
-    dotted = "|".join(r"\.?".join(t) + r"\.?" for t in tokens_)
-    c = F.replace(F.lower(strip_marks(F.coalesce(F.trim(c), F.lit("")))), F.lit("&"), F.lit(" and "))
-    c = F.regexp_replace(c, rf"\b({dotted})\b", " ")
-    c = F.regexp_replace(c, rf"\b({'|'.join(phrases)})\b", " ")
+def strip_org_suffixes(c: Column, form: str = "scorer") -> Column:
+    """The name in a caller's normal form: see ``ORG_FORMS``."""
+    dotted, plain, phrases, spelled = ORG_FORMS[form]
+    c = F.lower(strip_marks(F.coalesce(F.trim(c), F.lit(""))))
+    if spelled:
+        c = F.replace(c, F.lit("&"), F.lit(" and "))
+    first = [r"\.?".join(t) + r"\.?" for t in dotted] + list(plain)
+    for words in (first, phrases):
+        if words:
+            c = F.regexp_replace(c, rf"\b({'|'.join(words)})\b", " ")
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
@@ -317,6 +329,14 @@ def clean_note(c: Column, phrases: Sequence[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(c, " {2,}", " "), "^[ ;]+|[ ;]+$", "")
 
 
+def date_label(day: Column) -> Column:
+    """Month name, day and year, from the first three parts of a date text; NULL unless all are numbers above zero and the month exists."""
+    part = lambda i: F.get(F.split(day, "-"), F.lit(i)).try_cast("int")
+    year, month, number = part(0), part(1), part(2)
+    name = F.get(F.array(*[F.lit(m) for m in MONTHS]), month - 1)
+    return F.when((year > 0) & (month > 0) & (number > 0), F.concat(name, F.lit(" "), number.cast("string"), F.lit(", "), year.cast("string")))
+
+
 def source_label(c: Column, labels: dict[str, str]) -> Column:
     m = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     return F.coalesce(F.element_at(m, c), F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, F.lit(2), F.length(c)))))

@@ -21,15 +21,16 @@ def _own_country(df: DataFrame, country: str, aliases: DataFrame | None) -> Data
 
 def composition_scorecard(teams: DataFrame, entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame,
                           as_of: str, team_stats: DataFrame | None = None, aliases: DataFrame | None = None,
-                          order_by: Sequence[str] | None = None) -> DataFrame:
+                          order_by: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
     """One row per team, every metric with its own denominator; teams without members stay.
 
-    Repeated keys of players, links, clubs and teams resolve to their last row by ``order_by``.
+    Repeated keys of players, links, clubs and teams resolve to their last row by ``order_by``; ``unique`` declares that none repeats.
     Players and clubs meet their dimensions in two separate reductions: person metrics by team,
     and club metrics from (team, club) counts, so a club that holds most players joins as one
     row per team rather than as its players.
     """
-    teams, players, links, clubs = (keyed(d, k, order_by) for d, k in ((teams, "team_code"), (players, "player_id"), (links, "player_id"), (clubs, "club_id")))
+    teams, links = keyed(teams, "team_code", order_by, ["team"], unique), keyed(links, "player_id", order_by, ["club_id"], unique)
+    players, clubs = keyed(players, "player_id", order_by, ["date_of_birth", "birth_country"], unique), keyed(clubs, "club_id", order_by, ["country", "league"], unique)
     active = active_only(entries).select("team_code", "player_id", "caps")
     day = F.to_date(F.lit(as_of))
     people = active.join(players.select("player_id", "date_of_birth", "birth_country"), "player_id", "left").join(
@@ -72,8 +73,7 @@ def composition_scorecard(teams: DataFrame, entries: DataFrame, players: DataFra
         "home_born_share", ratio(F.col("home_born"), F.col("birth_country_known"))
     )
     if team_stats is not None:
-        team_stats = keyed(team_stats, "team_code", order_by)
-        out = out.join(team_stats.select("team_code", "stage_reached"), "team_code", "left").fillna(
+        out = out.join(keyed(team_stats, "team_code", order_by, ["stage_reached"], unique), "team_code", "left").fillna(
             "Not available", subset=["stage_reached"]
         )
     return out.orderBy(F.collate("team", "UNICODE"), "team_code")
@@ -91,13 +91,16 @@ def compare_two(rows: DataFrame, key: str, a, b, metrics: Sequence[str]) -> Data
 
 
 def group_breakdown(entries: DataFrame, links: DataFrame, clubs: DataFrame, attribute: str = "country",
-                    default: str = "Unknown", aliases: DataFrame | None = None) -> DataFrame:
-    """Members per club attribute for each team, the team's own country flagged, unknowns in a bucket."""
+                    default: str = "Unknown", aliases: DataFrame | None = None, order_by: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
+    """Members per club attribute for each team, the team's own country flagged, unknowns in a bucket.
+
+    Repeated links and clubs resolve to their last row by ``order_by``, so an entry is one member; ``unique`` declares that none repeats.
+    """
     per_club = (
         active_only(entries).select("team_code", "team", "player_id")
-        .join(links.select("player_id", "club_id"), "player_id", "left")
+        .join(keyed(links, "player_id", order_by, ["club_id"], unique), "player_id", "left")
         .groupBy("team_code", "team", "club_id").agg(F.count(F.lit(1)).alias("n"))
-        .join(clubs.select("club_id", attribute), "club_id", "left")
+        .join(keyed(clubs, "club_id", order_by, [attribute], unique), "club_id", "left")
     )
     return (
         _own_country(per_club, attribute, aliases)
@@ -107,12 +110,13 @@ def group_breakdown(entries: DataFrame, links: DataFrame, clubs: DataFrame, attr
 
 
 def squad_totals(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, stats: DataFrame, as_of: str,
-                 order_by: Sequence[str] | None = None) -> DataFrame:
+                 order_by: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
     """Per team: clubs, club countries, caps and minutes with unknown as 0, mean age of the known.
 
-    Repeated keys of the dimensions resolve to their last row by ``order_by``.
+    Repeated keys of the dimensions resolve to their last row by ``order_by``; ``unique`` declares that none repeats.
     """
-    players, links, clubs, stats = (keyed(d, k, order_by) for d, k in ((players, "player_id"), (links, "player_id"), (clubs, "club_id"), (stats, "player_id")))
+    players, stats = keyed(players, "player_id", order_by, ["date_of_birth"], unique), keyed(stats, "player_id", order_by, ["minutes_played"], unique)
+    links, clubs = keyed(links, "player_id", order_by, ["club_id"], unique), keyed(clubs, "club_id", order_by, ["country"], unique)
     active = active_only(entries)
     people = (
         active.select("team_code", "player_id", "caps")
@@ -135,9 +139,13 @@ def squad_totals(entries: DataFrame, players: DataFrame, links: DataFrame, clubs
 
 
 def roster_view(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, as_of: str,
-                position_order: Sequence[str], order: Sequence[str | Column] = ("display_name",)) -> DataFrame:
-    """Roster rows with display age and position rank; unknown positions after the listed ones."""
+                position_order: Sequence[str]) -> DataFrame:
+    """Roster rows with display age and position rank, unknown positions after the listed ones; unsorted, see ``roster_report``."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in position_order]), F.col("primary_position")), F.lit(0))
     out = roster(entries, players, links, clubs).withColumn("age", age_floor(F.col("date_of_birth"), F.to_date(F.lit(as_of))))
-    out = out.withColumn("position_rank", F.when(rank > 0, rank).otherwise(len(position_order) + 1).cast("int"))
-    return out.orderBy("team_code", "position_rank", *order)
+    return out.withColumn("position_rank", F.when(rank > 0, rank).otherwise(len(position_order) + 1).cast("int"))
+
+
+def roster_report(view: DataFrame, team_code, order: Sequence[str | Column] = ("display_name",), limit: int = 1000) -> DataFrame:
+    """One team's rows of ``roster_view`` in order of position, then ``order``; the first ``limit``."""
+    return view.filter(F.col("team_code") == team_code).orderBy("position_rank", *order).limit(limit)

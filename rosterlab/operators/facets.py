@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, fold
 from ..skew import first_per_key
-from .joins import active_people
+from .joins import active_people, keyed
 
 
 @dataclass(frozen=True)
@@ -118,9 +119,12 @@ def distinct_options(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(F.collate(column, "UNICODE"))
 
 
-def city_drilldown(city_key: str, members: DataFrame, clubs: DataFrame, links: DataFrame, entries: DataFrame, players: DataFrame,
+def city_drilldown(city_key: str | Column, members: DataFrame, clubs: DataFrame, links: DataFrame, entries: DataFrame, players: DataFrame,
                    team: str | None = None) -> DataFrame:
-    """Clubs of one city and their active players (one row each; a club without players keeps one row)."""
+    """Clubs of one city and their active players (one row each; a club without players keeps one row).
+
+    ``city_key`` may be a scalar subquery, so that choosing the city takes no job of its own.
+    """
     here = members.filter(F.col("city_key") == city_key).join(clubs, "club_id")
     who = active_people(links if team is None else links.filter(F.col("team") == team), entries).select("club_id", "player_id", "team")
     return here.join(who, "club_id", "left").join(players.select("player_id", "display_name"), "player_id", "left").select(
@@ -128,12 +132,18 @@ def city_drilldown(city_key: str, members: DataFrame, clubs: DataFrame, links: D
     )
 
 
-def player_card(player_ids: list, entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, stats: DataFrame, keeper: str = "goalkeeper") -> DataFrame:
-    """One wide row per asked player; the saves column only for keepers or when above zero."""
-    p = players.filter(F.col("player_id").isin(player_ids))
-    out = (
-        p.join(entries.select("player_id", "team", "caps"), "player_id", "left").join(links.select("player_id", "club_id"), "player_id", "left")
-        .join(clubs.select("club_id", "club_name", "country", "league"), "club_id", "left").join(stats, "player_id", "left")
-    )
+def player_card(player_ids: list, entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, stats: DataFrame, keeper: str = "goalkeeper",
+                order_by: Sequence[str] | None = None) -> DataFrame:
+    """One wide row per asked player; the saves column only for keepers or when above zero.
+
+    Repeated players, entries, links, clubs and stat rows resolve to their last row by ``order_by``, so a player is one card. Only rows of the asked players are resolved.
+    """
+    def own(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return keyed(df.filter(F.col("player_id").isin(player_ids)), "player_id", order_by, columns)
+
+    rest = lambda df: [c for c in df.columns if c not in ("player_id", *(order_by or ()))]
+    out = own(players, rest(players)).join(own(entries, ["team", "caps"]), "player_id", "left").join(own(links, ["club_id"]), "player_id", "left")
+    asked = clubs.join(out.select("club_id"), "club_id", "left_semi")
+    out = out.join(keyed(asked, "club_id", order_by, ["club_name", "country", "league"]), "club_id", "left").join(own(stats, rest(stats)), "player_id", "left")
     saves = F.col("saves") if "saves" in out.columns else F.lit(None).cast("long")
     return out.withColumn("saves", F.when((F.col("primary_position") == keeper) | (saves > 0), F.coalesce(saves, F.lit(0))))

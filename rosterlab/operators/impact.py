@@ -14,15 +14,16 @@ PENDING_LEAGUE = "League pending review"
 
 
 def impact(links: DataFrame, entries: DataFrame, clubs: DataFrame, stats: DataFrame, kind: str = "club",
-           meaningful_minutes: int = 180, weights: dict[str, float] = IMPACT_WEIGHTS, order_by: Sequence[str] | None = None) -> DataFrame:
+           meaningful_minutes: int = 180, weights: dict[str, float] = IMPACT_WEIGHTS, order_by: Sequence[str] | None = None,
+           unique: bool = False) -> DataFrame:
     """Per club or league: players, teams, minutes, goals, assists, players over the threshold, index.
 
-    Every link counts; repeated clubs and stat rows resolve to their last row by ``order_by``. A club that is not in the table is
+    Every link counts; repeated clubs and stat rows resolve to their last row by ``order_by``; ``unique`` declares that none repeats. A club that is not in the table is
     labelled by its name at the source, where links have ``club_name_at_source``.
     Rows reduce to (club, team) before they meet the club table, so the size of a club does not
     matter for the join.
     """
-    clubs, stats = keyed(clubs, "club_id", order_by), keyed(stats, "player_id", order_by)
+    clubs, stats = keyed(clubs, "club_id", order_by, ["club_name", "league"], unique), keyed(stats, "player_id", order_by, ["minutes_played", "goals", "assists"], unique)
     at_source = F.col("club_name_at_source") if "club_name_at_source" in links.columns else F.lit(None).cast("string")
     goals, assists = F.coalesce("goals", F.lit(0)), F.coalesce("assists", F.lit(0))
     minutes = F.coalesce("minutes_played", F.lit(0))

@@ -20,10 +20,18 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, order_by: Sequence[str] | Non
     return salted_left_join(df, dim, on, salt) if salt else df.join(dim, on, "left")
 
 
-def keyed(dim: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
-    """One row per key, as an index built by overwriting has: the last by ``order_by``, or by all other columns."""
-    order = order_by or [c for c in dim.columns if c != key]
-    return last_per_key(dim, [key], order) if order else dim.distinct()
+def keyed(dim: DataFrame, key: str, order_by: Sequence[str] | None = None, columns: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
+    """One row per key, as an index built by overwriting has: the last by ``order_by``, or by the other columns that are asked for.
+
+    Only ``key`` and ``columns`` (all if None) are read and come out, so a wide dimension does not move whole. ``unique`` declares that no key repeats: then nothing is resolved.
+    """
+    columns = [c for c in dim.columns if c != key] if columns is None else [c for c in columns if c != key]
+    order = list(order_by or columns)
+    if unique:
+        return dim.select(key, *columns)
+    if not order:
+        return dim.select(key).distinct()
+    return last_per_key(dim.select(*dict.fromkeys([key, *columns, *order])), [key], order).select(key, *columns)
 
 
 def active_only(df: DataFrame, status: str = "squad_status", value: str = "active") -> DataFrame:
@@ -37,21 +45,19 @@ def active_people(people: DataFrame, entries: DataFrame, key: str = "player_id")
 
 
 def roster(entries: DataFrame, players: DataFrame, links: DataFrame, clubs: DataFrame, teams: DataFrame | None = None,
-           active: bool = True, salt: int = 0, order_by: Sequence[str] | None = None) -> DataFrame:
+           active: bool = True, salt: int = 0, order_by: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
     """entry ⟕ player ⟕ link ⟕ club (⟕ team). ``active=False`` keeps the whole population.
 
-    A repeated key of a dimension or link resolves to its last row by ``order_by``, so every entry stays one row.
+    A repeated key of a dimension or link resolves to its last row by ``order_by``, so every entry stays one row; ``unique`` declares that none repeats.
     ``salt`` spreads a club that holds much of the roster when the clubs are too many to broadcast.
     """
     out = active_only(entries) if active else entries
-    players, links, clubs = (keyed(d, k, order_by) for d, k in ((players, "player_id"), (links, "player_id"), (clubs, "club_id")))
-    if order_by:
-        players, links, clubs = (d.drop(*order_by) for d in (players, links, clubs))
-    out = out.join(players, "player_id", "left").join(links.select("player_id", "club_id"), "player_id", "left")
+    rest = lambda d, k: [c for c in d.columns if c != k and c not in (order_by or ())]
+    players, clubs = (keyed(d, k, order_by, rest(d, k), unique) for d, k in ((players, "player_id"), (clubs, "club_id")))
+    out = out.join(players, "player_id", "left").join(keyed(links, "player_id", order_by, ["club_id"], unique), "player_id", "left")
     out = salted_left_join(out, clubs, "club_id", salt) if salt else out.join(clubs, "club_id", "left")
     if teams is not None:
-        teams = keyed(teams, "team_code", order_by)
-        out = out.join(teams.select("team_code", *[c for c in teams.columns if c not in out.columns]), "team_code", "left")
+        out = out.join(keyed(teams, "team_code", order_by, [c for c in teams.columns if c not in out.columns], unique), "team_code", "left")
     return out
 
 

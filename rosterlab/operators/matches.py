@@ -124,7 +124,7 @@ def current_stage(matches: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def match_groups(matches: DataFrame, order: Sequence[str], view: str = "all", group: str = "stage", where: Column | None = None) -> DataFrame:
-    """Matches of a view with their group's rank, newest first inside a group."""
+    """Matches of a view with their group's key and rank; unsorted, see ``match_report``."""
     first = order[0]
     keep = {
         "all": F.lit(True),
@@ -135,9 +135,12 @@ def match_groups(matches: DataFrame, order: Sequence[str], view: str = "all", gr
     out = matches.filter(keep)
     if where is not None:
         out = out.filter(where)
-    return out.withColumn("group_key", F.col(group)).withColumn("group_rank", stage_rank(order)).orderBy(
-        "group_rank", "group_key", F.desc("match_date"), "match_id"
-    )
+    return out.withColumn("group_key", F.col(group)).withColumn("group_rank", stage_rank(order))
+
+
+def match_report(groups: DataFrame, limit: int = 1000) -> DataFrame:
+    """The first rows of ``match_groups`` by group, newest first inside a group."""
+    return groups.orderBy("group_rank", "group_key", F.desc("match_date"), "match_id").limit(limit)
 
 
 def bracket(matches: DataFrame, rounds: Sequence[str], by: Sequence[str] = ("tournament",)) -> DataFrame:

@@ -117,12 +117,18 @@ def quality_summary(measures: Sequence[tuple[DataFrame, Sequence[tuple[str, Colu
 
 
 def metric_summary(df: DataFrame, keys: Sequence[str], total: str = "rows") -> DataFrame:
-    """``metric, value`` rows: the total, then ``<column>__<value>`` counts for each column."""
-    parts = [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(total).alias("metric"), "value")]
-    for k in keys:
-        c = df.groupBy(k).agg(F.count(F.lit(1)).alias("value"))
-        parts.append(c.select(F.concat(F.lit(f"{k}__"), F.coalesce(F.col(k).cast("string"), F.lit(""))).alias("metric"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+    """``metric, value`` rows: the total, then ``<column>__<value>`` counts for each column; a missing value counts as an empty one.
+
+    One scan for any number of columns: each row is spread over the grouping sets of the single columns and of none, and combined before the shuffle.
+    """
+    every = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{i}") for i, k in enumerate(keys)]
+    names = [f"_{i}" for i in range(len(keys))]
+    sets = [[F.col(n)] for n in names] + [[]]
+    counts = df.select(*every).groupingSets(sets, *[F.col(n) for n in names]).agg(F.count(F.lit(1)).alias("value"), F.grouping_id().alias("_set"))
+    metric = F.lit(total)
+    for i, k in enumerate(keys):  # the bit of a column is 0 in its own set
+        metric = F.when(F.col("_set") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)), F.concat(F.lit(f"{k}__"), F.col(f"_{i}"))).otherwise(metric)
+    return counts.select(metric.alias("metric"), "value") if keys else df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(total).alias("metric"), "value")
 
 
 def overlap_count(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:

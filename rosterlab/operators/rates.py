@@ -12,14 +12,15 @@ from .joins import active_only, keyed
 
 
 def efficiency(stats: DataFrame, players: DataFrame, entries: DataFrame, min_minutes: int, keeper: str = "goalkeeper",
-               teams: DataFrame | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
+               teams: DataFrame | None = None, order_by: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
     """Per-90 rates of players at or over the threshold, with their role bucket; unsorted.
 
     The team is the stat row's (``team_code``), named by ``teams``, so a player who left the squad keeps it; the active entry's where the
-    stat row has none. Repeated players, entries and teams resolve to their last row by ``order_by``.
+    stat row has none. Repeated players, entries and teams resolve to their last row by ``order_by``; ``unique`` declares that none repeats.
     """
     own = F.col("team_code") if "team_code" in stats.columns else F.lit(None)
-    people, entries = keyed(players, "player_id", order_by), keyed(active_only(entries), "player_id", order_by)
+    people = keyed(players, "player_id", order_by, ["display_name", "primary_position"], unique)
+    entries = keyed(active_only(entries), "player_id", order_by, ["team", "team_code", "position_group"], unique)
     joined = (
         stats.filter((F.col("minutes_played") >= min_minutes) & (F.col("minutes_played") > 0)).withColumn("_code", own.cast("string"))
         .drop("team_code", "team", "position_group", "display_name", "primary_position")
@@ -28,7 +29,7 @@ def efficiency(stats: DataFrame, players: DataFrame, entries: DataFrame, min_min
     )
     code = F.coalesce("_code", F.col("team_code").cast("string"))
     if teams is not None:
-        named = keyed(teams, "team_code", order_by).select(F.col("team_code").cast("string").alias("_c"), F.col("team").alias("_team"))
+        named = keyed(teams, "team_code", order_by, ["team"], unique).select(F.col("team_code").cast("string").alias("_c"), F.col("team").alias("_team"))
         joined = joined.join(named, code == F.col("_c"), "left")
     else:
         joined = joined.withColumn("_team", F.lit(None).cast("string"))

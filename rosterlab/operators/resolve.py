@@ -122,7 +122,8 @@ def score_name_similarity(df: DataFrame, name: str, name_ascii: str, label: str,
                           stadium: str, stadium_lat: str, stadium_lon: str, club_lat: str, club_lon: str, page: str, rank: str,
                           version: int = 2, out: str = "candidate_score") -> DataFrame:
     """Club candidate score, 0 to 100. Version 1 has fewer signals and other weights."""
-    df = df.withColumns({f"_n{i}": strip_org_suffixes(F.col(c)) for i, c in enumerate((name, name_ascii, label, search_label))})
+    form = "first_scorer" if version == 1 else "scorer"
+    df = df.withColumns({f"_n{i}": strip_org_suffixes(F.col(c), form) for i, c in enumerate((name, name_ascii, label, search_label))})
     names, lab, slab = [F.col("_n0"), F.col("_n1")], F.col("_n2"), F.col("_n3")
     sim = lambda a, b: F.when((a != "") & (b != ""), similarity(a, b)).otherwise(0.0)
     labels = [lab, slab] if version == 2 else [lab]
@@ -365,7 +366,7 @@ def triage(review: DataFrame, candidates: DataFrame, key: str, candidate: str, n
     order = [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)]
     two = best_and_second(candidates.select(key, candidate, "candidate_score", "search_rank"), key, order, {"second_candidate": candidate, "second_score": "candidate_score"})
     two = two.select(key, F.col("candidate_score").alias("_top"), "second_candidate", "second_score")
-    review = review.withColumns({"_text": F.lower(F.concat_ws(" ", *text)), "_n": strip_org_suffixes(F.col(name)), "_lab": strip_org_suffixes(F.col(label))})
+    review = review.withColumns({"_text": F.lower(F.concat_ws(" ", *text)), "_n": strip_org_suffixes(F.col(name), "triage"), "_lab": strip_org_suffixes(F.col(label), "triage")})
     all_text, n, lab = F.col("_text"), F.col("_n"), F.col("_lab")
     has = lambda words: reduce(lambda a, b: a | b, [F.contains(all_text, F.lit(w)) for w in words])
     wrong_sport = has(WRONG_SPORT_HINTS)

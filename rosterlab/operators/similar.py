@@ -19,11 +19,11 @@ from functools import lru_cache
 from math import floor
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import bag, block_ratio, similarity, token_overlap
 from ..functions.text import tokens
-from ..skew import cut_lineage
+from ..skew import cut_lineage, top_per_key
 
 MOST_EDITS = 8  # up to here pieces are keys
 MOST_TOGETHER = {1: 8, 2: 8, 3: 6}  # k to the most edits for which k pieces are worth their places
@@ -262,8 +262,8 @@ def contained_names(names: DataFrame, a: str, b: str, min_length: int) -> DataFr
 
 
 def duplicate_names(names: DataFrame, name: str, risk_tokens: Sequence[str], high: float = 0.88, overlap: float = 0.45,
-                    low: float = 0.75, min_length: int = 6) -> DataFrame:
-    """Review pairs of distinct normalized names with at least one token in common.
+                    low: float = 0.75, min_length: int = 6, measure: str = "edit") -> DataFrame:
+    """Review pairs of distinct normalized names with at least one token in common, similar by the ``measure`` of ``similar_names``.
 
     Included when similar and overlapping; when one name's tokens contain the other's and both are
     long enough; or when less similar but sharing a high-risk token. Copies of a name are counted
@@ -272,13 +272,13 @@ def duplicate_names(names: DataFrame, name: str, risk_tokens: Sequence[str], hig
     n = names.select(F.col(name).alias("name_a")).distinct()
     risky = n.filter(F.arrays_overlap(tokens(F.col("name_a")), F.array(*[F.lit(t) for t in risk_tokens])))
     pairs = (
-        similar_names(n, None, [], "name_a", "name_b", high).select("name_a", "name_b")
+        similar_names(n, None, [], "name_a", "name_b", high, measure).select("name_a", "name_b")
         .unionByName(contained_names(n, "name_a", "name_b", min_length))
-        .unionByName(similar_names(risky, None, [], "name_a", "name_b", low).select("name_a", "name_b"))
+        .unionByName(similar_names(risky, None, [], "name_a", "name_b", low, measure).select("name_a", "name_b"))
         .distinct()
     )
     ta, tb = tokens(F.col("name_a")), tokens(F.col("name_b"))
-    out = pairs.withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))).withColumn("overlap", token_overlap(ta, tb))
+    out = pairs.withColumn("similarity", (similarity if measure == "edit" else block_ratio)(F.col("name_a"), F.col("name_b"))).withColumn("overlap", token_overlap(ta, tb))
     shorter = F.least(F.length("name_a"), F.length("name_b"))
     common_risk = F.size(F.array_intersect(F.array_intersect(ta, tb), F.array(*[F.lit(t) for t in risk_tokens]))) > 0
     reasons = F.array(
@@ -290,15 +290,16 @@ def duplicate_names(names: DataFrame, name: str, risk_tokens: Sequence[str], hig
     return out.filter((F.col("overlap") > 0) & (F.col("candidate_reason") != ""))
 
 
-def describe_pairs(pairs: DataFrame, rows: DataFrame, name: str, key: str, label: str, labels: int = 5) -> DataFrame:
-    """``pairs`` (name_a, name_b, ...) with each name's smallest id, number of rows, and first ``labels`` labels in order.
+def describe_pairs(pairs: DataFrame, rows: DataFrame, name: str, key: str, label: str, labels: int = 8) -> DataFrame:
+    """``pairs`` (name_a, name_b, ...) with each name's smallest id, number of rows, and ``labels`` most frequent labels as ``label:count``, ties by label.
 
     Names and labels reduce to one row per (name, label) before anything is listed, so a name that many rows hold is no large group.
     """
     each = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name"), F.col(label).alias("_label")).agg(F.min(key).alias("_id"), F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy("_name").orderBy("_label")
-    first = each.filter(F.col("_label").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= labels)
-    listed = first.groupBy("_name").agg(F.array_join(F.array_sort(F.collect_list("_label")), "; ").alias("_labels"))
+    first = top_per_key(each.filter(F.col("_label").isNotNull()), ["_name"], [F.desc("_n"), F.asc("_label")], labels, "_r")
+    item = F.concat_ws(":", F.col("_label").cast("string"), F.col("_n").cast("string"))
+    ordered = F.array_sort(F.collect_list(F.struct("_r", item.alias("s"))))  # at most ``labels`` of a name
+    listed = first.groupBy("_name").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "; ").alias("_labels"))
     about = each.groupBy("_name").agg(F.min("_id").alias("_id"), F.sum("_n").alias("_n")).join(listed, "_name", "left")
     out = pairs
     for side in ("a", "b"):

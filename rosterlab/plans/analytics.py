@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import num
-from ..operators import composition, concentration, impact, joins, matches, rates
+from ..operators import composition, concentration, facets, impact, joins, matches, rates
 from ..sources.adapters import AS_OF
 from .registry import query
 
@@ -36,7 +36,7 @@ SELECT team_code, team, coalesce(squad_size, 0) AS squad_size, round(average_age
   round(home_born::DOUBLE / nullif(birth_country_known, 0), 6) AS home_born_share
 FROM teams LEFT JOIN p USING (team_code) LEFT JOIN k USING (team_code)""")
 def _(t):
-    out = composition.composition_scorecard(t.teams, t.entries, t.players, t.links, t.clubs, AS_OF)
+    out = composition.composition_scorecard(t.teams, t.entries, t.players, t.links, t.clubs, AS_OF, unique=True)
     return r6(out, "average_age", "median_age", "median_caps", "domestic_share", "home_born_share")
 
 
@@ -77,7 +77,7 @@ FROM rows"""
 
 @query("impact_by_club", _impact_sql("club_id::VARCHAR", "coalesce(club_name, club_id::VARCHAR)"))
 def _(t):
-    return r6(impact.impact(t.links, t.entries, t.clubs, t.player_stats, "club"), "impact_index")
+    return r6(impact.impact(t.links, t.entries, t.clubs, t.player_stats, "club", unique=True), "impact_index")
 
 
 LEAGUE = "coalesce(league, 'League pending review')"
@@ -85,7 +85,7 @@ LEAGUE = "coalesce(league, 'League pending review')"
 
 @query("impact_by_league", _impact_sql(LEAGUE, LEAGUE))
 def _(t):
-    return r6(impact.impact(t.links, t.entries, t.clubs, t.player_stats, "league"), "impact_index")
+    return r6(impact.impact(t.links, t.entries, t.clubs, t.player_stats, "league", unique=True), "impact_index")
 
 
 @query("weighted_index", """
@@ -122,7 +122,7 @@ WHERE minutes_played >= 180"""
 
 def _eff(t):
     of = t.customer.select(F.col("c_custkey").alias("player_id"), F.col("c_nationkey").alias("team_code"))
-    out = rates.efficiency(t.player_stats.join(of, "player_id"), t.players, t.entries, 180, keeper="HOUSEHOLD", teams=t.teams)
+    out = rates.efficiency(t.player_stats.join(of, "player_id"), t.players, t.entries, 180, keeper="HOUSEHOLD", teams=t.teams, unique=True)
     return r6(out, "goals_per_90", "assists_per_90", "goal_contributions_per_90", "cards_per_90")
 
 
@@ -321,6 +321,37 @@ def _(t):
     return out.select("team_code", "squad_size", F.coalesce("total_caps", F.lit(0)).alias("total_caps"), "home_born", "under_23", "clubs", "domestic").filter("squad_size > 0")
 
 
+def repeated(t):
+    """Players, links and clubs of which some have a second, later version."""
+    twice = lambda df, more: df.withColumn("version", F.lit(1)).unionByName(more.withColumn("version", F.lit(2)))
+    p, l, c = t.players, t.links, t.clubs
+    least = c.agg(F.min("club_id").alias("m")).scalar()
+    return (
+        twice(p, p.filter("player_id % 3 = 0").withColumns({"date_of_birth": F.lit("1990-01-01").cast("date"), "birth_country": F.lit("X")})),
+        twice(l, l.filter("player_id % 5 = 0").withColumn("club_id", least)), twice(c, c.filter("club_id % 4 = 0").withColumn("country", F.lit("Y"))),
+    )
+
+
+@query("breakdown_repeated_keys", f"""
+WITH {REPEATED}
+SELECT team_code, e.team, coalesce(country, 'Unknown') AS country, count(*) AS members, coalesce(bool_or(country = e.team), false) AS is_own
+FROM entries e LEFT JOIN rl USING (player_id) LEFT JOIN rc USING (club_id) WHERE {ACTIVE} GROUP BY 1, 2, 3""")
+def _(t):
+    _, l, c = repeated(t)
+    return composition.group_breakdown(t.entries, l, c, order_by=["version"])
+
+
+@query("card_repeated_keys", f"""
+WITH {REPEATED}
+SELECT player_id, birth_country, team, 2 * caps AS caps, club_id, country, 3 * minutes_played AS minutes_played
+FROM rp LEFT JOIN entries USING (player_id) LEFT JOIN rl USING (player_id) LEFT JOIN rc USING (club_id) LEFT JOIN stats USING (player_id) WHERE player_id IN (3, 5, 15, 16, 30, 91)""")
+def _(t):
+    p, l, c = repeated(t)
+    again = lambda df, column, times: df.withColumn("version", F.lit(1)).unionByName(df.withColumns({"version": F.lit(2), column: F.col(column) * times}))
+    out = facets.player_card([3, 5, 15, 16, 30, 91], again(t.entries, "caps", 2), p, l, c, again(t.player_stats, "minutes_played", 3), order_by=["version"])
+    return out.select("player_id", "birth_country", "team", "caps", "club_id", "country", "minutes_played")
+
+
 @query("team_table", _records_sql("team", False))
 def _(t):
     return rates.team_table(matches.team_records(t.matches, ["team"], mode="scoreline"), "goals_for")
@@ -363,7 +394,7 @@ SELECT team_code, player_id, display_name, floor(date_diff('day', date_of_birth,
   coalesce(nullif(list_position(['HOUSEHOLD', 'BUILDING', 'MACHINERY'], primary_position), 0), 4)::INT AS position_rank, club_name, caps
 FROM entries LEFT JOIN players USING (player_id) LEFT JOIN links USING (player_id) LEFT JOIN clubs USING (club_id) WHERE {ACTIVE}""")
 def _(t):
-    return composition.roster_view(t.entries, t.players, t.links, t.clubs, AS_OF, POSITION_ORDER, ["display_name", "player_id"]).select(
+    return composition.roster_view(t.entries, t.players, t.links, t.clubs, AS_OF, POSITION_ORDER).select(
         "team_code", "player_id", "display_name", "age", "position_rank", "club_name", "caps"
     )
 
@@ -380,6 +411,14 @@ def _(t):
     return out.select("match_id", "group_key", "group_rank", F.col("match_date").cast("string").alias("match_date"))
 
 
+for view, kept in (("scheduled", "status = 'scheduled'"), ("groups", "stage = '5-LOW'"), ("all", "true")):
+    @query(f"match_groups_{view}", f"""
+SELECT match_id, city AS group_key, {RANK}::INT AS group_rank, match_date::VARCHAR AS match_date FROM matches WHERE {kept}""")
+    def _(t, view=view):
+        out = matches.match_groups(t.matches, STAGES, view=view, group="city")
+        return out.select("match_id", "group_key", "group_rank", F.col("match_date").cast("string").alias("match_date"))
+
+
 KO = """
 WITH c AS (SELECT c_custkey, floor(c_acctbal + 1000)::BIGINT AS power FROM customer),
 b AS (SELECT r, c_custkey >> (r - 1) AS block, arg_max(c_custkey, (power, c_custkey)) AS w, max(power) AS power

@@ -376,6 +376,13 @@ def _(t):
     )
 
 
+@query("date_label", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) END AS out FROM orders""")
+def _(t):
+    written = F.when(F.col("o_orderkey") % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise("2026-x-3")
+    return t.orders.select("o_orderkey", text.date_label(written).alias("out"))
+
+
 @query("parse_dob", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS out FROM orders")
 def _(t):
     d = F.col("o_orderdate")

@@ -130,7 +130,8 @@ def club_candidates(t):
     c = cands(t)
     s = F.col("size")
     return c.withColumns({
-        "wlabel": F.concat("label", F.lit(" FC")), "slabel": F.when(s % 2 == 0, F.col("name")).otherwise(F.col("brand")),
+        "wlabel": F.when(s % 5 == 0, F.concat("label", F.lit(" A.C."))).when(s % 5 == 1, F.concat("label", F.lit(" & SK"))).when(s % 5 == 2, F.concat(F.lit("Deportivo "), "label"))
+        .when(s % 5 == 3, F.concat(F.lit("Sporting Club "), "label")).otherwise(F.concat("label", F.lit(" FC"))), "slabel": F.when(s % 2 == 0, F.col("name")).otherwise(F.col("brand")),
         "descr": F.when(F.col("ptype") == "ECONOMY", "professional football side").when(F.col("ptype") == "SMALL", "a women's team").otherwise("railway station"),
         "inst": F.when(s < 10, "association football club").when(s < 20, "sports club").otherwise(""),
         "stadium": F.when(s > 15, "Ground"), "stadium_lat": F.when(s > 25, s * 1.0), "stadium_lon": F.when(s > 25, s * 2.0),
@@ -138,19 +139,24 @@ def club_candidates(t):
     })
 
 
-SUFFIX = r"trim(regexp_replace(regexp_replace({}, '\b(f\.?c\.?|a\.?f\.?c\.?|s\.?k\.?|c\.?f\.?|s\.?c\.?|a\.?c\.?|f\.?k\.?)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+SUFFIX = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace({}, '&', ' and '), '\b(f\.?c\.?|a\.?f\.?c\.?|s\.?k\.?|c\.?f\.?|s\.?c\.?|a\.?c\.?|f\.?k\.?)\b', ' ', 'g'),
+  '\b(football club|soccer club|club de football|club|calcio|deportivo|sporting club)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"""
+SUFFIX1 = r"trim(regexp_replace(regexp_replace(replace({}, '&', ' and '), '\b(f\.?c\.?|s\.?k\.?|a\.?f\.?c\.?|club|cf|sc|ac|fk)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+SUFFIX_TRIAGE = r"""trim(regexp_replace(regexp_replace(regexp_replace({}, '\b(f\.?c\.?|a\.?f\.?c\.?|s\.?c\.?|a\.?c\.?|f\.?k\.?|club)\b', ' ', 'g'),
+  '\b(football club|soccer club|sporting club)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"""
+WLABEL = """CASE size % 5 WHEN 0 THEN label || ' A.C.' WHEN 1 THEN label || ' & SK' WHEN 2 THEN 'Deportivo ' || label WHEN 3 THEN 'Sporting Club ' || label ELSE label || ' FC' END"""
 CLUBC = CANDS + f""",
-cc AS (SELECT *, label || ' FC' AS wlabel, CASE WHEN size % 2 = 0 THEN name ELSE brand END AS slabel,
+cc AS (SELECT *, {WLABEL} AS wlabel, CASE WHEN size % 2 = 0 THEN name ELSE brand END AS slabel,
   CASE ptype WHEN 'ECONOMY' THEN 'professional football side' WHEN 'SMALL' THEN 'a women''s team' ELSE 'railway station' END AS descr,
   CASE WHEN size < 10 THEN 'association football club' WHEN size < 20 THEN 'sports club' ELSE '' END AS inst, rank AS search_rank,
-  {SUFFIX.format("lower(label || ' FC')")} AS nl, {SUFFIX.format("lower(CASE WHEN size % 2 = 0 THEN name ELSE brand END)")} AS ns, name AS nn FROM cands),
-simm AS (SELECT *, 1 - levenshtein(nn, nl)::DOUBLE / greatest(length(nn), length(nl)) AS s1, 1 - levenshtein(nn, ns)::DOUBLE / greatest(length(nn), length(ns)) AS s2 FROM cc)"""
+  {SUFFIX.format(f"lower({WLABEL})")} AS nl, {SUFFIX1.format(f"lower({WLABEL})")} AS nl1, {SUFFIX.format("lower(CASE WHEN size % 2 = 0 THEN name ELSE brand END)")} AS ns, name AS nn FROM cands),
+simm AS (SELECT *, 1 - levenshtein(nn, nl)::DOUBLE / greatest(length(nn), length(nl)) AS s1, 1 - levenshtein(nn, nl1)::DOUBLE / greatest(length(nn), length(nl1)) AS s11, 1 - levenshtein(nn, ns)::DOUBLE / greatest(length(nn), length(ns)) AS s2 FROM cc)"""
 SCORE2 = """round_even(greatest(s1, s2) * 45, 0)::INT + CASE WHEN nl = nn THEN 25 WHEN ns = nn THEN 15 ELSE 0 END
   + CASE WHEN regexp_matches(lower(descr || ' ' || slabel), 'football|soccer|club|team') THEN 15 ELSE 0 END
   + CASE WHEN size < 10 THEN 22 WHEN size < 20 THEN 12 ELSE 0 END + CASE WHEN size > 15 THEN 8 ELSE 0 END
   + CASE WHEN size > 25 THEN 15 WHEN size > 12 THEN 7 ELSE 0 END + CASE WHEN size > 30 THEN 5 ELSE 0 END
   - CASE WHEN contains(descr, 'railway station') AND size >= 10 THEN 20 ELSE 0 END + greatest(0, 8 - rank)"""
-SCORE1 = """round_even(s1 * 45, 0)::INT + CASE WHEN nl = nn THEN 25 ELSE 0 END + CASE WHEN regexp_matches(descr, 'football|soccer') THEN 15 ELSE 0 END
+SCORE1 = """round_even(s11 * 45, 0)::INT + CASE WHEN nl1 = nn THEN 25 ELSE 0 END + CASE WHEN regexp_matches(descr, 'football|soccer') THEN 15 ELSE 0 END
   + CASE WHEN size < 10 THEN 20 WHEN size < 20 THEN 10 ELSE 0 END + CASE WHEN size > 15 THEN 10 ELSE 0 END
   + CASE WHEN size > 25 THEN 15 ELSE 0 END + CASE WHEN size > 30 THEN 5 ELSE 0 END"""
 
@@ -226,7 +232,7 @@ SPORT = "|".join(resolve.WRONG_SPORT_HINTS)
 @query("triage", f"""
 WITH {_classify_sql(SCORE2, LADDER2)},
 f AS (SELECT cl.*, coalesce(n, 0) AS players, coalesce({TEXTS}, '') AS tx,
-  coalesce(name = {SUFFIX.format("lower(wlabel)")}, false) AS exact_name_match, coalesce(len(string_split(name, ' ')), 0) AS tok FROM cl
+  coalesce(name = {SUFFIX_TRIAGE.format("lower(wlabel)")}, false) AS exact_name_match, coalesce(len(string_split(name, ' ')), 0) AS tok FROM cl
   LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = entity WHERE match_status <> 'auto_candidate_high_stadium_coords'),
 g AS (SELECT *, contains(tx, 'women') AS women, regexp_matches(tx, '{SPORT}') OR (regexp_matches(tx, '{BAD}') AND NOT regexp_matches(tx, '{FOOT}')) AS non_club,
   NOT regexp_matches(tx, '{SPORT}') AND regexp_matches(tx, '{FOOT}|sports club') AS likely FROM f),
@@ -427,7 +433,8 @@ DUPE = "lower(p_type || ' ' || p_name)"
 
 @query("duplicate_names", f"""
 WITH held AS (SELECT {DUPE} AS nm, p_partkey AS id, p_brand AS label FROM part UNION ALL SELECT p_name, p_partkey, p_brand FROM part),
-ab AS (SELECT nm, min(id) AS id, count(*) AS c, array_to_string(list_sort(list_distinct(list(label)))[1:5], '; ') AS labels FROM held GROUP BY 1),
+lb AS (SELECT nm, label, count(*) AS k, row_number() OVER (PARTITION BY nm ORDER BY count(*) DESC, label) AS r FROM held GROUP BY 1, 2),
+ab AS (SELECT nm, min(id) AS id, count(*) AS c, (SELECT string_agg(label || ':' || k, '; ' ORDER BY r) FROM lb WHERE lb.nm = held.nm AND r <= 8) AS labels FROM held GROUP BY 1),
 n AS (SELECT DISTINCT nm, list_distinct(string_split(nm, ' ')) AS tk FROM held),
 p AS (SELECT a.nm AS name_a, b.nm AS name_b, {_lev('a.nm', 'b.nm')} AS s, len(list_intersect(a.tk, b.tk))::DOUBLE / least(len(a.tk), len(b.tk)) AS o,
   len(list_intersect(list_intersect(a.tk, b.tk), ['ring', 'red'])) > 0 AS risk, least(length(a.nm), length(b.nm)) AS sh FROM n a JOIN n b ON a.nm < b.nm),
@@ -968,8 +975,7 @@ LEFT JOIN (SELECT * FROM links WHERE player_id IN (SELECT player_id FROM entries
 WHERE m.city_key = (SELECT min({CITYKEY}) FROM clubs WHERE lat IS NOT NULL)""")
 def _(t):
     members = geo.city_members(t.clubs)
-    first = members.agg(F.min("city_key")).first()[0]  # the reader's choice: one value
-    return facets.city_drilldown(first, members, t.clubs.select("club_id", "club_name"), t.links, t.entries, t.players)
+    return facets.city_drilldown(members.agg(F.min("city_key")).scalar(), members, t.clubs.select("club_id", "club_name"), t.links, t.entries, t.players)
 
 
 @query("player_card", """

@@ -144,7 +144,7 @@ def test_few_pairs_meet_at_a_low_threshold(spark):
 def test_pairs_with_ids_counts_and_labels(spark):
     rows = spark.createDataFrame([("ab fc", 3, "T2"), ("ab fc", 1, "T1"), ("ab fc", 2, "T1"), ("abc fc", 9, None)], "n string, id int, team string")
     got = similar.describe_pairs(similar.duplicate_names(rows, "n", ["fc"]), rows, "n", "id", "team").collect()
-    assert [(r.id_a, r.count_a, r.labels_a, r.id_b, r.count_b, r.labels_b) for r in got] == [(1, 3, "T1; T2", 9, 1, "")]
+    assert [(r.id_a, r.count_a, r.labels_a, r.id_b, r.count_b, r.labels_b) for r in got] == [(1, 3, "T1:2; T2:1", 9, 1, "")]
 
 
 def test_contained_names(spark):

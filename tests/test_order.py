@@ -1,6 +1,6 @@
 """Row order, where it is the feature: the comparison with SQL sorts both sides and cannot see it."""
 
-from rosterlab.operators import composition, facets, rates
+from rosterlab.operators import composition, facets, matches, rates
 
 
 def test_leaderboard_and_discipline(spark):
@@ -25,7 +25,15 @@ def test_roster_view_by_position(spark):
     players = spark.createDataFrame([("p1", "Zed", "1990-01-01", "keeper"), ("p2", "Ann", "1990-01-01", "other"), ("p3", "Bo", "1990-01-01", "keeper")], "player_id string, display_name string, date_of_birth string, primary_position string")
     players = players.withColumn("date_of_birth", players.date_of_birth.cast("date"))
     links, clubs = spark.createDataFrame([("p1", "c")], "player_id string, club_id string"), spark.createDataFrame([("c", "Club")], "club_id string, club_name string")
-    assert [r.player_id for r in composition.roster_view(entries, players, links, clubs, "2026-01-01", ["keeper"]).collect()] == ["p3", "p1", "p2"]
+    view = composition.roster_view(entries, players, links, clubs, "2026-01-01", ["keeper"])
+    assert [r.player_id for r in composition.roster_report(view, "A").collect()] == ["p3", "p1", "p2"]
+    assert [r.player_id for r in composition.roster_report(view, "A", limit=1).collect()] == ["p3"]
+
+
+def test_matches_by_group_newest_first(spark):
+    df = spark.createDataFrame([("m1", "S1", "2026-06-01", "x"), ("m2", "S1", "2026-06-03", "x"), ("m3", "S2", "2026-06-02", "x")], "match_id string, stage string, match_date string, status string")
+    groups = matches.match_groups(df, ["S1", "S2"])
+    assert [r.match_id for r in matches.match_report(groups).collect()] == ["m2", "m1", "m3"]
 
 
 def test_medians_of_even_and_odd_groups(spark):
