@@ -181,14 +181,18 @@ def test_sentence_runs_match_brute_force(spark):
 
     def windows(t, at):
         parts = [tuple(WORD.findall(t[a:b])) for a, b in at]
-        out = []
+        out = [(p, i, 1) for i, p in enumerate(parts) if max(len(p), unspaced(p)) >= 25]
         for i in range(len(parts)):
-            for k in (1, 2, 3):
-                run = sum(parts[i: i + k], ())
-                if i + k <= len(parts) and len(run) >= (8 if k == 3 else 50):
-                    out.append((run, i, k))
+            for k in range(2, len(parts) - i + 1):
+                run = parts[i: i + k]
+                if sum(max(len(p), unspaced(p)) for p in run) >= 20:
+                    out.append((sum(run, ()), i, k))
+                    break
         return out
 
+    def unspaced(words):
+        return sum("\u4e00" <= c <= "\u9fff" for c in "".join(words))
+
     cut = plain_repeats(rows, windows, sentences)
     assert cut
     for d, t in rows:
@@ -211,6 +215,33 @@ def test_a_planted_passage_of_over_fifty_words_goes(spark, sizes):
     assert all(passage[:40] not in got[i] and passage[-20:] not in got[i] for i in (1, 2, 3))
 
 
+def test_a_passage_cut_inside_sentences_goes(spark):
+    """The ends of the passage lie inside sentences of their documents, and some sentences end in marks."""
+    from rosterlab.llm.sentence_spans import dedup_sentences
+
+    word = lambda rng: "".join(rng.choices("abcdefgh", k=5))
+    rng = random.Random(8)
+    whole = [" ".join(word(rng) for _ in range(n)) + end for n, end in ((9, ".&&&"), (4, "!"), (12, ".***"), (6, "?\"), "))]
+    whole = [x.rstrip(", ") for x in whole]
+    passage = " ".join(word(rng) for _ in range(11)) + ". " + " ".join(whole) + " " + " ".join(word(rng) for _ in range(10))
+    own = lambda i, n: " ".join(word(random.Random(i * 100 + n)) for _ in range(n))
+    rows = [(i, own(i, 15) + ". " + own(i, 7) + " " + passage + " " + own(i, 5) + ". " + own(i, 12) + ".") for i in range(3)] + [(9, own(9, 60) + ".")]
+    got = {r["r"]["doc_id"]: r["text"] for r in dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[9] == rows[3][1]
+    for i in (1, 2):
+        assert all(x not in got[i] for x in whole) and got[i].startswith(own(i, 15) + ". " + own(i, 7)) and got[i].endswith(own(i, 12) + ".")
+
+
+def test_repeated_rows_and_clashing_columns_keep_their_sentences(spark):
+    from rosterlab.llm.sentence_spans import dedup_sentences
+
+    odd = odd_frame(spark)
+    got = dedup_sentences(odd).collect()
+    assert Counter(tuple(r["r"]) for r in got) == Counter(tuple(r) for r in odd.collect())
+    twice = [r for r in got if r["r"]["doc_id"] == odd_rows()[4][0]]
+    assert len(twice) == 3 and all(r["text"] == odd_rows()[4][1] for r in twice)  # one document, three rows
+
+
 @pytest.mark.parametrize("passage", [
     "他昨天去了城里的市場。那裡有很多新鮮的蔬菜。他買了三斤白菜和兩條魚。回家以後他做了一頓晚飯。全家人都說味道非常好。大家吃完飯就去散步了。",
     "今日は天気がとてもいいです。朝から公園へ行きました。たくさんの人が歩いていました。私は本を読みました。それから家に帰りました。",
