@@ -115,7 +115,6 @@ def _(t):
 
 
 STEP = 10**12  # room for the keys under one heading or date
-BLOCK = 5_000  # positions filled together; lines stand close, so a long list is many blocks
 
 
 def sectioned_lines(t):
@@ -136,7 +135,7 @@ WITH m AS (SELECT r_name AS file, n_nationkey, n_name, c_custkey, unnest([c_mkts
 SELECT file, n_nationkey::VARCHAR AS code, n_name AS name, 'http://host/' || n_name AS source_url, member, min(c_custkey) AS first_seen
 FROM m GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
-    out = parsers.parse_sectioned_text(sectioned_lines(t), block=BLOCK)
+    out = parsers.parse_sectioned_text(sectioned_lines(t))
     return out.select("file", "code", "name", "source_url", "member", (F.col("member_pos") % STEP - 2).alias("first_seen"))
 
 
@@ -157,7 +156,7 @@ def fixture_lines(t):
 SELECT match_id, strftime(match_date, '%A %-d %B %Y') AS match_date, home_team, away_team, home_score, away_score, home_pens, away_pens, stage, stadium, city, status
 FROM matches WHERE status = 'played'""")
 def _(t):
-    out = parsers.parse_carried_date_lines(fixture_lines(t), block=30 * STEP)
+    out = parsers.parse_carried_date_lines(fixture_lines(t))
     return out.withColumn("match_id", F.col("pos") % STEP - 1).drop("file", "pos", "group")
 
 
@@ -194,7 +193,7 @@ def _(t):
             )
         )
     )
-    return parsers.assemble_roster_rows(lines, block=BLOCK).select("group", "team", "section", "manager", "player", "club", "row_hash")
+    return parsers.assemble_roster_rows(lines).select("group", "team", "section", "manager", "player", "club", "row_hash")
 
 
 @query("union_header", """

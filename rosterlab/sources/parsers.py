@@ -10,7 +10,7 @@ from ..functions.text import clean_spaces
 from ..skew import carry_down
 
 
-def parse_sectioned_text(lines: DataFrame, file: str = "file", pos: str = "pos", value: str = "value", block: int = 100_000) -> DataFrame:
+def parse_sectioned_text(lines: DataFrame, file: str = "file", pos: str = "pos", value: str = "value", parts: int | None = None) -> DataFrame:
     """``# Name (CODE)`` headings, ``## Source: url`` lines, then comma lists of members.
 
     One row per distinct member of a section, placed by its first appearance (``member_pos``,
@@ -26,7 +26,7 @@ def parse_sectioned_text(lines: DataFrame, file: str = "file", pos: str = "pos",
                                  F.regexp_replace(title, r"\s*\([^)]*\)\s*$", "").alias("name"))).alias("_section"),
         F.when(heading, F.lit("")).when(source, F.trim(F.substring(v, F.lit(11), F.length(v)))).alias("_source"),
     )
-    carried = carry_down(marked, file, pos, ["_section", "_source"], block)
+    carried = carry_down(marked, file, pos, ["_section", "_source"], parts)
     items = carried.filter((~F.col("_v").startswith("#")) & (F.col("_v") != "") & F.col("_section").isNotNull()).select(
         file, F.col("_section.at").alias("section_pos"), F.col("_section.code").alias("code"), F.col("_section.name").alias("name"),
         F.nullif("_source", F.lit("")).alias("source_url"), F.col(pos).alias("member_pos"),
@@ -41,12 +41,12 @@ DATE_LINE = r"^\w+ \d{1,2} \w+ \d{4}$"
 
 
 def parse_carried_date_lines(lines: DataFrame, file: str = "file", pos: str = "pos", value: str = "value", fields: int = 8,
-                             block: int = 100_000) -> DataFrame:
+                             parts: int | None = None) -> DataFrame:
     """Fixtures: a date line holds for the lines below it; other lines have ``fields`` bar-separated
     parts, and any other count is skipped."""
     v = F.trim(value)
     marked = lines.select(file, pos, v.alias("_v"), F.when(v.rlike(DATE_LINE), v).alias("match_date"))
-    carried = carry_down(marked, file, pos, ["match_date"], block)
+    carried = carry_down(marked, file, pos, ["match_date"], parts)
     p = F.split("_v", r"\|")
     rows = carried.filter((~F.col("_v").rlike(DATE_LINE)) & (F.size(p) == fields))
     cell = lambda i: F.element_at(p, i + 1)
@@ -84,7 +84,7 @@ def parse_pairs_from_cell(df: DataFrame, cell: str, *keys: str) -> DataFrame:
 
 
 def assemble_roster_rows(lines: DataFrame, file: str = "page", pos: str = "pos", tag: str = "tag", value: str = "text",
-                         block: int = 100_000) -> DataFrame:
+                         parts: int | None = None) -> DataFrame:
     """Roster rows from (page, pos, tag, text): groups (h2), teams (h3) and position labels carry
     down; a list line becomes one row per player with club and a row hash.
 
@@ -101,7 +101,7 @@ def assemble_roster_rows(lines: DataFrame, file: str = "page", pos: str = "pos",
         F.when(F.col(tag) == "h2", v).alias("group"), F.when(is_team, v).alias("team"),
         team_start(manager).alias("manager"), team_start(announced).alias("announced"), section.alias("section"),
     )
-    carried = carry_down(marked, file, pos, ["group", "team", "manager", "announced"], block)
+    carried = carry_down(marked, file, pos, ["group", "team", "manager", "announced"], parts)
     rows = carried.filter(F.col("_is_list") & F.col("team").isNotNull()).select(
         file, pos, "group", "team", F.lower("section").alias("section"), F.nullif("manager", F.lit("")).alias("manager"),
         F.nullif("announced", F.lit("")).alias("announced"),

@@ -20,7 +20,7 @@ def test_number_rows_is_total_and_dense(spark):
 
 def test_carry_down_over_block_edges(spark):
     df = spark.createDataFrame([("f", i, str(i) if i in (0, 7) else None) for i in range(20)] + [("g", 0, None)], "file string, pos long, v string")
-    got = {(r.file, r.pos): r.v for r in carry_down(df, "file", "pos", ["v"], block=3).collect()}
+    got = {(r.file, r.pos): r.v for r in carry_down(df, "file", "pos", ["v"], parts=5).collect()}
     assert got[("f", 6)] == "0" and got[("f", 19)] == "7" and got[("g", 0)] is None
 
 
@@ -99,3 +99,27 @@ def test_clashing_link_ids_are_found(spark):
     codes = spark.createDataFrame([("A", "AAA")], "team string, team_code string")
     assert clashing_ids(relational_split(raw, codes, {}, digits=1)).count() > 0
     assert clashing_ids(relational_split(raw, codes, {}, digits=16)).count() == 0
+
+
+def test_median_of_one_group_with_all_rows(spark):
+    """The hot group lies in many ranges, none over twice the average, and the median is exact for odd and even sizes."""
+    from rosterlab.skew import in_ranges
+
+    for n in (40_001, 40_000):
+        df = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+        df = df.unionByName(spark.createDataFrame([("a", 5.0), ("a", 5.0), ("a", 1.0), ("b", None), (None, 2.0)], "k string, v double"))
+        got = {r.k: r.m for r in group_median(df, ["k"], F.col("v"), "m", parts=16).collect()}
+        assert got == {"hot": (n - 1) / 2, "a": 5.0, None: 2.0}
+    sizes = [r["count"] for r in in_ranges(df.filter("v is not null"), [F.col("k"), F.col("v")], 16).groupBy("_pid").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
+
+
+def test_carry_down_reads_its_input_once(spark):
+    lines = spark.range(5000).select((F.col("id") % 3).cast("string").alias("file"), F.col("id").alias("pos"), F.when(F.col("id") % 701 < 3, F.concat(F.lit("v"), F.col("id").cast("string"))).alias("v"))
+    out = carry_down(lines, "file", "pos", ["v"], parts=7)
+    assert "Range (" not in out._jdf.queryExecution().toString()  # the input is in the write alone
+    last, want = {}, {}
+    for r in sorted(lines.collect(), key=lambda r: (r.file, r.pos)):
+        last[r.file] = r.v or last.get(r.file)
+        want[r.pos] = last[r.file]
+    assert {r.pos: r.v for r in out.collect()} == want

@@ -65,8 +65,8 @@ def test_read_lines_keeps_file_order(spark, tmp_path):
 def test_sectioned_text_over_blocks(spark):
     lines = ["noise", "# Asian Body (AFC)", "## Source: http://a", "Japan, Iran, Japan.", "", "# NoCode", "Peru, Chile"]
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, pos long, value string")
-    for block in (2, 100):
-        got = [(r.code, r.name, r.source_url, r.member) for r in parsers.parse_sectioned_text(df, block=block).orderBy("member_pos", "item_pos").collect()]
+    for parts in (4, 1):
+        got = [(r.code, r.name, r.source_url, r.member) for r in parsers.parse_sectioned_text(df, parts=parts).orderBy("member_pos", "item_pos").collect()]
         assert got == [("AFC", "Asian Body", "http://a", "Japan"), ("AFC", "Asian Body", "http://a", "Iran"), ("NoCode", "NoCode", None, "Peru"), ("NoCode", "NoCode", None, "Chile")]
 
 
@@ -74,7 +74,7 @@ def test_fixture_lines(spark):
     lines = ["Thursday 11 June 2026", "Mexico|2|1|Ghana|First Stage|A|Azteca|Mexico City", "broken|line", "Friday 3 July 2026",
              "Spain|1 (4)|1 (3)|Italy|Round of 32|-|Arena|Dallas", "W1|-|-|W2|Final|-|Met|New York"]
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, pos long, value string")
-    got = [(r.match_date, r.home_team, r.home_score, r.home_pens, r.away_pens, r.status) for r in parsers.parse_carried_date_lines(df, block=2).orderBy("pos").collect()]
+    got = [(r.match_date, r.home_team, r.home_score, r.home_pens, r.away_pens, r.status) for r in parsers.parse_carried_date_lines(df, parts=3).orderBy("pos").collect()]
     assert got == [("Thursday 11 June 2026", "Mexico", 2, None, None, "played"), ("Friday 3 July 2026", "Spain", 1, 4, 3, "played"), ("Friday 3 July 2026", "W1", None, None, None, "scheduled")]
 
 
