@@ -1,5 +1,4 @@
-"""Text expressions. All of them stay inside whole-stage code generation; the one Arrow function
-(`nfkd_fold`) is opt-in for scripts the Latin table does not cover."""
+"""Text expressions, all of built-in functions."""
 
 from __future__ import annotations
 
@@ -7,24 +6,46 @@ import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 
-def _latin_marks() -> tuple[str, str]:
-    """Every Latin letter that is a base letter plus marks, and that base letter."""
-    accented, plain = [], []
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+def _decompositions() -> tuple[dict[str, str], str, dict[str, str]]:
+    """Of the characters up to U+FFFF: those that decompose to one other, those that are marks and go, and those that decompose to several or none.
+
+    Decompositions are compatible ones without their combining marks. Syllables of Hangul are left out: they follow from their number.
+    """
+    one, marks, several = {}, [], {}
+    for cp in range(0x80, 0x10000):
+        if 0xD800 <= cp < 0xE000 or HANGUL <= cp < HANGUL + 11172:
+            continue
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
-            accented.append(ch)
-            plain.append(base)
-    return "".join(accented), "".join(plain)
+        if not base:
+            marks.append(ch)
+        elif base != ch and len(base) == 1:
+            one[ch] = base
+        elif base != ch:
+            several[ch] = base
+    return one, "".join(marks), several
+
+
+HANGUL = 0xAC00  # the first of 11172 syllables: 19 leading letters times 21 vowels times 28 trailing ones, the first of which is none
+_LEADING, _VOWELS, _TRAILING = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+ONE_TO_ONE, MARKS, ONE_TO_MANY = _decompositions()
 
 
-ACCENTED, PLAIN = _latin_marks()
+def _class(chars: Sequence[str]) -> str:
+    """Inside of a regular expression's brackets that hold these characters."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+
+
+_MANY = f"[{_class([*ONE_TO_MANY])}\\x{{{HANGUL:x}}}-\\x{{{HANGUL + 11171:x}}}]"
 
 # Letters with no decomposition, and their spelling.
 SINGLE_LETTERS = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L"}
@@ -65,7 +86,22 @@ def blank_to_null(c: Column) -> Column:
 
 
 def strip_marks(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, r"\p{M}+", ""), ACCENTED, PLAIN)
+    """Compatible decomposition without combining marks, of every character up to U+FFFF: letters without accents, ligatures and fractions spelled out, syllables as their letters.
+
+    Nearly all characters are translated in one pass; only texts that hold one of several letters are taken apart.
+    """
+    c = F.translate(c, "".join(ONE_TO_ONE) + MARKS, "".join(ONE_TO_ONE.values()))
+    many, spelled = "".join(ONE_TO_MANY), F.array(*[F.lit(x) for x in ONE_TO_MANY.values()])
+
+    def letter(ch: Column) -> Column:
+        n, place = F.ascii(ch) - HANGUL, F.call_function("locate", ch, F.lit(many))
+        at = lambda letters, i: F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
+        last = F.when(n % 28 > 0, at(_TRAILING, n % 28 - 1)).otherwise("")
+        syllable = F.concat(at(_LEADING, F.floor(n / 588)), at(_VOWELS, F.floor(n % 588 / 28)), last)
+        return F.when(n.between(0, 11171), syllable).when(place > 0, F.get(spelled, place - 1)).otherwise(ch)
+
+    letters = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
+    return F.when(c.rlike(_MANY), F.array_join(F.transform(letters, letter), "")).otherwise(c)
 
 
 def transliterate_letters(c: Column) -> Column:
@@ -127,14 +163,6 @@ def fold(c: Column, profile: str | FoldProfile = "words") -> Column:
     return F.trim(c) if p.drop or p.collapse or p.lower else c
 
 
-@F.pandas_udf(StringType())
-def nfkd_fold(s: pd.Series) -> pd.Series:
-    """Full compatibility folding for any script; Arrow batches, only where asked for."""
-    return s.fillna("").map(
-        lambda v: "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)).casefold()
-    )
-
-
 def norm_key(c: Column) -> Column:
     return fold(c, "words")
 

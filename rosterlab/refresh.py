@@ -9,7 +9,7 @@ from .operators.facets import alias_dictionary
 from .operators.geo import cities_from_clubs, city_members, own_city_key, team_members, teams_from_entries
 from .operators.quality import audit, unique_key
 from .sources.readers import path_exists, read_table, typed
-from .sources.writers import export_manifest, write_snapshot
+from .sources.writers import write_counted, write_snapshot
 
 # Columns that are not text, by table.
 TYPES = {
@@ -74,8 +74,6 @@ def refresh(spark: SparkSession, folder: str, out: str, exported_at: str, strict
         "teams": teams_from_entries(t["squad_entries"]), "team_members": team_members(t["squad_entries"]),
         "club_aliases": alias_dictionary(aliases, clubs), "rejects": rejects, **{name: t[name] for name in MORE_TYPES if name in t},
     }
-    for name, df in tables.items():
-        write_snapshot(df, f"{out}/{name}", fmt)
-    manifest = export_manifest(tables, exported_at, folder)
+    manifest = write_counted(tables, out, exported_at, folder, fmt)
     write_snapshot(manifest, f"{out}/meta", fmt)
     return manifest

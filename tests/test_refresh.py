@@ -30,6 +30,24 @@ def test_refresh(spark, tmp_path):
     assert spark.read.json(str(out / "rejects")).collect()[0].raw == "tall"
 
 
+def test_counts_come_from_the_writes(spark, tmp_path):
+    from rosterlab.sources.writers import export_manifest, write_counted
+
+    times = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            times.add(batch.num_rows)
+            yield batch
+
+    tables = {"some": spark.range(1000).mapInArrow(read, "id long"), "none": spark.range(10).filter("id > 99"), "empty": spark.createDataFrame([], "a int"), "other": spark.range(7)}
+    manifest = write_counted(tables, str(tmp_path / "out"), "2026-07-14", "here", "parquet")
+    assert times.value == 1000  # read once, for the write
+    got = {r.entity: r["rows"] for r in manifest.collect()}
+    assert got == {"some": 1000, "none": 0, "empty": 0, "other": 7} and times.value == 1000
+    assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, export_manifest(tables, "2026-07-14", "here").collect()))
+
+
 def test_refresh_carries_the_other_tables(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
