@@ -57,7 +57,6 @@ class Index:
 
     def __init__(self, stride: int, numbers: list[int], items: list[np.ndarray], parts: list[tuple[set, set]], idf: np.ndarray, mean: float):
         self.stride, self.numbers, self.parts = stride, numbers, parts
-        self.whole = [shingles(i) for i in items]
         n_terms = len(idf)
         weights = []
         for ids in items:
@@ -191,7 +190,7 @@ class Searcher:
                 held = shingles(piece[start: start + 2 * index.stride])
                 short = piece[start: start + 2 * index.stride].tolist()
                 question, answer = (self.overlap(part, held, short) for part in index.parts[item])
-                if self.overlap(index.whole[item], held, short) >= OVERLAP or min(question, answer) >= OVERLAP:
+                if min(question, answer) >= OVERLAP:
                     number, new = index.numbers[item], (index.numbers[item], score, question, answer, at + start)
                     old = found[i].get(number)
                     if old is None or (score, -new[4]) > (old[1], -old[4]):
@@ -252,10 +251,10 @@ def _finder(spark: SparkSession, searcher: Searcher, text: str) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, word): every test item that a document holds.
 
-    An item is held if at least ``OVERLAP`` of its shingles of five words lie in one passage of at most twice its length class, or that share of both its
-    question and its answer. Words are lower-cased runs of letters, digits and _. score is the BM25 score over the item's own, word
+    An item is held if at least ``OVERLAP`` of the five-word shingles of its question, and that share of its answer's, lie in one passage of at most twice its length class; an
+    item of one line has no answer to look for. Words are lower-cased runs of letters, digits and _. score is the BM25 score over the item's own, word
     the first word of the best passage. Null and empty texts hold nothing and items without words are never held; repeated
-    rows give repeated results; an empty table gives an empty result. Documents are searched where they lie: nothing of them is shuffled.
+    rows give repeated results; an empty table gives an empty result. Very long texts are searched whole, in pieces that overlap by a passage; other columns are not read. Documents are searched where they lie: nothing of them is shuffled.
     """
     spark, out = docs.sparkSession, None
     for names, searcher in searchers(benchmark, item_id, item_text, threshold, shard_words):

@@ -325,12 +325,20 @@ def plain_leaks(rows, items):
     def grams(w):
         return {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
+    def share(part, words, held):
+        if len(part) < 5:
+            return float(not part or any(words[i: i + len(part)] == part for i in range(len(words))))
+        want = grams(part)
+        return len(want & held) / len(want)
+
     out = set()
     for d, t in rows:
-        held = grams(words_of(t or ""))
+        words = words_of(t or "")
+        held = grams(words)
         for i, x in items:
-            want = grams(words_of(x or ""))
-            if want and len(want & held) >= 0.8 * len(want):
+            question, _, answer = (x or "").strip().partition("\n")
+            parts = words_of(question), words_of(answer)
+            if any(parts) and min(share(p, words, held) for p in parts) >= 0.8:
                 out.add((d, i))
     return out
 
@@ -359,6 +367,17 @@ def test_leaks_match_brute_force(spark):
     assert kept == {d for d, _ in rows + planted} - {d for d, _ in got}
 
 
+def test_a_question_without_its_answer_is_no_leak(spark):
+    from rosterlab.llm.decontaminate import leaks
+
+    rng = random.Random(4)
+    question, answer = prose(rng, 40).replace("\n", " "), "only these six words answer it"
+    bench = spark.createDataFrame([(1, question + "\n" + answer)], "item_id long, text string")
+    around = lambda x: prose(rng, 60) + " " + x + " " + prose(rng, 60)
+    rows = [(1, around(question)), (2, around(question + " " + answer)), (3, around(answer)), (4, around(answer + " " + question))]
+    assert {r["doc_id"] for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {2, 4}
+
+
 def test_leaks_of_odd_tables(spark):
     from rosterlab.llm.decontaminate import leaks, without_leaks
 

@@ -222,3 +222,15 @@ def _under(m, n):
             return True
         m = m.parent
     return False
+
+
+def test_rule_costs_come_from_distinct_texts(spark):
+    """One row very many times over is one row of the sample."""
+    from pyspark.sql import functions as F
+    from rosterlab.llm.quality import distinct_sample
+
+    same = spark.range(30_000).select(F.lit("one and the same text").alias("text"))
+    other = spark.range(3000).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    n = distinct_sample(same.unionByName(other).unionByName(spark.createDataFrame([(None,), (None,)], "text string")), "text", 2000).count()
+    assert 60 < n < 400
+    assert distinct_sample(other, "text", 5000).count() == 3000 and distinct_sample(other.limit(0), "text", 10).count() == 0
