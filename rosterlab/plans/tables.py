@@ -76,10 +76,10 @@ def _(t):
 
 @query("csv_files_any_encoding", r"""
 SELECT doc_id::VARCHAR AS doc_id, pos::VARCHAR AS pos, CASE WHEN lang = 'fr' THEN regexp_replace(value, '[^\x{0000}-\x{00FF}]', '?', 'g') ELSE value END AS value
-FROM doc_lines WHERE value <> ''""")
+FROM doc_lines""")
 def _(t):
-    """French lines in Latin-1 under one header, the others in UTF-8 under another."""
-    path, rows = fresh_folder(t), t.doc_lines.filter("value <> ''")
+    """French lines in Latin-1 under one header, the others in UTF-8 under another; an empty line is an empty cell."""
+    path, rows = fresh_folder(t), t.doc_lines
     put = lambda df, name, encoding: df.write.csv(f"{path}/{name}", header=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     narrow = F.regexp_replace("value", r"[^\x00-\xFF]", "?").alias("value")
     put(rows.filter("lang = 'fr'").select(narrow, "doc_id", "pos"), "latin", "ISO-8859-1")

@@ -59,11 +59,47 @@ def decode_lines(lines: DataFrame, file: str = "file", raw: str = "raw", fallbac
     ).drop("_utf8", raw)
 
 
+#: Cells of a CSV line: the commas outside quotes part them.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of one CSV line as an array: quoted ones without their quotes, empty ones NULL unless they are quoted."""
+    whole = r'(?s)^"(.*)"$'
+
+    def cell(c: Column) -> Column:
+        inner = F.replace(F.regexp_extract(c, whole, 1), F.lit('""'), F.lit('"'))
+        return F.when(c.rlike(whole), inner).when(c != "", c)
+
+    return F.transform(F.split(line, _COMMA, -1), cell)
+
+
 def read_text_csv_any(spark: SparkSession, path: str, columns: Sequence[str], fallback: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
     """CSV in UTF-8 or, per file, in the fallback encoding; columns by each file's own header.
 
+    An aggregate gives every file its header and whether all its lines are valid UTF-8, and a join gives them to its lines, so that one plan reads any
+    number of files with any headers and nothing about them reaches the driver. A column that a file lacks is NULL. ``multi_line`` is for cells
+    with line breaks, which lines cannot show: see ``read_text_csv_whole``.
+    """
+    if multi_line:
+        return read_text_csv_whole(spark, path, columns, fallback)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("_at"), "value")
+    files = lines.groupBy("file").agg(F.min(F.is_valid_utf8("value")).alias("_ok"), F.min("_at").alias("_head"), F.min_by(F.col("value").cast("binary"), "_at").alias("_names"))
+    told = lambda raw, text: F.regexp_replace(F.when(F.col("_ok"), text).otherwise(F.decode(raw, fallback)), "^\ufeff|\r$", "")
+    names = F.transform(csv_cells(told(F.col("_names"), F.col("_names").cast("string"))), lambda c: F.trim(c))
+    files = files.select("file", "_ok", "_head", names.alias("_names"))
+    rows = lines.join(files, "file").filter(F.col("_at") != F.col("_head")).select("file", "_ok", "_names", told(F.col("value").cast("binary"), F.col("value")).alias("_line"))
+    rows = rows.filter(F.trim("_line") != "").withColumn("_cells", csv_cells(F.col("_line")))
+    own = [F.get("_cells", F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)) - 1).alias(c) for c in columns]
+    return rows.select(*own, F.when(F.col("_ok"), "utf-8").otherwise(fallback).alias("source_encoding"), "file")
+
+
+def read_text_csv_whole(spark: SparkSession, path: str, columns: Sequence[str], fallback: str = "ISO-8859-1") -> DataFrame:
+    """``read_text_csv_any`` for cells with line breaks: each file is one task.
+
     A first pass gives every file its header and whether all its lines are valid UTF-8: one row per file, like the listing that the
-    driver holds anyway. Files of like header and encoding are then read together. ``multi_line`` is for cells with line breaks.
+    driver holds anyway. Files of like header and encoding are then read together.
     """
     lines = read_lines(spark, path).withColumn("ok", F.is_valid_utf8("value"))
     files = lines.groupBy("file").agg(F.min("ok").alias("ok"), F.min_by(F.col("value").cast("binary"), "pos").alias("head")).collect()
@@ -76,7 +112,7 @@ def read_text_csv_any(spark: SparkSession, path: str, columns: Sequence[str], fa
     for (encoding, head), paths in sorted(groups.items()):
         names = [c.strip() for c in next(csv.reader([head]), [])]
         schema = StructType([StructField(c, StringType()) for c in names])
-        df = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True, encoding=encoding, multiLine=multi_line, escape='"')
+        df = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True, encoding=encoding, multiLine=True, escape='"')
         own = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns]
         out = out.unionByName(df.select(*own, F.lit(encoding).alias("source_encoding"), F.col("_metadata.file_path").alias("file")))
     return out

@@ -38,6 +38,24 @@ def test_headers_in_any_order_and_cells_with_line_breaks(spark, tmp_path):
     assert got == {"1": ("Zoë", "utf-8"), "2": ('Zoë\nLi, "x"', "ISO-8859-1")}
 
 
+def test_a_thousand_headers_are_one_plan(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    want = set()
+    for i in range(300):
+        names = ["id", "name", f"x{i}"]
+        names = names[i % 3:] + names[: i % 3]
+        cells = {"id": str(i), "name": "Zoë, ""\"q\"" if i % 2 else "", f"x{i}": " s "}
+        body = ",".join('"' + cells[n].replace('"', '""') + '"' if n != "id" else cells[n] for n in names)
+        (d / f"{i}.csv").write_bytes((",".join(names) + "\r\n" + body + "\r\n\r\n").encode("latin-1" if i % 5 == 0 else "utf-8"))
+        want.add((str(i), cells["name"], cells["x7"] if i == 7 else None, "ISO-8859-1" if i % 5 == 0 and i % 2 else "utf-8"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    out = readers.read_text_csv_any(spark, str(d), ["id", "name", "x7"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) <= before + 1  # at most the listing of many paths
+    assert {tuple(r)[:4] for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # headers and lines, however many files
+
+
 def test_json_array_and_optional(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"id": 1, "n": "x"}, {"id": 2, "n": None}]))
