@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -163,6 +164,12 @@ def fold(c: Column, profile: str | FoldProfile = "words") -> Column:
     return F.trim(c) if p.drop or p.collapse or p.lower else c
 
 
+def fold_text(s: str) -> str:
+    """The ``spaced_lower`` folding of one text at hand, such as a query."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return re.sub(r"\s+", " ", "".join(c for c in plain if c.isascii()).lower()).strip(" ")
+
+
 def norm_key(c: Column) -> Column:
     return fold(c, "words")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import blank_to_null, fold
+from ..functions.text import blank_to_null, fold, fold_text
 from ..skew import first_per_key
 from .joins import active_people, keyed
 
@@ -73,10 +74,38 @@ def fuzzy_distance(text: Column, query: Column, most: int) -> Column:
     return F.array_min(F.filter(near, lambda d: d >= 0))
 
 
-def layered_search(query: str, clubs: DataFrame, aliases: DataFrame, people: DataFrame, k: int = 8, fuzzy: bool = True, tolerance: float = 0.3) -> DataFrame:
+def gram_table(df: DataFrame, key: str, label: str) -> DataFrame:
+    """(gram, id, label, n): how often each pair of neighbouring letters stands in each folded label; to be written once and read by ``layered_search``.
+
+    In ranges of grams and sorted, so that a search reads the parts of the file that hold its grams.
+    """
+    folded = fold(F.col(label), "spaced_lower")
+    each = df.select(F.col(key).alias("id"), F.col(label).alias("label"), folded.alias("_f")).filter(F.length("_f") > 1)
+    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("_f") - 1), lambda i: F.substring("_f", i, F.lit(2))))
+    counted = each.select(grams.alias("gram"), "id", "label").groupBy("gram", "id", "label").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return counted.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+
+
+def near_by_grams(grams: DataFrame, query: str, most: int) -> DataFrame | None:
+    """(id, label) that may hold the folded query within ``most`` edits, by the grams they share; None where edits may leave none.
+
+    Each edit spoils two grams at most, so the others are shared, repeats counted.
+    """
+    asked = Counter(query[i: i + 2] for i in range(len(query) - 1))
+    least = len(query) - 1 - 2 * most
+    if least < 1:
+        return None
+    times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
+    shared = F.sum(F.least("n", F.element_at(times, F.col("gram"))))
+    return grams.filter(F.col("gram").isin(list(asked))).groupBy("id", "label").agg(shared.alias("_s")).filter(F.col("_s") >= least).select("id", "label")
+
+
+def layered_search(query: str, clubs: DataFrame, aliases: DataFrame, people: DataFrame, k: int = 8, fuzzy: bool = True, tolerance: float = 0.3,
+                   grams: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Top-k suggestions: clubs by name, clubs by alias, people by name, then fuzzy clubs and people.
 
-    Each layer orders by its key and keeps k on its own before the union, so at most 5k rows meet.
+    Each layer orders by its key and keeps k on its own before the union, so at most 5k rows meet. With ``grams``, the ``gram_table`` of clubs
+    and that of people, the fuzzy layers look only at labels that share enough grams with the query, and at none where the layers before have k rows.
     """
     q = query.strip().lower()
     folded = fold(F.lit(q), "spaced_lower")
@@ -98,8 +127,13 @@ def layered_search(query: str, clubs: DataFrame, aliases: DataFrame, people: Dat
         layer(people.filter(hit("display_name")), 3, "player", "player_id", "display_name", zero),
     ]
     if fuzzy:
+        most = int(tolerance * len(q))
+        exact = first_per_key(reduce(DataFrame.unionByName, layers), ["type", "id"], ["layer", "distance"]).agg(F.count(F.lit(1)).alias("n")).scalar()
         for no, df, kind, key, label in ((4, clubs, "club", "club_id", "club_name"), (5, people, "player", "player_id", "display_name")):
-            d = fuzzy_distance(fold(F.col(label), "spaced_lower"), folded, int(tolerance * len(q)))
+            near = near_by_grams(grams[no - 4].filter(exact < k), fold_text(q), most) if grams else None
+            if near is not None:
+                df = near.select(F.col("id").alias(key), F.col("label").alias(label))
+            d = fuzzy_distance(fold(F.col(label), "spaced_lower"), folded, most)
             layers.append(layer(df.withColumn("_d", d).filter(F.col("_d").isNotNull()), no, kind, key, label, F.col("_d")))
     every = first_per_key(reduce(DataFrame.unionByName, layers), ["type", "id"], ["layer", "distance"])
     return every.orderBy("layer", "distance", F.length("id"), "id").limit(k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import POSITIONS, fold
 from ..operators import consolidate, facets, geo, listing, reconcile, resolve, similar
 from ..operators.joins import active_only
+from ..skew import cut_lineage
 from .expressions import hav_sql, slug_sql
 from .registry import query
 
@@ -949,15 +950,25 @@ def _(t):
 NEAREST = "list_min(list_transform(range(1, greatest(length({0}) - 16 + 1, 1) + 1), lambda i: levenshtein(substr(lower({0}), i, 16), 'custmer#00000012')))"
 
 
-@query("layered_search_fuzzy", f"""
+FUZZY = f"""
 WITH c AS (SELECT 'club' AS type, s_suppkey AS o, s_name AS label, 4 AS layer, {NEAREST.format("s_name")} AS distance FROM supplier),
 p AS (SELECT 'player' AS type, player_id AS o, c_name AS label, 5 AS layer, {NEAREST.format("c_name")} AS distance FROM entries JOIN customer ON c_custkey = player_id WHERE squad_status = 'active'),
 best AS (SELECT * FROM (SELECT * FROM c WHERE distance <= 4 ORDER BY distance, o LIMIT 8) UNION ALL SELECT * FROM (SELECT * FROM p WHERE distance <= 4 ORDER BY distance, o LIMIT 8))
-SELECT type, o::VARCHAR AS id, label, layer, distance FROM best ORDER BY layer, distance, length(o::VARCHAR), o::VARCHAR LIMIT 8""")
+SELECT type, o::VARCHAR AS id, label, layer, distance FROM best ORDER BY layer, distance, length(o::VARCHAR), o::VARCHAR LIMIT 8"""
+
+
+@query("layered_search_fuzzy", FUZZY)
 def _(t):
     return facets.layered_search("custmer#00000012", *search_tables(t))
 
 
+@query("layered_search_grams", FUZZY)
+def _(t):
+    clubs, aliases, people = search_tables(t)
+    grams = tuple(cut_lineage(facets.gram_table(df, key, label)) for df, key, label in ((clubs, "club_id", "club_name"), (people, "player_id", "display_name")))
+    return facets.layered_search("custmer#00000012", clubs, aliases, people, grams=grams)
+
+
 @query("alias_dictionary", f"""
 WITH {GROUPS} SELECT raw_name AS alias, raw_name AS alias_ascii, canonical_id AS club_id FROM mapped JOIN supplier ON s_suppkey = canonical_id WHERE lower(raw_name) <> lower(canonical_name) GROUP BY 1, 2, 3""")
 def _(t):
