@@ -507,6 +507,17 @@ def test_scores_hardly_depend_on_the_ranges(spark, monkeypatch):
     assert sum(r["score"] for r in once.values()) == pytest.approx(sum(r["score"] for r in many.values()), rel=0.05)
 
 
+def test_scores_of_many_ranges_beat_the_base(spark, monkeypatch):
+    from rosterlab.llm import context_mixing
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    monkeypatch.setattr(context_mixing, "RANGE", 5000)
+    got = context_mixing.score_texts(docs, training).withColumn("train", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    for r in got.groupBy("train").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect():
+        assert r["s"] > 0.98 * r["b"]
+
+
 # pipeline
 
 def test_pipeline_stages(spark, tmp_path):
