@@ -518,6 +518,21 @@ def test_scores_of_many_ranges_beat_the_base(spark, monkeypatch):
         assert r["s"] > 0.98 * r["b"]
 
 
+def test_kinds_are_settled_by_every_training_row(spark, monkeypatch):
+    from rosterlab.llm import context_mixing
+
+    settled, start = [], context_mixing.Kinds.__init__
+
+    def recorded(self, counts):
+        settled.append(counts.sum())
+        start(self, counts)
+
+    monkeypatch.setattr(context_mixing.Kinds, "__init__", recorded)
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b"), F.col("id") % 70, F.col("id")).alias("text"))
+    assert context_mixing.score_texts(docs, F.col("doc_id") % 9 > 0).filter("score >= 0").count() == 0
+    assert settled[-1] == 4 * 8000
+
+
 # pipeline
 
 def test_pipeline_stages(spark, tmp_path):
