@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from .match import _bound
+
 
 def _decompositions() -> tuple[dict[str, str], str, dict[str, str]]:
     """Of the characters up to U+FFFF: those that decompose to one other, those that are marks and go, and those that decompose to several or none.
@@ -35,19 +37,6 @@ _LEADING, _VOWELS, _TRAILING = ("".join(map(chr, range(a, a + n))) for a, n in (
 ONE_TO_ONE, MARKS, ONE_TO_MANY = _decompositions()
 
 
-def _class(chars: Sequence[str]) -> str:
-    """Inside of a regular expression's brackets that hold these characters."""
-    runs: list[list[int]] = []
-    for cp in sorted(map(ord, chars)):
-        if runs and cp == runs[-1][1] + 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
-
-
-_MANY = f"[{_class([*ONE_TO_MANY])}\\x{{{HANGUL:x}}}-\\x{{{HANGUL + 11171:x}}}]"
-
 # Letters with no decomposition, and their spelling.
 SINGLE_LETTERS = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L"}
 DOUBLE_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
@@ -86,12 +75,8 @@ def blank_to_null(c: Column) -> Column:
     return F.when(t != "", t)
 
 
-def strip_marks(c: Column) -> Column:
-    """Compatible decomposition without combining marks, of every character up to U+FFFF: letters without accents, ligatures and fractions spelled out, syllables as their letters.
-
-    Nearly all characters are translated in one pass; only texts that hold one of several letters are taken apart.
-    """
-    c = F.translate(c, "".join(ONE_TO_ONE) + MARKS, "".join(ONE_TO_ONE.values()))
+def _spelled_out(c: Column) -> Column:
+    """Letters that decompose to several as these; others stay. Only texts that hold one are taken apart, and each of their letters is looked at once."""
     many, spelled = "".join(ONE_TO_MANY), F.array(*[F.lit(x) for x in ONE_TO_MANY.values()])
 
     def letter(ch: Column) -> Column:
@@ -99,10 +84,21 @@ def strip_marks(c: Column) -> Column:
         at = lambda letters, i: F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
         last = F.when(n % 28 > 0, at(_TRAILING, n % 28 - 1)).otherwise("")
         syllable = F.concat(at(_LEADING, F.floor(n / 588)), at(_VOWELS, F.floor(n % 588 / 28)), last)
-        return F.when(n.between(0, 11171), syllable).when(place > 0, F.get(spelled, place - 1)).otherwise(ch)
+        return F.when(F.octet_length(ch) == 1, ch).when(n.between(0, 11171), syllable).when(place > 0, F.get(spelled, place - 1)).otherwise(ch)
+
+    # a table lookup for each letter beyond ASCII; a class of all of them would try its ranges one by one
+    rest = F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    holds = (F.length(F.translate(rest, many, "")) < F.length(rest)) | rest.rlike(f"[\\x{{{HANGUL:x}}}-\\x{{{HANGUL + 11171:x}}}]")
+    return F.when(holds, F.array_join(F.transform(F.split(c, ""), letter), "")).otherwise(c)
+
 
-    letters = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
-    return F.when(c.rlike(_MANY), F.array_join(F.transform(letters, letter), "")).otherwise(c)
+def strip_marks(c: Column) -> Column:
+    """Compatible decomposition without combining marks, of every character up to U+FFFF: letters without accents, ligatures and fractions spelled out, syllables as their letters.
+
+    ASCII has nothing to decompose. Of other texts nearly all characters are translated in one pass.
+    """
+    plain = lambda x: _bound(F.translate(x, "".join(ONE_TO_ONE) + MARKS, "".join(ONE_TO_ONE.values())), _spelled_out)
+    return _bound(c, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(plain(x)))
 
 
 def transliterate_letters(c: Column) -> Column:
@@ -326,23 +322,32 @@ def query_variants(name: Column, n: int = 8, suffixes: Sequence[str] = ("footbal
     """Ordered distinct spellings to search for: as written, suffixed, without legal form, without marks."""
     squeeze = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[ \-,.]+|[ \-,.]+$", "")
     dotted = "|".join(r"\.?".join(t) + r"\.?" for t in ORG_TOKENS)
-    every = []
-    for base in (clean_spaces(name), strip_marks(clean_spaces(name))):
+
+    def forms(base: Column) -> Column:
         bare = squeeze(F.regexp_replace(base, rf"(?i)\b({dotted}|football club|soccer club|sporting club|club)\b", ""))
-        every += [base, *[F.concat(base, F.lit(f" {s}")) for s in suffixes], bare, F.concat(bare, F.lit(f" {suffixes[0]}"))]
-    spelled = F.filter(F.array(*[squeeze(e) for e in every]), lambda v: v != "")
-    lowered = F.transform(spelled, lambda v: F.lower(v))
-    kept = F.filter(spelled, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.slice(kept, 1, n)
+        every = lambda b: F.array(base, *[F.concat(base, F.lit(f" {s}")) for s in suffixes], b, F.concat(b, F.lit(f" {suffixes[0]}")))
+        return _bound(bare, every)
+
+    spelled = F.transform(F.flatten(F.transform(_with_folded(clean_spaces(name)), forms)), squeeze)
+    return F.slice(_first_spellings(F.filter(spelled, lambda v: v != "")), 1, n)
+
+
+def _with_folded(base: Column) -> Column:
+    """The text, and the text without marks if that is another one."""
+    return _bound(base, lambda b: _bound(strip_marks(b), lambda f: F.when(b == f, F.array(b)).otherwise(F.array(b, f))))
+
+
+def _first_spellings(every: Column) -> Column:
+    """The items that no earlier one equals but for case. Each is lowered once."""
+    both = lambda e: F.struct(e.alias("v"), F.transform(e, lambda v: F.lower(v)).alias("low"))
+    kept = lambda x: F.filter(x["v"], lambda v, i: F.array_position(x["low"], F.get(x["low"], i)) == i + 1)
+    return _bound(every, lambda e: _bound(both(e), kept))
 
 
 def manual_search_hint(name: Column, n: int = 3) -> Column:
     base = clean_spaces(F.regexp_replace(name, r"\s*\([^)]*\)\s*", " "))
-    folded = strip_marks(base)
-    every = F.array(*[v for b in (base, folded) for v in (b, F.concat(b, F.lit(" FC")), F.concat(b, F.lit(" football club")))])
-    lowered = F.transform(every, lambda v: F.lower(v))
-    kept = F.filter(every, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.array_join(F.slice(kept, 1, n), " | ")
+    forms = lambda b: F.array(b, F.concat(b, F.lit(" FC")), F.concat(b, F.lit(" football club")))
+    return F.array_join(F.slice(_first_spellings(F.flatten(F.transform(_with_folded(base), forms))), 1, n), " | ")
 
 
 def split_list(c: Column, sep: str = "|") -> Column:

@@ -207,3 +207,16 @@ def test_link_by_keys(spark):
     ros = spark.createDataFrame([("N", "Ali Khan", "p1", 1), ("N", "Ali Khan", "p0", 2), ("N", "Jo Muller Lud", "p2", 3), ("N", "John Smyth", "p3", 4)], "blk string, rn string, pid string, o int")
     got = {r.nm: (r.pid, r.link_method) for r in reconcile.link_by_keys(rows, ros, "blk", "nm", "rn", "pid", "o").collect()}
     assert got == {"KHAN Ali": ("p1", "exact"), "Müller-Lüd Jo": ("p2", "exact"), "Jon Smyth": ("p3", "fuzzy"), "Who Else": (None, "unmatched")}
+
+
+def test_variants_of_names_are_worked_out_once(spark):
+    from rosterlab.functions import text
+
+    expr = text.query_variants(F.col("id").cast("string"))._jc.toString()
+    assert expr.count("football club|soccer club") == 1  # the pattern that strips legal forms stood there once per use of its result
+    rows = spark.createDataFrame([("  Ça  F.C. ",), ("\ufb01n \u00bd \ud55c\uae00 \u00df",), (None,)], "n string")
+    got = [r.v for r in rows.select(text.query_variants(F.col("n")).alias("v")).collect()]
+    assert got[0] == ["Ça F.C", "Ça F.C. football club", "Ça F.C. soccer club", "Ça", "Ça football club", "Ca F.C", "Ca F.C. football club", "Ca F.C. soccer club"]
+    assert got[2] == []
+    plain = [r.v for r in rows.select(text.strip_marks(F.col("n")).alias("v")).collect()]
+    assert plain[1] == "fin 1\u20442 \u1112\u1161\u11ab\u1100\u1173\u11af \u00df"
