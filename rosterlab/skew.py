@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .session import cut_lineage
 
 PART_BYTES = 128 << 20  # of a range, as the plan estimates it
+UNPACKED = 8  # times the bytes of a table that its rows may take
 UNKNOWN_BYTES = 1 << 60
 
 
@@ -42,9 +43,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
 
 
 def range_parts(df: DataFrame) -> int:
-    """Partitions for a range partitioning: the session's number, or more where the plan's size asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = -(-size // PART_BYTES) if size < UNKNOWN_BYTES else 0  # a plan without statistics claims to be endless
+    """Partitions for a range partitioning: the session's number, or more where the tables read ask for it.
+
+    The plan's own estimate multiplies the sizes of what it joins, so it is taken only up to ``UNPACKED`` times the size of the tables below it.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = lambda node: int(str(node.stats().sizeInBytes()))
+    leaves, read = plan.collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        read += size(leaves.next())
+    expected = min(size(plan), UNPACKED * read)
+    wanted = -(-expected // PART_BYTES) if read < UNKNOWN_BYTES else 0  # a table without statistics claims to be endless
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 

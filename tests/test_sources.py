@@ -168,3 +168,12 @@ def test_folding_of_every_character(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([*every, *words])], "i int, s string").repartition(8)
     bad = [(r.s, r.f) for r in df.select("s", text.strip_marks(F.col("s")).alias("f")).collect() if r.f != plain(r.s)]
     assert not bad, bad[:10]
+
+
+def test_range_parts_follow_the_tables_read(spark):
+    from rosterlab.plans.tables import sectioned_lines
+    from rosterlab.skew import range_parts
+    from rosterlab.sources.adapters import Tables
+
+    # the plan's estimate multiplies the sizes of the joined tables: it asked for hundreds of ranges for 15,000 lines
+    assert range_parts(sectioned_lines(Tables(spark, "/root/testdata/sf0.1"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
