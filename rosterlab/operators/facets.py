@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, fold, fold_text
-from ..skew import first_per_key
+from ..skew import first_per_key, range_parts
 from .joins import active_people, keyed
 
 
@@ -63,6 +63,9 @@ def cascading_options(clubs: DataFrame, links: DataFrame, f: Facets, selected: D
     return by_team.select(F.lit("team").alias("facet"), F.col("team").alias("option")).unionByName(own).distinct().orderBy("facet", F.collate("option", "UNICODE"))
 
 
+LABEL_LETTERS = 24  # about as many grams come from a label
+
+
 def fuzzy_distance(text: Column, query: Column, most: int) -> Column:
     """Smallest edit distance between the query and any window of its length in the text; NULL beyond ``most``.
 
@@ -79,11 +82,12 @@ def gram_table(df: DataFrame, key: str, label: str) -> DataFrame:
 
     In ranges of grams and sorted, so that a search reads the parts of the file that hold its grams.
     """
-    folded = fold(F.col(label), "spaced_lower")
-    each = df.select(F.col(key).alias("id"), F.col(label).alias("label"), folded.alias("_f")).filter(F.length("_f") > 1)
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("_f") - 1), lambda i: F.substring("_f", i, F.lit(2))))
-    counted = each.select(grams.alias("gram"), "id", "label").groupBy("gram", "id", "label").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return counted.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    each = df.select(F.col(key).alias("id"), F.col(label).alias("label")).distinct().withColumn("_f", fold(F.col("label"), "spaced_lower")).filter(F.length("_f") > 1)
+    each = each.withColumn("_g", F.transform(F.sequence(F.lit(1), F.length("_f") - 1), lambda i: F.substring("_f", i, F.lit(2))))
+    # a label's grams are counted in its own row, so what a task holds is labels and not their grams
+    times = F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("gram"), F.size(F.filter("_g", lambda x: x == g)).alias("n")))
+    counted = each.select("id", "label", F.explode(times).alias("_t")).select("_t.gram", "id", "label", "_t.n")
+    return counted.repartitionByRange(range_parts(counted, LABEL_LETTERS), "gram", "id").sortWithinPartitions("gram", "id")
 
 
 def near_by_grams(grams: DataFrame, query: str, most: int) -> DataFrame | None:

@@ -42,8 +42,8 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def range_parts(df: DataFrame) -> int:
-    """Partitions for a range partitioning: the session's number, or more where the tables read ask for it.
+def range_parts(df: DataFrame, rows: int = 1) -> int:
+    """Partitions for a range partitioning: the session's number, or more where the tables read ask for it. ``rows``: how many each row makes, where the plan cannot know.
 
     The plan's own estimate multiplies the sizes of what it joins, so it is taken only up to ``UNPACKED`` times the size of the tables below it.
     """
@@ -52,7 +52,7 @@ def range_parts(df: DataFrame) -> int:
     leaves, read = plan.collectLeaves().iterator(), 0
     while leaves.hasNext():
         read += size(leaves.next())
-    expected = min(size(plan), UNPACKED * read)
+    expected = rows * min(size(plan), UNPACKED * read)
     wanted = -(-expected // PART_BYTES) if read < UNKNOWN_BYTES else 0  # a table without statistics claims to be endless
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 

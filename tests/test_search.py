@@ -55,3 +55,8 @@ def test_the_fuzzy_layer_reads_no_labels(spark, tables, tmp_path):
     fuzzy = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("levenshtein")
     assert fuzzy(index) and index.collect() == scan.collect()
     assert "PushedFilters: [In(gram" in index._jdf.queryExecution().explainString(index.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_repeated_row_adds_no_grams(spark):
+    clubs = spark.createDataFrame([("c1", "aaab"), ("c1", "aaab"), ("c2", "a")], "club_id string, club_name string")
+    assert sorted(tuple(r) for r in gram_table(clubs, "club_id", "club_name").collect()) == [("aa", "c1", "aaab", 2), ("ab", "c1", "aaab", 1)]
