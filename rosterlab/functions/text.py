@@ -77,7 +77,7 @@ def blank_to_null(c: Column) -> Column:
 
 def _spelled_out(c: Column) -> Column:
     """Letters that decompose to several as these; others stay. Only texts that hold one are taken apart, and each of their letters is looked at once."""
-    many, spelled = "".join(ONE_TO_MANY), F.array(*[F.lit(x) for x in ONE_TO_MANY.values()])
+    many, spelled = "".join(ONE_TO_MANY), F.split(F.lit("\x01".join(ONE_TO_MANY.values())), "\x01")  # one constant: a literal for each would take the driver long
 
     def letter(ch: Column) -> Column:
         n, place = F.ascii(ch) - HANGUL, F.call_function("locate", ch, F.lit(many))

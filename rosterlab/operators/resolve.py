@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.match import rule_reasons, rule_score, similarity
 from ..functions.num import haversine_km, year_plausibility
 from ..functions.text import fold, manual_search_hint, norm_key, strip_org_suffixes, tokens
+from ..session import cut_lineage
 from ..skew import first_per_key, number_rows, top_per_key
 
 Rule = tuple[Column, int, str]
@@ -34,20 +35,30 @@ SCORE_PENALTY_HINTS = [
 FEATURE_WEIGHTS = {"PPLC": 12, "PPLA": 10, "PPLA2": 9, "PPLA3": 8, "PPLA4": 7, "PPL": 6, "PPLX": 3}
 
 
+def _normal_forms(df: DataFrame, columns: Sequence[str], form: Callable[[Column], Column], normal: Mapping[str, str] | None) -> tuple[DataFrame, list[Column], list[str]]:
+    """The rows, the normal form of each text column, and the columns added for it.
+
+    ``normal`` names the columns that hold a form already, so that a text is folded once on its own table and not in every pair. The others become columns here,
+    so each is computed once however many rules read it.
+    """
+    normal = normal or {}
+    added = {c: f"_n{i}" for i, c in enumerate(columns) if c not in normal}
+    df = df.withColumns({n: form(F.col(c)) for c, n in added.items()})
+    return df, [F.col(normal[c] if c in normal else added[c]) for c in columns], list(added.values())
+
+
 def score_rules(df: DataFrame, rules: Sequence[Rule], score: str = "match_score", reasons: str = "match_reasons") -> DataFrame:
     return df.withColumn(score, rule_score(rules)).withColumn(reasons, rule_reasons(rules))
 
 
 def score_person(df: DataFrame, name: str, label: str, match_text: str, description: str, occupations: str, sports: str, citizenships: str,
-                 teams: str, context: Column, positions: str, position_words: Column, dob: str, pob: str, image: str) -> DataFrame:
+                 teams: str, context: Column, positions: str, position_words: Column, dob: str, pob: str, image: str,
+                 normal: Mapping[str, str] | None = None) -> DataFrame:
     """Person candidates under the published weights; ``context`` and ``position_words`` are arrays of
-    normalized words that count as the right country or role.
-
-    The normal forms are columns of their own, so each is computed once however many rules read it.
+    normalized words that count as the right country or role. ``normal`` {text column: column of its ``norm_key``} spares the folding.
     """
     texts = [name, label, match_text, description, occupations, sports, citizenships, teams, positions]
-    df = df.withColumns({f"_n{i}": norm_key(F.col(c)) for i, c in enumerate(texts)})
-    n, lab, mt, desc, occ, sport, cit, team, pos = (F.col(f"_n{i}") for i in range(len(texts)))
+    df, (n, lab, mt, desc, occ, sport, cit, team, pos), added = _normal_forms(df, texts, norm_key, normal)
     has = n != ""
     exact, search = has & (lab == n), has & (mt == n)
     partial = has & (F.contains(lab, n) | F.contains(n, lab))
@@ -67,7 +78,7 @@ def score_person(df: DataFrame, name: str, label: str, match_text: str, descript
         (_present(pob), 5, "has_place_of_birth"),
         (_present(image), 3, "has_image"),
     ]
-    return score_rules(df, rules).drop(*[f"_n{i}" for i in range(len(texts))])
+    return score_rules(df, rules).drop(*added)
 
 
 def _present(c: str) -> Column:
@@ -118,18 +129,24 @@ def prefer_detail_row(details: DataFrame, key: str, preferences: Sequence[Column
     return first_per_key(details, [key], [*[F.when(p, 0).otherwise(1) for p in preferences], F.col(tie)])
 
 
+def score_form(c: Column, version: int = 2) -> Column:
+    """The normal form that ``score_name_similarity`` compares."""
+    return strip_org_suffixes(c, "first_scorer" if version == 1 else "scorer")
+
+
 def score_name_similarity(df: DataFrame, name: str, name_ascii: str, label: str, search_label: str, description: str, instance_of: str,
                           stadium: str, stadium_lat: str, stadium_lon: str, club_lat: str, club_lon: str, page: str, rank: str,
-                          version: int = 2, out: str = "candidate_score") -> DataFrame:
-    """Club candidate score, 0 to 100. Version 1 has fewer signals and other weights."""
-    form = "first_scorer" if version == 1 else "scorer"
-    df = df.withColumns({f"_n{i}": strip_org_suffixes(F.col(c), form) for i, c in enumerate((name, name_ascii, label, search_label))})
-    names, lab, slab = [F.col("_n0"), F.col("_n1")], F.col("_n2"), F.col("_n3")
+                          version: int = 2, out: str = "candidate_score", normal: Mapping[str, str] | None = None) -> DataFrame:
+    """Club candidate score, 0 to 100. Version 1 has fewer signals and other weights. ``normal`` {text column: column of its ``score_form``} spares the folding."""
+    texts = list(dict.fromkeys((name, name_ascii, label, search_label)))
+    df, forms, added = _normal_forms(df, texts, lambda c: score_form(c, version), normal)
+    of = dict(zip(texts, forms))
+    names, lab, slab = [of[c] for c in dict.fromkeys((name, name_ascii))], of[label], of[search_label]
     sim = lambda a, b: F.when((a != "") & (b != ""), similarity(a, b)).otherwise(0.0)
     labels = [lab, slab] if version == 2 else [lab]
     df = df.withColumn("_best", F.greatest(*[sim(n, x) for n in names for x in labels], F.lit(0.0)))
     best = F.col("_best")
-    is_name = lambda x: (x != "") & ((x == names[0]) | (x == names[1]))
+    is_name = lambda x: (x != "") & reduce(lambda a, b: a | b, [x == n for n in names])
     desc = F.lower(F.concat_ws(" ", description)) if version == 1 else F.lower(F.concat_ws(" ", description, search_label))
     inst = F.lower(F.coalesce(F.col(instance_of), F.lit("")))
     has = lambda hay, words: reduce(lambda a, b: a | b, [F.contains(hay, F.lit(w)) for w in words])
@@ -150,7 +167,7 @@ def score_name_similarity(df: DataFrame, name: str, name_ascii: str, label: str,
         wrong = has(everything, SCORE_PENALTY_HINTS) & ~has(everything, ["football", "soccer"])
         score = score - F.when(wrong, 20).otherwise(0) + F.greatest(F.lit(0), 8 - F.coalesce(F.col(rank), F.lit(99)))
     scored = df.withColumn(out, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
-    return scored.drop("_n0", "_n1", "_n2", "_n3", "_best")
+    return scored.drop("_best", *added)
 
 
 def classify_candidates(entities: DataFrame, candidates: DataFrame, searches: DataFrame, key: str, candidate: str, version: int = 2) -> DataFrame:
@@ -160,7 +177,7 @@ def classify_candidates(entities: DataFrame, candidates: DataFrame, searches: Da
     row per query with search_status (``ok…``, ``candidate``, ``api_request_failed``).
     """
     order = [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)]
-    best = best_and_second(candidates, key, order, {"second_score": "candidate_score"})
+    best = best_and_second(candidates, key, order, {"second_candidate": candidate, "second_score": "candidate_score"})
     log = searches.groupBy(key).agg(
         F.count_if(F.col("search_status") == "api_request_failed").alias("_failed"),
         F.count_if(F.col("search_status").startswith("ok")).alias("_ok"),
@@ -201,10 +218,9 @@ def classify_candidates(entities: DataFrame, candidates: DataFrame, searches: Da
 
 
 def score_geo_candidate(df: DataFrame, place: str, names: Sequence[str], feature: str, population: str, lat: str, lon: str,
-                        center_lat: str, center_lon: str) -> DataFrame:
-    """Place candidate score from name, class, population and distance to a trusted center."""
-    df = df.withColumns({f"_n{i}": fold(F.col(c), "place") for i, c in enumerate((place, *names))})
-    target, *cand = (F.col(f"_n{i}") for i in range(len(names) + 1))
+                        center_lat: str, center_lon: str, normal: Mapping[str, str] | None = None) -> DataFrame:
+    """Place candidate score from name, class, population and distance to a trusted center. ``normal`` {text column: column of its "place" folding} spares the folding."""
+    df, (target, *cand), added = _normal_forms(df, (place, *names), lambda c: fold(c, "place"), normal)
     exact = reduce(lambda a, b: a | b, [(c != "") & (c == target) for c in cand])
     partial = reduce(lambda a, b: a | b, [(c != "") & (F.contains(c, target) | F.contains(target, c)) for c in cand])
     weights = F.create_map(*[F.lit(x) for kv in FEATURE_WEIGHTS.items() for x in kv])
@@ -219,7 +235,7 @@ def score_geo_candidate(df: DataFrame, place: str, names: Sequence[str], feature
         + F.when(pop > 0, F.least(F.lit(18.0), F.log10(pop + 1) * 3)).otherwise(0.0)
         + near
     )
-    return df.withColumn("geo_score", score).drop(*[f"_n{i}" for i in range(len(names) + 1)])
+    return df.withColumn("geo_score", score).drop(*added)
 
 
 def choose_geo_candidate(scored: DataFrame, key: str, candidate: str, mode: str = "query_mode", exact_mode: str = "name_equals") -> DataFrame:
@@ -299,9 +315,13 @@ TRIAGE_REASONS = {
 
 
 def identity_review(validated: DataFrame, order: Sequence[str] = ("severity",)) -> DataFrame:
-    """The rows that need a look, high and medium, with what to do about them."""
+    """The rows that need a look, high and medium, with what to do about them.
+
+    ``validated`` is written once: a filter on the severity would move below the columns it rests on and work each of them out many times, and the order once more.
+    ``order`` should go on to a key, because the two severities alone make two tasks.
+    """
     action = "Compare with the roster source, club, date of birth and national team."
-    return validated.filter(F.col("severity").isin("high", "medium")).withColumn("suggested_action", F.lit(action)).orderBy(*order)
+    return cut_lineage(validated).filter(F.col("severity").isin("high", "medium")).withColumn("suggested_action", F.lit(action)).orderBy(*order)
 
 
 def identity_summary(validated: DataFrame) -> DataFrame:
@@ -310,18 +330,28 @@ def identity_summary(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count(F.lit(1)).alias("total"), n("high").alias("high_review_items"), n("medium").alias("medium_review_items"), n("low").alias("low_warnings"), n("ok").alias("ok"))
 
 
+def spellings(c: Column) -> Column:
+    """The normal forms of a pipe list of names, blank ones left out."""
+    return F.filter(F.transform(F.split(c, r"\|"), norm_key), lambda x: x != "")
+
+
 def validate_identity(df: DataFrame, name: str, label: str, aliases: str, description: str, citizenships: str, teams: str, club: str,
-                      local_dob: str, other_dob: str, context: Column, domain: Sequence[str], lo: int = 1900, hi: int = 2010, spot: int = 1986) -> DataFrame:
-    """Points, flags and severity for an already linked identity. ``aliases`` is a pipe list."""
-    df = df.withColumns({f"_n{i}": norm_key(F.col(c)) for i, c in enumerate((name, description, citizenships, teams, club))})
-    n, about, cit, history, club_norm = (F.col(f"_n{i}") for i in range(5))
-    spellings = F.filter(F.transform(F.split(F.concat_ws("|", F.col(label), F.col(aliases)), r"\|"), norm_key), lambda x: x != "")
-    sim = F.when(n != "", F.coalesce(F.array_max(F.transform(spellings, lambda x: similarity(n, x))), F.lit(0.0))).otherwise(0.0)
+                      local_dob: str, other_dob: str, context: Column, domain: Sequence[str], lo: int = 1900, hi: int = 2010, spot: int = 1986,
+                      normal: Mapping[str, str] | None = None) -> DataFrame:
+    """Points, flags and severity for an already linked identity. ``aliases`` is a pipe list.
+
+    ``normal`` {text column: column of its ``norm_key``} spares the folding; for ``label`` it names the ``spellings`` of label and aliases together.
+    """
+    normal = dict(normal or {})
+    spelled = F.col(normal.pop(label)) if label in normal else spellings(F.concat_ws("|", F.col(label), F.col(aliases)))
+    df, (n, about, cit, history, club_norm), added = _normal_forms(df, (name, description, citizenships, teams, club), norm_key, normal)
+    sim = F.when(n != "", F.coalesce(F.array_max(F.transform(spelled, lambda x: similarity(n, x))), F.lit(0.0))).otherwise(0.0)
     any_in = lambda hay, words: F.exists(words, lambda w: (w != "") & F.contains(hay, w))
     ok_domain = reduce(lambda x, y: x | y, [F.contains(about, norm_key(F.lit(w))) for w in domain])
     ok_context = any_in(cit, context) | any_in(history, context)
     ok_club = (club_norm != "") & F.contains(history, club_norm)
     a, b = F.col(local_dob), F.col(other_dob)
+
     df = df.withColumn("name_similarity", sim)
     s = F.col("name_similarity")
     score = (
@@ -342,7 +372,7 @@ def validate_identity(df: DataFrame, name: str, label: str, aliases: str, descri
         F.when(has("dob_year_implausible", "dob_mismatch", "domain_not_clear"), "high").when(has("name_similarity_low", "context_not_found"), "medium")
         .when(has("club_not_in_history_soft_warning", f"birth_year_before_{spot}_spot_check"), "low").otherwise("ok")
     )
-    return df.withColumn("severity", severity).withColumn("flags", F.array_join("_flags", "|")).drop("_flags", *[f"_n{i}" for i in range(5)])
+    return df.withColumn("severity", severity).withColumn("flags", F.array_join("_flags", "|")).drop("_flags", *added)
 
 
 def date_confirmed_match(rows: DataFrame, candidates: DataFrame, key: str, date: str, candidate: str, candidate_date: str, rank: str) -> DataFrame:
@@ -358,19 +388,24 @@ def date_confirmed_match(rows: DataFrame, candidates: DataFrame, key: str, date:
     return out.withColumn("match_reason", reason).drop("_any")
 
 
-def triage(review: DataFrame, candidates: DataFrame, key: str, candidate: str, name: str, label: str, text: Sequence[str]) -> DataFrame:
+def triage(review: DataFrame, candidates: DataFrame | None, key: str, candidate: str, name: str, label: str, text: Sequence[str]) -> DataFrame:
     """Bucket, reason, priority, search hint and flags of each row under review, with the runner-up and the gap to it.
 
-    ``review`` has match_status, candidate_score, search_rank, player_count.
+    ``review`` has match_status, candidate_score, search_rank, player_count. Where it has the runner-up as well, as rows of ``classify_candidates`` do,
+    ``candidates`` may be None, and no candidate is scored again.
     """
-    order = [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)]
-    two = best_and_second(candidates.select(key, candidate, "candidate_score", "search_rank"), key, order, {"second_candidate": candidate, "second_score": "candidate_score"})
-    two = two.select(key, F.col("candidate_score").alias("_top"), "second_candidate", "second_score")
+    if candidates is None:
+        review = review.withColumn("_top", F.col("candidate_score"))
+    else:
+        order = [F.desc("candidate_score"), F.asc("search_rank"), F.asc(candidate)]
+        two = best_and_second(candidates.select(key, candidate, "candidate_score", "search_rank"), key, order, {"second_candidate": candidate, "second_score": "candidate_score"})
+        two = two.select(key, F.col("candidate_score").alias("_top"), "second_candidate", "second_score")
+        review = review.drop("second_candidate", "second_score").join(two, key, "left")
     review = review.withColumns({"_text": F.lower(F.concat_ws(" ", *text)), "_n": strip_org_suffixes(F.col(name), "triage"), "_lab": strip_org_suffixes(F.col(label), "triage")})
     all_text, n, lab = F.col("_text"), F.col("_n"), F.col("_lab")
     has = lambda words: reduce(lambda a, b: a | b, [F.contains(all_text, F.lit(w)) for w in words])
     wrong_sport = has(WRONG_SPORT_HINTS)
-    df = review.join(two, key, "left").withColumns({
+    df = review.withColumns({
         "exact_name_match": (n != "") & (n == lab),
         "name_token_count": F.size(tokens(n)),
         "women_entity": F.contains(all_text, F.lit("women")),
