@@ -566,3 +566,17 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(out)
         docs = spark.read.parquet(out)
         assert docs.count() == 0
+
+
+def test_a_kind_does_not_hang_on_the_order_of_words():
+    import numpy as np
+
+    from rosterlab.llm.context_mixing import FEATURES, KINDS, Kinds
+
+    rng = np.random.default_rng(1)
+    kinds = Kinds(rng.integers(0, 9, (KINDS, FEATURES)).astype(float))
+    assert (kinds.logs == np.round(kinds.logs)).all()  # sums are exact
+    for n in (0, 1, 7, 70_000):
+        at = rng.integers(0, FEATURES, n)
+        each, times = np.unique(at, return_counts=True)
+        assert kinds.of(at) == kinds.of(at[::-1]) == kinds.of(each, times.astype(float)) == int(kinds.logs[at].sum(0).argmax())
