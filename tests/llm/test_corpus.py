@@ -580,3 +580,47 @@ def test_a_kind_does_not_hang_on_the_order_of_words():
         at = rng.integers(0, FEATURES, n)
         each, times = np.unique(at, return_counts=True)
         assert kinds.of(at) == kinds.of(at[::-1]) == kinds.of(each, times.astype(float)) == int(kinds.logs[at].sum(0).argmax())
+
+
+def test_words_are_told_apart_once_for_many_texts(monkeypatch):
+    import pyarrow as pa
+
+    from rosterlab.llm import context_mixing as cm
+
+    rng = random.Random(9)
+    texts = ["", " ", "  a  A\x0bb\x1c ", "x" * 300, "\n\n", "a", "é É z", *[prose(rng, 60) for _ in range(30)], "\x00 \x00\x00 b\x00", "a\n", "", " "]
+    batch = pa.record_batch({"d": pa.array(range(len(texts))), "th": pa.array(range(len(texts))), "t": pa.array(texts), "train": pa.array([i % 4 > 0 for i in range(len(texts))])})
+    tokens = [cm.tokens_of(t.encode()) for t in texts]
+    for most in (1, 100, 1 << 20):
+        got = []
+        for first, each, which, begin in cm.spans_of(batch, most):
+            words = cm.listed(each)
+            assert first == len(got) and len(set(words)) == len(words)
+            got += [[words[i] for i in which[a:b]] for a, b in zip(begin, begin[1:])]
+        assert got == tokens
+
+    calls, plain = [], cm.hashed
+    monkeypatch.setattr(cm, "hashed", lambda words: calls.append(len(words)) or plain(words))
+    kinds = cm.Kinds(np.random.default_rng(1).integers(0, 9, (cm.KINDS, cm.FEATURES)).astype(float))
+    found = Counter()
+    for out in cm._gather(iter([batch]), kinds):
+        found.update({(k, t): c for k, t, c in zip(*(out.column(x).to_pylist() for x in ("kind", "token", "c")))})
+    want = Counter()
+    for i, words in enumerate(tokens):
+        for w in [*words, b"\n"]:
+            want[kinds.of(plain(words)), w] += int(i % 4 > 0)
+    assert dict(found) == dict(want)
+    assert sum(calls) <= len({w for words in tokens for w in words}) < sum(map(len, tokens))  # no word is hashed for each of its texts
+
+    keys = sorted(found)[::2]
+    base = cm.Base([bytes([k]) + w for k, w in keys], [found[x] for x in keys], [0.1 * (i + 1) for i in range(len(keys))], 1000, 300)
+    rows = [{x: pa.array(v).to_pylist() for x, v in out.items()} for out in cm._scored(batch, base, kinds)]
+    rows = [dict(zip(out, row)) for out in rows for row in zip(*out.values())]
+    assert [r["d"] for r in rows] == list(range(len(texts)))  # one row a text
+    for i, (r, words) in enumerate(zip(rows, tokens)):
+        kind, held = kinds.of(plain(words)), Counter([*words, b"\n"])
+        rare = {w: c for w, c in held.items() if (kind, w) not in keys}
+        assert r["n_tokens"] == len(words) + 1 and r["n_known"] == sum(c for w, c in held.items() if w not in rare and found[kind, w])
+        assert dict(zip(r["h"], r["m"])) == {int(cm.hash_of([w])[0] ^ cm._SALT[kind]): c for w, c in rare.items()}
+        alone = next(iter(cm._scored(batch.slice(i, 1), base, kinds)))
+        assert (alone["base"][0], alone["bits"][0]) == (r["base"], r["bits"])  # whatever else stands in the batch
