@@ -9,17 +9,25 @@ as names grow in number, keys get longer, and the pairs that meet do not grow wi
 *Grams*, beyond: d edits leave at least one of the d*q+1 globally rarest q-letter stretches of each name in both of them, so only these are keys. Pairs that share several
 meet as hashes and are made distinct before their names join them.
 
+*Tiles*, instead of grams where the threshold leaves stretches of at most three letters, which nearly all names share: the names of a block are dealt into tiles, and every pair of
+tiles is a group. Inside it each name is held against all others of a fit length at once, by the letters they have in common in order, 64 of them in a machine word. Nothing
+but the names is shuffled, and only pairs with enough letters in common come out.
+
 Pairs that meet are checked by edit distance, stopped at its bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from math import floor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.match import bag, block_ratio, similarity, token_overlap
 from ..functions.text import tokens
@@ -28,6 +36,11 @@ from ..skew import cut_lineage, top_per_key
 MOST_EDITS = 8  # up to here pieces are keys
 MOST_TOGETHER = {1: 8, 2: 8, 3: 6}  # k to the most edits for which k pieces are worth their places
 PAIR_COST = 4.0  # of a pair that meets, in keys
+DENSE = {"edit": 0.75, "blocks": 0.875}  # up to this threshold the stretches of a pair with many edits have at most three letters
+TILE, MOST_TILE, TILES = 8192, 65536, 32  # words of 64 letters in a tile: least and most, between which a block has so many tiles of names of one size
+SLICES = 4  # of a tile, each of which meets the other tiles on its own
+TOGETHER, ROOM = 8192, 1 << 23  # names that one is held against at once, and words that tell where their letters stand
+TASK = 1 << 24  # pairs of words in a task
 
 
 @lru_cache
@@ -78,6 +91,18 @@ class Bound:
         return F.greatest(F.lit(1), F.ceil(m * F.lit(t if self.measure == "edit" else t / (2 - t)) - F.lit(1e-9)).cast("int"))
 
 
+    def common(self, n: np.ndarray, m: int) -> np.ndarray:
+        """Letters that names of these lengths must have in common, in order, to be similar; more than they have where they cannot be, or where few enough edits part them for pieces."""
+        t, shorter, longer = self.threshold, np.minimum(n, m), np.maximum(n, m)
+        if self.measure == "edit":
+            edits = np.floor(longer * (1 - t) + 1e-9)
+            least = longer - edits
+        else:
+            edits = np.floor((shorter + longer) * (1 - t) + 1e-9)
+            least = np.ceil((t - 1e-9) * (shorter + longer) / 2 - 1e-9)
+        return np.where((edits > MOST_EDITS) & (least <= shorter), least, shorter + 1).astype(np.int64)
+
+
 class Joiner:
     """The join keys for names whose number, longest length and letter collisions are known; the same on both sides."""
 
@@ -162,6 +187,123 @@ class Joiner:
         return ranked.select(*block, F.struct("n", "h").alias(name), F.explode(keys).alias("_key"))
 
 
+def _letters(names: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+
+
+def in_common(names: list[str], others: list[str], bound: Bound, one: bool) -> Iterator[tuple[np.ndarray, int]]:
+    """(names, other): which ``names`` have as many letters in common, in order, with one of ``others`` as ``bound`` asks for. Names stand in order of length, then text; ``one``: only those before the other.
+
+    A bit for each letter of a name is 0 once the letter belongs to the longest common sequence with the other name so far; a sum carries it on, all letters and names at once.
+    """
+    width, alphabet = -(-len(names[-1]) // 64), np.unique(_letters(names))
+    step = max(1, min(TOGETHER, ROOM // (len(alphabet) * width)))
+    coded = []
+    for other in others:
+        own = _letters([other])
+        at = np.minimum(np.searchsorted(alphabet, own), len(alphabet) - 1)
+        coded.append(at[alphabet[at] == own].tolist())  # other letters are in no name
+    for first in range(0, len(names), step):
+        some = names[first: first + step]
+        n = np.array([len(x) for x in some])
+        who, place = np.repeat(np.arange(len(some)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        held = np.zeros((len(alphabet), width, len(some)), np.uint64)
+        cell = (np.searchsorted(alphabet, _letters(some)) * width + place // 64) * len(some) + who
+        np.bitwise_or.at(held.reshape(-1), cell, np.uint64(1) << (place % 64).astype(np.uint64))
+        fit: dict[int, tuple[int, int, np.ndarray]] = {}
+        for i, (other, letters) in enumerate(zip(others, coded)):
+            m = len(other)
+            if m not in fit:
+                least = bound.common(n, m)
+                good = np.flatnonzero(least <= np.minimum(n, m))
+                fit[m] = (int(good[0]), int(good[-1]) + 1, least) if len(good) else (0, 0, least)
+            a, b, least = fit[m]
+            if one:
+                b = min(b, bisect_left(some, (m, other), key=lambda x: (len(x), x)))
+            if a < b:
+                hits = np.flatnonzero(_longest(held, letters, a, b) >= least[a:b])
+                if len(hits):
+                    yield first + a + hits, i
+
+
+def _longest(held: np.ndarray, letters: list[int], a: int, b: int) -> np.ndarray:
+    """Length of the longest common sequence of ``letters`` and each of the names a to b."""
+    width = held.shape[1]
+    left, met, moved = np.full((width, b - a), ~np.uint64(0)), np.empty(b - a, np.uint64), np.empty(b - a, np.uint64)
+    both, add, less, either = np.bitwise_and, np.add, np.subtract, np.bitwise_or
+    if width == 1:
+        rows, v = list(held[:, 0, a:b]), left[0]
+        for c in letters:
+            both(v, rows[c], met)
+            add(v, met, moved)
+            less(v, met, v)
+            either(v, moved, v)
+    else:
+        for c in letters:
+            carry = None
+            for v, row in zip(left, held[c, :, a:b]):
+                both(v, row, met)
+                add(v, met, moved)
+                over = moved < v
+                if carry is not None:
+                    add(moved, carry, moved)
+                    over |= moved < carry
+                less(v, met, v)
+                either(v, moved, v)
+                carry = over.astype(np.uint64)
+    return 64 * width - np.bitwise_count(left).sum(0, dtype=np.int64)
+
+
+def tiled(names: DataFrame, block: Sequence[str], a: str, b: str, j: Joiner, one: bool) -> DataFrame:
+    """(block, a, b): pairs of ``names`` (block, _t, _side) with more than ``MOST_EDITS`` edits that may be similar; of the two sides, or with ``one`` each unordered pair once.
+
+    Names are dealt by hash, those of up to 64, 128, ... letters apart; the shorter kind of a group waits, and a slice of a tile of the other is held against it.
+    """
+    bound, schema = j.bound, StructType([*(names.schema[c] for c in block), StructField(a, StringType()), StructField(b, StringType())])
+    arrow = to_arrow_schema(schema)
+    n = F.length("_t")
+    names = names.dropna(subset=[*block, "_t"]).filter(bound.edits(n, F.greatest(n, F.least(bound.longest(n), F.lit(j.longest)))) > MOST_EDITS).withColumn("_w", F.ceil(n / 64).cast("int"))
+    size = F.least(F.lit(MOST_TILE), F.greatest(F.lit(TILE), F.ceil(F.col("_n") * F.col("_w") / TILES)))
+    sizes = cut_lineage(names.groupBy(*block, "_side", "_w").agg(F.count(F.lit(1)).alias("_n")).withColumn("_tiles", F.ceil(F.col("_n") * F.col("_w") / size).cast("int")))
+    wait, come = (sizes.select(*block, *[F.col(c).alias(c + s) for c in ("_side", "_w", "_n", "_tiles")]) for s in "pq")
+    sides = F.lit(True) if one else (F.col("_sidep") != F.col("_sideq")) & ((F.col("_wp") < F.col("_wq")) | (F.col("_sidep") == 0))
+    near = (F.col("_wp") <= F.col("_wq")) & (64 * (F.col("_wq") - 1) + 1 <= bound.longest(64 * F.col("_wp")))
+    pairs = (wait.join(come, list(block)) if block else wait.crossJoin(come)).filter(sides & near).withColumn("_slices", F.col("_tilesq") * SLICES)
+    words = F.col("_np") * F.col("_wp") * F.col("_nq") * F.col("_wq")
+    groups, work = pairs.agg(F.coalesce(F.sum(F.col("_tilesp") * F.col("_slices")), F.lit(0)), F.coalesce(F.sum(words.cast("double")), F.lit(0.0))).first()
+    key = [*block, "_sidep", "_wp", "_wq", "_u", "_c"]
+    # with one side, two tiles meet once, and a tile meets itself, where each name takes only those before it
+    place = F.col("_c") % F.col("_tilesp") - F.col("_u")
+    once, own = ((place >= 0) | (F.col("_wp") < F.col("_wq")), (place == 0) & (F.col("_wp") == F.col("_wq"))) if one else (F.lit(True), F.lit(False))
+    h, up_to = F.xxhash64("_t"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+
+    def dealt(s: str, u: Column, c: Column) -> DataFrame:
+        some = names.withColumnsRenamed({"_side": f"_side{s}", "_w": f"_w{s}"}).join(pairs, [*block, f"_side{s}", f"_w{s}"])
+        return some.withColumn("_u", u).withColumn("_c", c).filter(once).select(*key, "_t", F.lit(s == "p").alias("_waits"), own.alias("_own"))
+
+    every = dealt("p", F.pmod(h, F.col("_tilesp")), up_to("_slices")).unionByName(dealt("q", up_to("_tilesp"), F.pmod(h, F.col("_slices"))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        texts = table.column("_t").combine_chunks()
+        read = [x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()]
+        waits = table.column("_waits").to_pylist()
+        order = sorted(range(len(read)), key=lambda i: (len(read[i]), read[i]))
+        held, other = [i for i in order if waits[i]], [i for i in order if not waits[i]]
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if held and other:
+            place, row = np.array(held), np.array(other)
+            for found, i in in_common([read[i] for i in held], [read[i] for i in other], bound, table.column("_own")[0].as_py()):
+                x.append(place[found])
+                y.append(np.full(len(found), row[i]))
+        x, y = np.concatenate(x), np.concatenate(y)
+        if table.column("_sidep")[0].as_py():
+            x, y = y, x
+        return pa.Table.from_arrays([*(table.column(c).take(pa.array(np.zeros(len(x), np.int64))) for c in block), texts.take(pa.array(x)), texts.take(pa.array(y))], names=[*block, a, b]).cast(arrow)
+
+    tasks = max(1, min(int(groups), -(-int(work) // TASK), 10_000))
+    return every.repartition(tasks, *key).groupBy(*key).applyInArrow(meet, schema)
+
+
 def joiner(names: DataFrame, text: str, bound: Bound, blocks: Sequence[str] = ()) -> Joiner:
     """Learns what the keys depend on: how many names a block holds on average, the longest length, the chance that two letters are equal."""
     block = F.to_json(F.struct(*blocks)) if blocks else F.lit("")
@@ -184,13 +326,18 @@ def candidates(left: DataFrame, right: DataFrame | None, block: Sequence[str], a
     shorter, equal = F.length(a) < F.length(b), F.length(a) == F.length(b)
 
     def by_pieces(short: DataFrame, s: str, long: DataFrame, t: str, also: Column) -> DataFrame:
-        return j.indexed(short, s).join(j.probing(long, t), [*block, "_key"]).filter(also & (F.col("_n") <= F.col("_m"))).select(*block, a, b)
+        # a name makes many keys, which no size check of its table knows of: neither side is to reach the driver
+        return j.indexed(short, s).join(j.probing(long, t).hint("merge"), [*block, "_key"]).filter(also & (F.col("_n") <= F.col("_m"))).select(*block, a, b)
 
     out = by_pieces(left, a, other, b, shorter | (equal & (F.col(a) < F.col(b))) if one else shorter | equal)
     if not one:
         out = out.unionByName(by_pieces(other, b, left, a, F.length(b) < F.length(a)))
     if j.bound.most(j.longest) <= MOST_EDITS:  # no name is long enough for more
         return out
+    if threshold <= DENSE[measure]:
+        names = left.select(*block, F.col(a).alias("_t"), F.lit(0).alias("_side"))
+        names = names if one else names.unionByName(right.select(*block, F.col(b).alias("_t"), F.lit(1).alias("_side")))
+        return out.unionByName(tiled(names, block, a, b, j, one))
     long = {s: [j.grams(df, s, as_longer) for as_longer in (True, False)] for df, s in ([(left, a)] if one else [(left, a), (other, b)])}
     flat = None
     for frames in long.values():
@@ -204,7 +351,7 @@ def candidates(left: DataFrame, right: DataFrame | None, block: Sequence[str], a
         near = j.rarest(frames[0], counts, block, key, "_s")
         far = j.rarest(frames[1], counts, block, key, "_t")
         n, m = F.col("_s.n"), F.col("_t.n")
-        met = near.join(far, [*block, "_key"]).filter(also & (n >= j.bound.shortest(m)) & (j.bound.edits(n, m) > MOST_EDITS)).select(*block, F.col("_s.h").alias("_sh"), F.col("_t.h").alias("_th")).distinct()
+        met = near.join(far.hint("merge"), [*block, "_key"]).filter(also & (n >= j.bound.shortest(m)) & (j.bound.edits(n, m) > MOST_EDITS)).select(*block, F.col("_s.h").alias("_sh"), F.col("_t.h").alias("_th")).distinct()
         met = met.join(short.withColumn("_sh", F.xxhash64(s)), [*block, "_sh"]).join(long.withColumn("_th", F.xxhash64(t)), [*block, "_th"])
         return met.filter(F.col(s) != F.col(t)).select(*block, a, b) if one else met.select(*block, a, b)
 
